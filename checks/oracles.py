@@ -277,7 +277,7 @@ def _places(rel: str, aliases) -> str:
         select id, target, min(ord * 100 + pos) // 100 as ord, min(ord * 100 + pos) % 100 as pos from (
           select r.id, ord, unnest(targets) as target, unnest(range(len(targets))) as pos
           from {rel} r join {_alias_table(aliases)} a on case when whole
-            then regexp_matches(lower(r.text), '{_BORDER}' || alias || '{_BORDER_END}')
+            then contains(lower(r.text), alias) and regexp_matches(lower(r.text), '{_BORDER}' || alias || '{_BORDER_END}')
             else contains(r.text, alias) end)
         group by id, target) group by id) p on p.id = r.id)"""
 

@@ -563,7 +563,7 @@ def display_rows(spark, sf):
     weights, asked = sparse_sides(spark, sf, "lang")
     best = fusion.sparse_fused_topk(weights, asked, 3)
     docs = table(spark, sf, "documents").select("doc_id", "lang", "source", "text")
-    shown = curate.display_rows(search.payload_for(best, docs), ["lang", "source"], "text")
+    shown = curate.display_rows(search.payload_for(best, docs, 3 * table(spark, sf, "benchmark").count()), ["lang", "source"], "text")
     return shown.withColumn("rank", big("rank"))
 
 

@@ -20,10 +20,21 @@ def length(v) -> Column:
     return F.sqrt(dot(v, v))
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once, also when used inside array lambdas."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def unit(v) -> Column:
     """The vector divided by its length; a zero vector becomes null."""
-    size = F.nullif(length(v), F.lit(0.0))
-    return F.when(size.isNotNull(), F.transform(_doubles(v), lambda x: x / size))
+
+    def divide(d: Column) -> Column:
+        return let(
+            F.nullif(length(d), F.lit(0.0)),
+            lambda size: F.when(size.isNotNull(), F.transform(d, lambda x: x / size)),
+        )
+
+    return let(_doubles(v), divide)
 
 
 def cosine(a, b) -> Column:

@@ -18,6 +18,8 @@ DIGITS = 6
 # Query rows held by each task, and the block sizes of the shuffled form beyond that.
 MAX_QUERIES = 4096
 DOC_BLOCK = 8192
+# Hits broadcast to the payload.
+MAX_HITS = 1_000_000
 # Query terms (rows) broadcast to the postings.
 MAX_QUERY_TERMS = 1_000_000
 
@@ -247,12 +249,15 @@ def _grid_topk(
     )
 
 
-def payload_for(hits: DataFrame, payload: DataFrame, key: str = "doc_id") -> DataFrame:
+def payload_for(
+    hits: DataFrame, payload: DataFrame, at_most: int, key: str = "doc_id"
+) -> DataFrame:
     """Payload columns for ranked hits, joined after top-k.
 
-    The hits are the small side (k per query); Spark broadcasts them when the check allows.
+    ``at_most`` is the proven number of hits (k times the number of queries). Up to MAX_HITS
+    the hits are broadcast and the payload is not shuffled.
     """
-    return payload.join(broadcast_if_small(hits, MAX_QUERY_TERMS), key)
+    return payload.join(F.broadcast(hits) if at_most <= MAX_HITS else hits, key)
 
 
 def district_filter(column: str, districts: list[str] | None) -> Column:

@@ -10,13 +10,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wayfare.functions.text import WORD, tokens, word_grams, words
+from wayfare.functions.text import WORD, tokens, words
 from wayfare.schema import VOCABULARY
+from wayfare.session import cut
 
 # A vocabulary is ranked in one task and broadcast, so its size is bounded by construction.
 MAX_VOCABULARY = 1_000_000
 
 
+def spread_by_id(docs: DataFrame) -> DataFrame:
+    """Rows spread by ``doc_id`` over a fixed number of tasks.
+
+    With the number given, adaptive execution does not merge partitions that look small but
+    hold texts about to be exploded into many rows.
+    """
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return docs.repartition(tasks, "doc_id")
+
+
 def term_counts(
     docs: DataFrame,
     analyzer: str = "word",
@@ -29,7 +40,7 @@ def term_counts(
     ``char_wb`` counts words first and makes grams of the distinct words of a document only.
     """
     keys = ["doc_id", *carry]
-    spread = docs.select(*keys, "text").filter(F.col("text").isNotNull()).repartition("doc_id")
+    spread = spread_by_id(docs.select(*keys, "text").filter(F.col("text").isNotNull()))
     if analyzer == "word":
         pieces = spread.select(*keys, F.explode(tokens("text", pattern)).alias("term"))
         return pieces.groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("tf"))
@@ -37,8 +48,25 @@ def term_counts(
         raise ValueError(f"unknown analyzer: {analyzer}")
     pieces = spread.select(*keys, F.explode(words("text")).alias("word"))
     counted = pieces.groupBy(*keys, "word").agg(F.count(F.lit(1)).alias("n"))
-    gram = F.explode(word_grams("word", *grams)).alias("term")
-    return counted.select(*keys, gram, "n").groupBy(*keys, "term").agg(F.sum("n").alias("tf"))
+    pieces = _explode_grams(counted, [*keys, "n"], *grams)
+    return pieces.groupBy(*keys, "term").agg(F.sum("n").alias("tf"))
+
+
+def _explode_grams(words_: DataFrame, keys: list[str], low: int, high: int) -> DataFrame:
+    """Grams of a ``word`` column, one row each: start positions first, then the sizes there.
+
+    Same grams as ``word_grams``, but without array lambdas, so it stays in generated code.
+    """
+    padded = F.concat(F.lit(" "), "word", F.lit(" ")).alias("p")
+    length = (F.length("word") + 2).alias("size")
+    starts = F.explode(F.sequence(F.lit(1), F.length("word") + 3 - low)).alias("i")
+    at = words_.filter(F.length("word") + 2 >= low).select(*keys, padded, length, starts)
+    grams = [
+        F.when(F.col("i") + n - 1 <= F.col("size"), F.substr("p", "i", F.lit(n)))
+        for n in range(low, high + 1)
+    ]
+    term = F.explode(F.array(*grams)).alias("term")
+    return at.select(*keys, term).filter(F.col("term").isNotNull())
 
 
 def term_totals(counts: DataFrame, n_docs: int) -> DataFrame:
@@ -58,7 +86,8 @@ def fit_vocabulary(
 ) -> DataFrame:
     """The ``max_features`` most frequent terms seen in ``min_df`` documents, ids by alphabet.
 
-    Equal counts are ordered by term. The result is at most ``max_features`` rows.
+    Equal counts are ordered by term. The fit runs once, here: the result, at most
+    ``max_features`` rows, is checkpointed and no later step repeats the pass over the corpus.
     """
     if not 0 < max_features <= MAX_VOCABULARY:
         raise ValueError(f"max_features must be within 1..{MAX_VOCABULARY}")
@@ -70,7 +99,7 @@ def fit_vocabulary(
     )
     by_name = Window.orderBy("term")
     ranked = kept.withColumn("term_id", F.row_number().over(by_name) - 1)
-    return ranked.select(*[F.col(f.name).cast(f.dataType) for f in VOCABULARY])
+    return cut(ranked.select(*[F.col(f.name).cast(f.dataType) for f in VOCABULARY]))
 
 
 def tfidf_weights(

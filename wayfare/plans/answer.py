@@ -14,7 +14,7 @@ def dense_prompts(
     """(query_id, prompt) from docs (doc_id, text, embedding), questions (query_id, text,
     embedding)."""
     hits = search.dense_topk(docs, questions, k)
-    found = search.payload_for(hits, docs.select("doc_id", "text"))
+    found = search.payload_for(hits, docs.select("doc_id", "text"), k * questions.count())
     return context.prompts(found, questions, template or context.PLANNER_PROMPT, k)
 
 

@@ -41,8 +41,8 @@ def search_venues(
     if vocabulary is not None:
         stored = points.select(
             F.col("id").alias("doc_id"), F.col("district").alias("tag"), "sparse"
-        ).repartition("doc_id")
-        weights = tfidf.unpack_sparse(stored, carry=("tag",))
+        )
+        weights = tfidf.unpack_sparse(tfidf.spread_by_id(stored), carry=("tag",))
         q = search.query_weights(wanted, vocabulary, analyzer)
         lists["sparse"] = search.sparse_topk(weights, q, k * prefetch)
     if encoder is not None:
@@ -58,4 +58,5 @@ def search_venues(
     else:
         best = fusion.fuse(fusion.lists_together(**lists), k, method)
     payload = points.drop("sparse", "embedding").withColumnRenamed("id", "doc_id")
-    return search.payload_for(best, payload).withColumnRenamed("doc_id", "id")
+    hits = search.payload_for(best, payload, k * questions.count())
+    return hits.withColumnRenamed("doc_id", "id")
