@@ -262,12 +262,16 @@ _BORDER = r"(^|[^\p{L}\p{N}\p{M}_])"
 _BORDER_END = r"($|[^\p{L}\p{N}\p{M}_])"
 
 
-def _alias_table(aliases) -> str:
-    rows = ", ".join(
-        f"({i}, '{a}', string_split('{t}', ','), {str(w).lower()})"
-        for i, (a, t, w) in enumerate(aliases)
-    )
-    return f"(select * from (values {rows}) as t(ord, alias, targets, whole))"
+def _alias_hits(rel: str, aliases) -> str:
+    parts = []
+    for i, (alias, targets, whole) in enumerate(aliases):
+        test = f"contains(text, '{alias}')"
+        if whole:
+            test = f"regexp_matches(lower(text), '{_BORDER}{alias}{_BORDER_END}')"
+        parts.append(
+            f"select id, {i} as ord, string_split('{targets}', ',') as targets from {rel} where {test}"
+        )
+    return " union all ".join(parts)
 
 
 def _places(rel: str, aliases) -> str:
@@ -275,10 +279,8 @@ def _places(rel: str, aliases) -> str:
     return f"""(select r.id, coalesce(p.places, '') as places from {rel} r left join (
       select id, string_agg(target, ',' order by ord, pos) as places from (
         select id, target, min(ord * 100 + pos) // 100 as ord, min(ord * 100 + pos) % 100 as pos from (
-          select r.id, ord, unnest(targets) as target, unnest(range(len(targets))) as pos
-          from {rel} r join {_alias_table(aliases)} a on case when whole
-            then contains(lower(r.text), alias) and regexp_matches(lower(r.text), '{_BORDER}' || alias || '{_BORDER_END}')
-            else contains(r.text, alias) end)
+          select id, ord, unnest(targets) as target, unnest(range(len(targets))) as pos
+          from ({_alias_hits(rel, aliases)}))
         group by id, target) group by id) p on p.id = r.id)"""
 
 
@@ -416,6 +418,7 @@ ORACLES = {
       max(term_id) as last_id, round(arg_min(weight, term_id), 6) as first_weight
       from weights group by doc_id""",
     "sparse_topk": f"with {_WORD_MODEL}, {_ASKED_WEIGHTS} {_sparse(10)}",
+    "sparse_join_topk": f"with {_WORD_MODEL}, {_ASKED_WEIGHTS} {_sparse(10)}",
     "char_sparse_topk": f"""with {_model(_gram_counts('documents'), _N_DOCS, 100_000)},
       asked as materialized ({_weights(_gram_counts(_ASKED))}) {_sparse(10)}""",
     "dense_topk": _dense(10),

@@ -103,11 +103,12 @@ def word_model(spark, sf, tag: str | None = None, analyzer: str = "word"):
 
 
 def sparse_sides(spark, sf, tag: str | None = None, analyzer: str = "word"):
-    """(document weights, question weights)."""
+    """(sparse document vectors, question weights)."""
     counts, vocabulary = word_model(spark, sf, tag, analyzer)
-    weights = tfidf.tfidf_weights(counts, vocabulary, carry=("tag",) if tag else ())
+    carry = ("tag",) if tag else ()
+    vectors = tfidf.sparse_vectors(tfidf.tfidf_weights(counts, vocabulary, carry), carry)
     asked = search.query_weights(questions(spark, sf, tag is not None), vocabulary, analyzer)
-    return weights, asked
+    return vectors, asked
 
 
 def hits(df: DataFrame) -> DataFrame:
@@ -485,14 +486,21 @@ def sparse_vectors(spark, sf):
 
 @query
 def sparse_topk(spark, sf):
-    weights, asked = sparse_sides(spark, sf)
-    return hits(search.sparse_topk(weights, asked, 10))
+    docs, asked = sparse_sides(spark, sf)
+    return hits(search.sparse_topk(docs, asked, 10))
+
+
+@query
+def sparse_join_topk(spark, sf):
+    """The same ranking by a join on terms, the way of query sets too large to hold."""
+    docs, asked = sparse_sides(spark, sf)
+    return hits(search.ranked(search.sparse_scores(tfidf.unpack_sparse(docs), asked), 10))
 
 
 @query
 def char_sparse_topk(spark, sf):
-    weights, asked = sparse_sides(spark, sf, analyzer="char_wb")
-    return hits(search.sparse_topk(weights, asked, 10))
+    docs, asked = sparse_sides(spark, sf, analyzer="char_wb")
+    return hits(search.sparse_topk(docs, asked, 10))
 
 
 @query
@@ -508,15 +516,15 @@ def dense_filtered_topk(spark, sf):
 
 @query
 def filtered_topk(spark, sf):
-    weights, asked = sparse_sides(spark, sf, "lang")
-    return hits(search.sparse_topk(weights, asked, 10))
+    docs, asked = sparse_sides(spark, sf, "lang")
+    return hits(search.sparse_topk(docs, asked, 10))
 
 
 def _candidates(spark, sf, k: int, tag: str | None = None) -> DataFrame:
-    weights, asked = sparse_sides(spark, sf, tag)
+    vectors, asked = sparse_sides(spark, sf, tag)
     docs, dense_asked = dense_docs(spark, sf, tag), dense_questions(spark, sf, tag is not None)
     return fusion.lists_together(
-        sparse=search.sparse_topk(weights, asked, k * fusion.PREFETCH),
+        sparse=search.sparse_topk(vectors, asked, k * fusion.PREFETCH),
         dense=search.dense_topk(docs, dense_asked, k * fusion.PREFETCH),
     )
 
@@ -553,15 +561,15 @@ def filtered_hybrid(spark, sf):
 
 @query
 def sparse_fused(spark, sf):
-    weights, asked = sparse_sides(spark, sf, "lang")
-    return hits(fusion.sparse_fused_topk(weights, asked, 3))
+    docs, asked = sparse_sides(spark, sf, "lang")
+    return hits(fusion.sparse_fused_topk(docs, asked, 3))
 
 
 @query
 def display_rows(spark, sf):
     """The live search path: filtered sparse candidates, fused, first three shown."""
-    weights, asked = sparse_sides(spark, sf, "lang")
-    best = fusion.sparse_fused_topk(weights, asked, 3)
+    docs, asked = sparse_sides(spark, sf, "lang")
+    best = fusion.sparse_fused_topk(docs, asked, 3)
     docs = table(spark, sf, "documents").select("doc_id", "lang", "source", "text")
     shown = curate.display_rows(search.payload_for(best, docs, 3 * table(spark, sf, "benchmark").count()), ["lang", "source"], "text")
     return shown.withColumn("rank", big("rank"))

@@ -57,7 +57,7 @@ def fuse(candidates: DataFrame, k: int, method: str = "RRF") -> DataFrame:
 def hybrid_topk(
     docs_dense: DataFrame,
     queries_dense: DataFrame,
-    weights: DataFrame | None,
+    vectors: DataFrame | None,
     query_weights: DataFrame | None,
     k: int = 10,
     prefetch: int = PREFETCH,
@@ -67,11 +67,11 @@ def hybrid_topk(
 
     Without a sparse model the result is the plain dense top-k.
     """
-    if weights is None or query_weights is None:
+    if vectors is None or query_weights is None:
         return dense_topk(docs_dense, queries_dense, k)
     return fuse(
         lists_together(
-            sparse=sparse_topk(weights, query_weights, k * prefetch),
+            sparse=sparse_topk(vectors, query_weights, k * prefetch),
             dense=dense_topk(docs_dense, queries_dense, k * prefetch),
         ),
         k,
@@ -80,7 +80,7 @@ def hybrid_topk(
 
 
 def sparse_fused_topk(
-    weights: DataFrame, query_weights: DataFrame, k: int = 3, prefetch: int = PREFETCH
+    vectors: DataFrame, query_weights: DataFrame, k: int = 3, prefetch: int = PREFETCH
 ) -> DataFrame:
     """One filtered sparse list put through reciprocal rank fusion."""
-    return fuse(lists_together(sparse=sparse_topk(weights, query_weights, k * prefetch)), k)
+    return fuse(lists_together(sparse=sparse_topk(vectors, query_weights, k * prefetch)), k)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wayfare.operators.grouping import broadcast_if_small, small, top_k
-from wayfare.operators.tfidf import term_counts, tfidf_weights
+from wayfare.operators.tfidf import spread_by_id, term_counts, tfidf_weights, unpack_sparse
 
 DIGITS = 6
 # Query rows held by each task, and the block sizes of the shuffled form beyond that.
@@ -48,10 +48,94 @@ def query_weights(
     return weights.withColumnRenamed("doc_id", "query_id")
 
 
+def sparse_topk(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
+    """Top k of (doc_id, [tag,] sparse) by dot product with (query_id, [tags,] term_id, weight).
+
+    A document that shares no term with a query is no hit. A checked small query set is held by
+    every task and documents are scored where they lie: no join rows, no shuffle of documents,
+    at most k rows per query leave a task. A larger set is joined by term instead.
+    """
+    if small(queries, MAX_QUERY_TERMS):
+        return ranked(_scan_sparse(vectors, queries, k), k)
+    carry = ("tag",) if "tag" in vectors.columns else ()
+    weights = unpack_sparse(spread_by_id(vectors), carry)
+    return ranked(sparse_scores(weights, queries), k)
+
+
+def _query_blocks(table, tagged: bool, size: int = 256):
+    """Query weights of an Arrow table, cut into blocks of whole queries."""
+    import numpy as np
+
+    all_ids, code = np.unique(_ids(table.column("query_id").combine_chunks()), return_inverse=True)
+    term = table.column("term_id").to_numpy()
+    weight = table.column("weight").to_numpy()
+    tags = [None] * len(all_ids)
+    if tagged:
+        for c, t in zip(code.tolist(), table.column("tags").to_pylist()):
+            tags[c] = set(t) if t else None
+    blocks = []
+    for at in range(0, len(all_ids), size):
+        own = (code >= at) & (code < at + size)
+        terms, place = np.unique(term[own], return_inverse=True)
+        ids = all_ids[at : at + size]
+        blocks.append((ids, tags[at : at + size], terms, place, code[own] - at, weight[own]))
+    return blocks
+
+
+def _scan_sparse(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """Sparse scores as products of small dense matrices over the terms the queries use."""
+    tagged = "tag" in vectors.columns and "tags" in queries.columns
+    held = vectors.sparkSession.sparkContext.broadcast(_query_blocks(queries.toArrow(), tagged))
+    docs = vectors.select("doc_id", *(["tag"] if tagged else []), "sparse")
+
+    def score(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        blocks = held.value
+        best = [None] * len(blocks)
+        for batch in batches:
+            indices = pc.struct_field(batch.column("sparse"), "indices")
+            sizes = pc.fill_null(pc.list_value_length(indices), 0).to_numpy(zero_copy_only=False)
+            term = indices.flatten().to_numpy(zero_copy_only=False)
+            weight = pc.struct_field(batch.column("sparse"), "values").flatten()
+            weight = weight.to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(batch.num_rows), sizes)
+            ids = _ids(batch.column("doc_id"))
+            doc_tags = batch.column("tag").to_pylist() if tagged else None
+            for b, (q_ids, q_tags, terms, place, column, q_weight) in enumerate(blocks):
+                q_matrix = np.zeros((len(terms), len(q_ids)))
+                q_matrix[place, column] = q_weight
+                at = np.minimum(np.searchsorted(terms, term), len(terms) - 1)
+                known = terms[at] == term
+                r, c, w = row[known], at[known], weight[known]
+                step = max(16, (1 << 22) // len(terms))
+                for start in range(0, batch.num_rows, step):
+                    lo, hi = np.searchsorted(r, (start, start + step))
+                    rows = np.zeros((min(step, batch.num_rows - start), len(terms)))
+                    rows[r[lo:hi] - start, c[lo:hi]] = w[lo:hi]
+                    s = rows @ q_matrix
+                    s = np.where(s > 0, np.round(s, DIGITS), -np.inf)
+                    if tagged:
+                        s = _mask_tags(s, doc_tags[start : start + step], q_tags)
+                    found = _best_rows(q_ids, s, ids[start : start + step], k)
+                    if best[b] is not None:
+                        found = _first_k(*[np.r_[x, y] for x, y in zip(best[b], found)], k)
+                    best[b] = found
+        for found in best:
+            if found is not None:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(a) for a in found], names=["query_id", "doc_id", "score"]
+                )
+
+    return docs.mapInArrow(score, _hit_schema(docs, queries))
+
+
 def sparse_scores(weights: DataFrame, queries: DataFrame) -> DataFrame:
-    """Dot products of query and document weights that share a term.
+    """Dot products of query and document weights that share a term, as a join by term.
 
-    ``weights`` keeps the by-document partitioning of ``tfidf_weights``, and grouping by
+    When ``weights`` keeps the by-document partitioning of ``tfidf_weights``, grouping by
     (doc_id, query_id) needs no further exchange.
     """
     q = queries.withColumnRenamed("weight", "_qw")
@@ -63,10 +147,6 @@ def sparse_scores(weights: DataFrame, queries: DataFrame) -> DataFrame:
     return dots.select("query_id", "doc_id", F.round("s", DIGITS).alias("score"))
 
 
-def sparse_topk(weights: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
-    return ranked(sparse_scores(weights, queries), k)
-
-
 def _best_rows(q_ids, scores, d_ids, k):
     """(query, doc, score) triples of the k best per query column, ties by smaller doc id."""
     import numpy as np

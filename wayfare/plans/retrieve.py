@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from wayfare.functions.places_hk import HONG_KONG
 from wayfare.functions.text import query_text
-from wayfare.operators import fusion, search, tfidf
+from wayfare.operators import fusion, search
 from wayfare.operators.gazetteer import Alias, places
 
 
@@ -42,9 +42,8 @@ def search_venues(
         stored = points.select(
             F.col("id").alias("doc_id"), F.col("district").alias("tag"), "sparse"
         )
-        weights = tfidf.unpack_sparse(tfidf.spread_by_id(stored), carry=("tag",))
         q = search.query_weights(wanted, vocabulary, analyzer)
-        lists["sparse"] = search.sparse_topk(weights, q, k * prefetch)
+        lists["sparse"] = search.sparse_topk(stored, q, k * prefetch)
     if encoder is not None:
         vectors = encoder(wanted.select(F.col("query_id").alias("doc_id"), "text"))
         q = wanted.join(vectors.withColumnRenamed("doc_id", "query_id"), "query_id")
