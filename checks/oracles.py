@@ -230,7 +230,11 @@ _COPIES = """(select vec_id as id, embedding::float[] as embedding from embeddin
 
 
 def _buckets(rel: str) -> str:
-    return f"""(select doc_id, (('0x' || md5(term)[1:8])::bigint % 256) as bucket, sum(tf)::bigint as n
+    h = "0::bigint"
+    for i in range(1, 5):
+        step = f"(({h}) * 1000003 + unicode(substr(term, {i}, 1))) % 2147483647"
+        h = f"case when length(term) >= {i} then {step} else {h} end" if i > 2 else step
+    return f"""(select doc_id, ({h}) % 256 as bucket, sum(tf)::bigint as n
       from {_gram_counts(rel)} group by all)"""
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wayfare.functions import parse, text
+from wayfare.functions.vectors import let
 from wayfare.operators.grouping import keep_last
 from wayfare.schema import VENUE, VENUE_HEADERS, VENUE_REQUIRED, require_columns
 
@@ -71,16 +72,18 @@ def record_sentence() -> Column:
 
 def violations(bounds: dict[str, tuple[int, int]] | None = None) -> Column:
     """Array of messages, one per field whose token count is out of bounds."""
-    checks = []
-    for field, (low, high) in (bounds or TOKEN_BOUNDS).items():
-        count = text.token_count(_field(field))
-        shown = count.cast("string")
-        short = F.concat(
-            F.lit(f"{field} too short: "), shown, F.lit(f" tokens (min {low})")
-        )
-        long = F.concat(F.lit(f"{field} too long: "), shown, F.lit(f" tokens (max {high})"))
-        checks.append(F.when(count < low, short).when(count > high, long))
-    return F.array_compact(F.array(*checks))
+
+    def check(field: str, low: int, high: int) -> Column:
+        def message(count: Column) -> Column:
+            short = F.concat(F.lit(f"{field} too short: "), count, F.lit(f" tokens (min {low})"))
+            long = F.concat(F.lit(f"{field} too long: "), count, F.lit(f" tokens (max {high})"))
+            return F.when(count < low, short).when(count > high, long)
+
+        # Tokens are counted once per field, not once per comparison.
+        return let(text.token_count(_field(field)), message)
+
+    fields = (bounds or TOKEN_BOUNDS).items()
+    return F.array_compact(F.array(*[check(f, *limits) for f, limits in fields]))
 
 
 def split_valid(df: DataFrame, bounds=None) -> tuple[DataFrame, DataFrame]:

@@ -210,12 +210,13 @@ def dense_topk(
         "doc_id",
         "embedding",
         (F.col("tag") if tagged else F.lit(None)).cast("string").alias("tag"),
-    ).filter(F.col("embedding").isNotNull())
+    )
     q = queries.select(
         "query_id",
         "embedding",
         (F.col("tags") if tagged else F.lit(None)).cast("array<string>").alias("tags"),
-    ).filter(F.col("embedding").isNotNull())
+    )
+    # Null vectors are dropped inside the tasks: a filter here would compute vectors twice.
     if small(q, max_queries):
         best = _scan_topk(d, q, k)
     else:
@@ -223,10 +224,18 @@ def dense_topk(
     return ranked(best, k)
 
 
+def _with_vector(rows):
+    """Rows of an Arrow batch or table that have a vector."""
+    import pyarrow.compute as pc
+
+    return rows.filter(pc.is_valid(rows.column("embedding")))
+
+
 def _prepare_queries(table):
     """Ids, unit vectors and tag sets of an Arrow table of queries."""
     import numpy as np
 
+    table = _with_vector(table)
     ids = _ids(table.column("query_id").combine_chunks())
     width = len(table.column("embedding")[0].as_py()) if len(ids) else 1
     matrix = _matrix(table.column("embedding").combine_chunks(), width)
@@ -272,6 +281,7 @@ def _scan_topk(docs: DataFrame, queries: DataFrame, k: int, step: int = 1024) ->
         q_ids, q_matrix, q_tags = held.value
         best = None
         for batch in batches:
+            batch = _with_vector(batch)
             if not batch.num_rows or not len(q_ids):
                 continue
             ids = _ids(batch.column("doc_id"))
@@ -312,6 +322,7 @@ def _grid_topk(
         import pyarrow as pa
 
         names = ["query_id", "doc_id", "score"]
+        left, right = _with_vector(left), _with_vector(right)
         if not left.num_rows or not right.num_rows:
             types = [right.schema.field("query_id").type, left.schema.field("doc_id").type]
             empty = [pa.array([], t) for t in (*types, pa.float64())]

@@ -40,18 +40,24 @@ def term_counts(
     ``char_wb`` counts words first and makes grams of the distinct words of a document only.
     """
     keys = ["doc_id", *carry]
-    spread = spread_by_id(docs.select(*keys, "text").filter(F.col("text").isNotNull()))
     if analyzer == "word":
+        spread = spread_by_id(docs.select(*keys, "text").filter(F.col("text").isNotNull()))
         pieces = spread.select(*keys, F.explode(tokens("text", pattern)).alias("term"))
         return pieces.groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("tf"))
     if analyzer != "char_wb":
         raise ValueError(f"unknown analyzer: {analyzer}")
-    pieces = spread.select(*keys, F.explode(words("text")).alias("word"))
-    counted = pieces.groupBy(*keys, "word").agg(F.count(F.lit(1)).alias("n"))
-    pieces = _explode_grams(counted, [*keys, "n"], *grams)
+    pieces = _explode_grams(word_counts(docs, carry), [*keys, "n"], *grams)
     return pieces.groupBy(*keys, "term").agg(F.sum("n").alias("tf"))
 
 
+def word_counts(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, *carry, word, n) of whitespace-separated words."""
+    keys = ["doc_id", *carry]
+    spread = spread_by_id(docs.select(*keys, "text").filter(F.col("text").isNotNull()))
+    pieces = spread.select(*keys, F.explode(words("text")).alias("word"))
+    return pieces.groupBy(*keys, "word").agg(F.count(F.lit(1)).alias("n"))
+
+
 def _explode_grams(words_: DataFrame, keys: list[str], low: int, high: int) -> DataFrame:
     """Grams of a ``word`` column, one row each: start positions first, then the sizes there.
 
