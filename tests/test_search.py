@@ -193,7 +193,40 @@ def test_groups_with_a_third_of_copies(spark):
         got.setdefault(r["leader"], set()).add(r["id"])
     want = _greedy(240, _brute_pairs(v, 0.9))
     assert got == want
+    # The same groups when the copies are told apart by a little noise and decided in batches.
+    noisy = v + np.random.default_rng(5).normal(scale=1e-3, size=v.shape).astype("float32")
+    near = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(noisy)], "id bigint, embedding array<float>")
+    found = {}
+    for r in neardup.near_duplicate_groups(near, 0.9, budget=2, pivots=8, block=32).collect():
+        found.setdefault(r["leader"], set()).add(r["id"])
+    assert found == _greedy(240, _brute_pairs(noisy, 0.9))
     sizes = spark.createDataFrame([(i, i % 7) for i in range(240)], "id bigint, size int")
     keep = {r["id"] for r in neardup.rows_to_keep(df, groups, sizes).collect()}
     best = {max(g, key=lambda i: (i % 7, -i)) for g in want.values()}
     assert keep == best | (set(range(240)) - set().union(*want.values()))
+
+
+@pytest.mark.parametrize("late", [False, True])
+def test_a_crowd_of_near_copies_is_decided_in_batches(spark, late, monkeypatch):
+    """A third of all rows nearly equal, at the start or at the end of the id order."""
+    v = _random_vectors(600, 8, 11)
+    crowd = range(400, 600) if late else range(200)
+    noise = np.random.default_rng(6).normal(scale=1e-3, size=v.shape).astype("float32")
+    for i in crowd:
+        v[i] = v[crowd[0]] + noise[i]
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id bigint, embedding array<float>")
+    emitted = []
+    real = neardup.similar_pairs
+
+    def counted(*args, **kw):
+        out = real(*args, **kw)
+        emitted.append(out.count())
+        return out
+
+    monkeypatch.setattr(neardup, "similar_pairs", counted)
+    got = {}
+    for r in neardup.near_duplicate_groups(df, 0.95, budget=4).collect():
+        got.setdefault(r["leader"], set()).add(r["id"])
+    assert got == _greedy(600, _brute_pairs(v, 0.95))
+    # All pairs of the crowd alone would be 19,900.
+    assert sum(emitted) < 5000
