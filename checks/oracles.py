@@ -500,4 +500,20 @@ ORACLES = {
       select conv_id, turn, floor(turn / 4.0)::bigint as block, row_number() over (
       partition by conv_id, floor(turn / 4.0) order by turn) as size
       from {_SYSTEM.format(rel='kept')}""",
+    "district_filter": """select 'any' as form, doc_id from documents
+      where source in ('src1', 'src3', 'src5')
+      union all select 'one', doc_id from documents where source = 'src2'
+      union all select 'none', doc_id from documents""",
+    "stream_history": "select *, false as late from ("
+    + _HISTORY.format(b=4, rel="conversations")
+    + ")",
+    "stream_points": f"""with all_texts as materialized (
+        select {_ID} as doc_id, name, address, ord, {_TEXT} as text from {VENUES_SQL} v),
+      {_model(_gram_counts('all_texts'), 'select count(*) from all_texts', 100_000)},
+      kept as materialized (select * from (select *, row_number() over (
+        partition by doc_id order by ord desc) as r from all_texts) where r = 1)
+      select k.doc_id as id, any_value(name) as name, any_value(address) as address,
+        count(v.term) as n_terms
+      from kept k left join {_gram_counts('kept')} g using (doc_id) left join vocab v using (term)
+      group by k.doc_id""",
 }

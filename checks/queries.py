@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,7 +24,10 @@ from wayfare.operators import (
 from wayfare.operators.gazetteer import Alias, places
 from wayfare.operators.grouping import top_k
 from wayfare.plans import answer, ingest, retrieve
+from wayfare.session import shared_folder
 from wayfare.sources import store
+from wayfare.streaming.history import stream_history as history_stream
+from wayfare.streaming.ingest import stream_points as points_stream
 
 QUERIES = {}
 
@@ -231,6 +236,20 @@ def attach_vectors(spark, sf):
     )
 
 
+@query
+def district_filter(spark, sf):
+    """Driver-side filter forms: any-of, one, none."""
+    docs = table(spark, sf, "documents").select("doc_id", "source")
+    forms = {"any": ["src1", "src3", "src5"], "one": ["src2"], "none": []}
+    out = None
+    for name, wanted in forms.items():
+        part = docs.filter(search.district_filter("source", wanted)).select(
+            F.lit(name).alias("form"), "doc_id"
+        )
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 # Scalar functions
 
 
@@ -733,3 +752,41 @@ def chat_requests(spark, sf):
     turns = table(spark, sf, "conversations")
     requests = answer.chat_requests(turns, "Be brief.", block=4)
     return requests.select("conv_id", "turn", "block", big("size").alias("size"))
+
+
+# Streams over the given tables, run to their end
+
+
+def _stream(spark, sf, name: str) -> DataFrame:
+    source = spark.readStream.schema(table(spark, sf, name).schema)
+    return source.option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+
+
+@query
+def stream_history(spark, sf):
+    """Running history as a keyed state; equals the batch history."""
+    root = f"{shared_folder(spark)}/stream-{uuid.uuid4()}"
+    (
+        history_stream(_stream(spark, sf, "conversations"), block=4)
+        .writeStream.format("parquet")
+        .option("checkpointLocation", f"{root}/checkpoint")
+        .trigger(availableNow=True)
+        .start(f"{root}/out")
+        .awaitTermination()
+    )
+    return spark.read.parquet(f"{root}/out").select(
+        "conv_id", "turn", "block", context.render("messages").alias("messages"), "late"
+    )
+
+
+@query
+def stream_points(spark, sf):
+    """Venues streamed into the point table with a frozen vocabulary."""
+    root = f"{shared_folder(spark)}/stream-{uuid.uuid4()}"
+    terms = ingest.fit(ingest.index_texts(inputs.venues(spark, sf)), **ingest.VENUE_MODEL)
+    incoming = _stream(spark, sf, "part").selectExpr(
+        *[f"{e} as `{n}`" for n, e in inputs.VENUE.items()]
+    )
+    points_stream(incoming, terms, f"{root}/points", f"{root}/checkpoint").awaitTermination()
+    stored = store.read(spark, f"{root}/points")
+    return stored.select("id", "name", "address", big(F.size("sparse.indices")).alias("n_terms"))

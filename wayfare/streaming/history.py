@@ -43,6 +43,7 @@ def stream_history(turns: DataFrame, block: int = BLOCK) -> DataFrame:
             out, columns=["conv_id", "block", "turn", "role", "text", "messages", "late"]
         )
 
+    turns = turns.select("conv_id", "turn", "role", "text")
     number = F.floor(F.col("turn") / F.lit(block)).cast("bigint")
     return (
         turns.withColumn("block", number)
