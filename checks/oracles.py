@@ -497,8 +497,8 @@ ORACLES = {
     + _STOPPED.format(stop="role = 'assistant' and length(text) < 120"),
     "system_first": "select * from " + _SYSTEM.format(rel="conversations"),
     "chat_requests": f"""with kept as materialized {_STOPPED.format(stop="lower(trim(text)) = 'exit'")}
-      select conv_id, turn, floor(turn / 4.0)::bigint as block, row_number() over (
-      partition by conv_id, floor(turn / 4.0) order by turn) as size
+      select conv_id, turn, greatest(turn, 0) // 4 as block, row_number() over (
+      partition by conv_id, greatest(turn, 0) // 4 order by turn) as size
       from {_SYSTEM.format(rel='kept')}""",
     "district_filter": """select 'any' as form, doc_id from documents
       where source in ('src1', 'src3', 'src5')

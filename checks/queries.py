@@ -111,7 +111,7 @@ def sparse_sides(spark, sf, tag: str | None = None, analyzer: str = "word"):
     """(sparse document vectors, question weights)."""
     counts, vocabulary = word_model(spark, sf, tag, analyzer)
     carry = ("tag",) if tag else ()
-    vectors = tfidf.sparse_vectors(tfidf.tfidf_weights(counts, vocabulary, carry), carry)
+    vectors = tfidf.sparse_vectors(counts, vocabulary, carry)
     asked = search.query_weights(questions(spark, sf, tag is not None), vocabulary, analyzer)
     return vectors, asked
 
@@ -493,7 +493,7 @@ def tfidf_weights(spark, sf):
 def sparse_vectors(spark, sf):
     """Stored form of the weights: sizes and ends of the parallel arrays."""
     counts, terms = word_model(spark, sf)
-    packed = tfidf.sparse_vectors(tfidf.tfidf_weights(counts, terms))
+    packed = tfidf.sparse_vectors(counts, terms)
     return packed.select(
         "doc_id",
         big(F.size("sparse.indices")).alias("n"),

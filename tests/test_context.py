@@ -30,8 +30,8 @@ def test_system_turn_first_and_once(frame):
     rows = [(1, 0, "user", "hi"), (2, 0, "system", "own"), (2, 1, "user", "ho")]
     got = answer.chat_requests(frame(rows, TURNS), "Be brief.").collect()
     seen = {(r["conv_id"], r["turn"]): (r["block"], [m["text"] for m in r["messages"]]) for r in got}
-    assert seen[(1, -1)] == (-1, ["Be brief."])
-    assert seen[(1, 0)] == (0, ["hi"])
+    assert seen[(1, -1)] == (0, ["Be brief."])
+    assert seen[(1, 0)] == (0, ["Be brief.", "hi"])
     assert seen[(2, 1)] == (0, ["own", "ho"])
 
 

@@ -31,7 +31,7 @@ def test_hand_computed_tfidf(model):
 
 def test_sparse_search_and_single_list_fusion(spark, model):
     counts, terms = model
-    vectors = tfidf.sparse_vectors(tfidf.tfidf_weights(counts, terms))
+    vectors = tfidf.sparse_vectors(counts, terms)
     asked = spark.createDataFrame(
         [(1, "red fish"), (2, "unknown words")], "query_id bigint, text string"
     )

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wayfare.functions.text import normal_key, strip, text_or_empty
+from wayfare.functions.vectors import let
 from wayfare.schema import EXTRACTED_LIST
 
 # Currency marks, number shapes, the first JSON array of objects in a text,
@@ -59,21 +60,25 @@ def stable_id(name, district) -> Column:
     base = F.concat(
         normal_key(text_or_empty(name)), F.lit("|"), normal_key(text_or_empty(district))
     )
-    digest = F.sha1(F.concat(F.unhex(F.lit(DNS_NAMESPACE)), F.encode(base, "UTF-8")))
-    nibble = F.conv(F.substring(digest, 17, 1), 16, 10).cast("int")
-    variant = F.lower(F.hex(nibble.bitwiseAND(F.lit(3)).bitwiseOR(F.lit(8))))
-    return F.concat(
-        F.substring(digest, 1, 8),
-        F.lit("-"),
-        F.substring(digest, 9, 4),
-        F.lit("-5"),
-        F.substring(digest, 14, 3),
-        F.lit("-"),
-        variant,
-        F.substring(digest, 18, 3),
-        F.lit("-"),
-        F.substring(digest, 21, 12),
-    )
+
+    def shaped(digest: Column) -> Column:
+        nibble = F.conv(F.substring(digest, 17, 1), 16, 10).cast("int")
+        variant = F.lower(F.hex(nibble.bitwiseAND(F.lit(3)).bitwiseOR(F.lit(8))))
+        return F.concat(
+            F.substring(digest, 1, 8),
+            F.lit("-"),
+            F.substring(digest, 9, 4),
+            F.lit("-5"),
+            F.substring(digest, 14, 3),
+            F.lit("-"),
+            variant,
+            F.substring(digest, 18, 3),
+            F.lit("-"),
+            F.substring(digest, 21, 12),
+        )
+
+    namespace = F.unhex(F.lit(DNS_NAMESPACE))
+    return let(F.sha1(F.concat(namespace, F.encode(base, "UTF-8"))), shaped)
 
 
 def random_id() -> Column:

@@ -63,9 +63,13 @@ def rejoin(pieces: DataFrame, keys: list[str], sep: str = "") -> DataFrame:
     return join_ordered(pieces, keys, ["pos"], "piece", sep, "text")
 
 
+def block_number(block: int) -> Column:
+    """Block of a turn; a system turn set before turn 0 belongs to the first block."""
+    return F.floor(F.greatest(F.col("turn"), F.lit(0)) / F.lit(block)).cast("bigint")
+
+
 def _blocks(turns: DataFrame, block: int) -> DataFrame:
-    number = F.floor(F.col("turn") / F.lit(block)).cast("bigint")
-    return turns.withColumn("block", number).repartition("conv_id", "block")
+    return turns.withColumn("block", block_number(block))
 
 
 def history(turns: DataFrame, block: int = BLOCK) -> DataFrame:

@@ -112,23 +112,32 @@ def tfidf_weights(
     counts: DataFrame, vocabulary: DataFrame, carry: tuple[str, ...] = ()
 ) -> DataFrame:
     """(doc_id, *carry, term_id, weight); terms outside the vocabulary are dropped."""
-    known = counts.join(F.broadcast(vocabulary.select("term", "term_id", "idf")), "term")
-    raw = known.withColumn("w", (1.0 + F.log("tf")) * F.col("idf"))
+    raw = _raw_weights(counts, vocabulary)
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("doc_id")))
     return raw.select("doc_id", *carry, "term_id", (F.col("w") / norm).alias("weight"))
 
 
-def sparse_vectors(weights: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
-    """One row per document: struct of parallel index and value arrays, ordered by index."""
-    pairs = F.sort_array(F.collect_list(F.struct("term_id", "weight")))
-    packed = weights.groupBy("doc_id", *carry).agg(pairs.alias("p"))
-    return packed.select(
-        "doc_id",
-        *carry,
-        F.struct(
-            F.col("p.term_id").alias("indices"), F.col("p.weight").alias("values")
-        ).alias("sparse"),
+def _raw_weights(counts: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """Counts of known terms with ``w``, the weight before normalisation."""
+    known = counts.join(F.broadcast(vocabulary.select("term", "term_id", "idf")), "term")
+    return known.withColumn("w", (1.0 + F.log("tf")) * F.col("idf"))
+
+
+def sparse_vectors(
+    counts: DataFrame, vocabulary: DataFrame, carry: tuple[str, ...] = ()
+) -> DataFrame:
+    """The same weights, one row per document: ``sparse`` holds parallel index and value arrays.
+
+    Arrays are ordered by index. Packing and norm share one aggregation.
+    """
+    w = F.col("w")
+    packed = _raw_weights(counts, vocabulary).groupBy("doc_id", *carry).agg(
+        F.sort_array(F.collect_list(F.struct("term_id", "w"))).alias("p"),
+        F.sqrt(F.sum(w * w)).alias("norm"),
     )
+    values = F.transform("p.w", lambda x: x / F.col("norm"))
+    sparse = F.struct(F.col("p.term_id").alias("indices"), values.alias("values"))
+    return packed.select("doc_id", *carry, sparse.alias("sparse"))
 
 
 def unpack_sparse(vectors: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:

@@ -46,8 +46,8 @@ def points(
     term gets an empty sparse vector.
     """
     texts = index_texts(venues)
-    weights = tfidf.tfidf_weights(tfidf.term_counts(texts, analyzer), vocabulary)
-    vectors = tfidf.sparse_vectors(weights).withColumnRenamed("doc_id", "id")
+    vectors = tfidf.sparse_vectors(tfidf.term_counts(texts, analyzer), vocabulary)
+    vectors = vectors.withColumnRenamed("doc_id", "id")
     out = curate.venue_payload(venues).join(vectors, "id", "left")
     empty = F.struct(
         F.array().cast("array<int>").alias("indices"),
@@ -94,8 +94,8 @@ def record_points(
     require_columns(records.columns, [*EXTRACTED_FIELDS, "ord"])
     kept, bad = curate.split_valid(records)
     texts = kept.select(F.col("ord").alias("doc_id"), curate.record_text().alias("text"))
-    weights = tfidf.tfidf_weights(tfidf.term_counts(texts, RECORD_MODEL["analyzer"]), vocabulary)
-    vectors = tfidf.sparse_vectors(weights).withColumnRenamed("doc_id", "ord")
+    counts = tfidf.term_counts(texts, RECORD_MODEL["analyzer"])
+    vectors = tfidf.sparse_vectors(counts, vocabulary).withColumnRenamed("doc_id", "ord")
     out = curate.record_payload(kept, "ord").join(vectors, "ord", "left")
     if encoder is not None:
         out = out.join(encoder(texts).withColumnRenamed("doc_id", "ord"), "ord", "left")

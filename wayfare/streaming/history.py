@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
-from wayfare.operators.context import BLOCK
+from wayfare.operators.context import BLOCK, block_number
 
 _MESSAGES = "array<struct<role:string,text:string>>"
 _OUT = (
@@ -44,9 +43,8 @@ def stream_history(turns: DataFrame, block: int = BLOCK) -> DataFrame:
         )
 
     turns = turns.select("conv_id", "turn", "role", "text")
-    number = F.floor(F.col("turn") / F.lit(block)).cast("bigint")
     return (
-        turns.withColumn("block", number)
+        turns.withColumn("block", block_number(block))
         .groupBy("conv_id", "block")
         .applyInPandasWithState(step, _OUT, _STATE, "append", GroupStateTimeout.NoTimeout)
     )
