@@ -64,6 +64,10 @@ def test_exploded_grams_equal_the_array_form(frame):
     from wayfare.operators import tfidf
 
     rows = [(1, "dim sum 點心 a ab x"), (2, "一二三四五六七"), (3, "  ")]
+    # Words around and beyond the length at which they are cut into stretches.
+    letters = "abcdefgh點心茶飯"
+    for n in (60, 61, 62, 63, 64, 65, 66, 125, 126, 127, 128, 129, 130, 131, 300):
+        rows.append((n, "".join(letters[(i * i + i // 7) % len(letters)] for i in range(n))))
     df = frame(rows, "doc_id bigint, text string")
     want = df.select("doc_id", F.explode(text.char_grams("text")).alias("term"))
     want = {(r[0], r[1]): r[2] for r in want.groupBy("doc_id", "term").count().collect()}

@@ -58,15 +58,37 @@ def word_counts(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     return pieces.groupBy(*keys, "word").agg(F.count(F.lit(1)).alias("n"))
 
 
+# Longest stretch of one word in which grams start; see ``gram_starts``.
+STRETCH = 64
+
+
+def gram_starts(words_: DataFrame, keys: list[str], low: int, high: int) -> DataFrame:
+    """(*keys, p, size, i): every place ``i`` in a padded ``word`` where a gram starts.
+
+    A substring costs its distance from the start, and text without spaces is one long word, so
+    long words are cut into stretches that overlap by the gram size: each gram starts in one.
+    """
+    padded = F.concat(F.lit(" "), "word", F.lit(" "))
+    size = F.length("word") + 2
+    last = F.floor((size - low) / F.lit(STRETCH)).cast("int")
+    stretch = F.substr(padded, F.col("k") * STRETCH + 1, F.lit(STRETCH + high - 1))
+    short = F.length("word") + 2 <= STRETCH + low - 1
+    starts = F.sequence(F.lit(1), F.least(F.lit(STRETCH), F.col("size") - low + 1))
+    return (
+        words_.filter(size >= low)
+        .select(*keys, "word", F.explode(F.sequence(F.lit(0), last)).alias("k"))
+        .select(*keys, F.when(short, padded).otherwise(stretch).alias("p"))
+        .withColumn("size", F.length("p"))
+        .withColumn("i", F.explode(starts))
+    )
+
+
 def _explode_grams(words_: DataFrame, keys: list[str], low: int, high: int) -> DataFrame:
     """Grams of a ``word`` column, one row each: start positions first, then the sizes there.
 
     Same grams as ``word_grams``, but without array lambdas, so it stays in generated code.
     """
-    padded = F.concat(F.lit(" "), "word", F.lit(" ")).alias("p")
-    length = (F.length("word") + 2).alias("size")
-    starts = F.explode(F.sequence(F.lit(1), F.length("word") + 3 - low)).alias("i")
-    at = words_.filter(F.length("word") + 2 >= low).select(*keys, padded, length, starts)
+    at = gram_starts(words_, keys, low, high)
     grams = [
         F.when(F.col("i") + n - 1 <= F.col("size"), F.substr("p", "i", F.lit(n)))
         for n in range(low, high + 1)
