@@ -16,15 +16,20 @@ from wayfare.session import cut
 
 # A vocabulary is ranked in one task and broadcast, so its size is bounded by construction.
 MAX_VOCABULARY = 1_000_000
+SPARK_DEFAULT_PARTITIONS = 200
 
 
 def spread_by_id(docs: DataFrame) -> DataFrame:
     """Rows spread by ``doc_id`` over a fixed number of tasks.
 
     With the number given, adaptive execution does not merge partitions that look small but
-    hold texts about to be exploded into many rows.
+    hold texts about to be exploded into many rows. It is ``spark.sql.shuffle.partitions``, or
+    twice the cores where that was left at Spark's default, which is chosen for no data.
     """
-    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spark = docs.sparkSession
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if tasks == SPARK_DEFAULT_PARTITIONS:
+        tasks = 2 * spark.sparkContext.defaultParallelism
     return docs.repartition(tasks, "doc_id")
 
 
