@@ -48,6 +48,29 @@ def test_sparse_search_and_single_list_fusion(spark, model):
     assert [r["score"] for r in fused] == [0.016393, 0.016129, 0.015873]
 
 
+def test_large_query_sets_are_joined_by_term(spark, monkeypatch):
+    """The same hits when no query is held by the tasks and frequent terms are split."""
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(30)]
+    rows = [
+        (i, "abc"[i % 3], " ".join(["hot"] + rng.choices(words, k=rng.randint(1, 12)))) for i in range(120)
+    ]
+    docs = spark.createDataFrame(rows, "doc_id bigint, tag string, text string")
+    counts = tfidf.term_counts(docs, carry=("tag",))
+    terms = tfidf.fit_vocabulary(counts, 120)
+    vectors = tfidf.sparse_vectors(counts, terms, ("tag",))
+    asked = spark.createDataFrame(
+        [(i, ["a"] if i % 2 else [], f"hot w{i} w{i + 9}") for i in range(20)],
+        "query_id bigint, tags array<string>, text string",
+    )
+    q = search.query_weights(asked, terms)
+    held = sorted(map(tuple, search.sparse_topk(vectors, q, 4).collect()))
+    monkeypatch.setattr(search, "MAX_QUERY_TERMS", 0)
+    monkeypatch.setattr(search, "HOT_POSTINGS", 10)
+    assert sorted(map(tuple, search.sparse_topk(vectors, q, 4).collect())) == held
+    assert len(held) == 80
+
+
 def test_vocabulary_size_is_bounded(model):
     counts, _ = model
     with pytest.raises(ValueError):
@@ -144,7 +167,7 @@ def test_pairs_equal_brute_force(spark, pivots, threshold):
 
 
 def _greedy(n, pairs):
-    """Reference walk: leaders in row order, groups look forward."""
+    """Sequential walk: leaders in row order, groups look forward."""
     near = {i: set() for i in range(n)}
     for a, b in pairs:
         near[a].add(b)

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wayfare.operators.grouping import broadcast_if_small, small, top_k
+from wayfare.operators.grouping import small, spread_join, top_k
 from wayfare.operators.tfidf import spread_by_id, term_counts, tfidf_weights, unpack_sparse
 
 DIGITS = 6
@@ -22,6 +22,8 @@ DOC_BLOCK = 8192
 MAX_HITS = 1_000_000
 # Query terms (rows) broadcast to the postings.
 MAX_QUERY_TERMS = 1_000_000
+# Postings of one term handled by one task in the join by term.
+HOT_POSTINGS = 1_000_000
 
 
 def tag_condition(tags: Column, tag: Column) -> Column:
@@ -139,10 +141,15 @@ def sparse_scores(weights: DataFrame, queries: DataFrame) -> DataFrame:
     (doc_id, query_id) needs no further exchange.
     """
     q = queries.withColumnRenamed("weight", "_qw")
-    on = weights["term_id"] == q["term_id"]
+    if small(q, MAX_QUERY_TERMS):
+        hits = weights.join(F.broadcast(q), "term_id")
+    else:
+        # One row per vocabulary term; terms with long posting lists are split over tasks.
+        postings = weights.groupBy("term_id").agg(F.count(F.lit(1)).alias("_n"))
+        q = q.join(F.broadcast(postings), "term_id")
+        hits = spread_join(weights, q, "term_id", "doc_id", "_n", HOT_POSTINGS)
     if "tags" in q.columns and "tag" in weights.columns:
-        on = on & tag_condition(q["tags"], weights["tag"])
-    hits = weights.join(broadcast_if_small(q, MAX_QUERY_TERMS), on)
+        hits = hits.filter(tag_condition(F.col("tags"), F.col("tag")))
     dots = hits.groupBy("doc_id", "query_id").agg(F.sum(F.col("weight") * F.col("_qw")).alias("s"))
     return dots.select("query_id", "doc_id", F.round("s", DIGITS).alias("score"))
 
