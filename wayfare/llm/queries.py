@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfare.llm import lines, quality, shards
+from wayfare.llm import bpe, lines, quality, shards, tokens
 from wayfare.llm.common import table
+from wayfare.session import shared_folder
 
 
 def op1_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
@@ -14,6 +17,13 @@ def op1_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op5_rans_token_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    path = f"{shared_folder(spark)}/op5-{uuid.uuid4().hex}"
+    tokens.write(table(spark, sf, "documents"), path)
+    crc = F.crc32("ids").alias("ids_crc32")
+    return tokens.read(spark, path).select("doc_id", "start", "n_tokens", crc)
+
+
 def op7_compression_quality(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text")
     model = quality.fit(docs, table(spark, sf, "labels"))
@@ -22,6 +32,17 @@ def op7_compression_quality(spark: SparkSession, sf: str) -> DataFrame:
     return scored.select("doc_id", quality.held_out().alias("held_out"), "score", predicted)
 
 
+def op8_duckdb_bpe(spark: SparkSession, sf: str) -> DataFrame:
+    coded = bpe.encode(table(spark, sf, "documents").select("doc_id", "text"))
+    digits = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return bpe.decode(coded).select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(digits, 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def op9_hypergeometric_shards(spark: SparkSession, sf: str) -> DataFrame:
     placed = shards.shard_rows(table(spark, sf, "documents").select("doc_id", "text"))
     data = F.coalesce(F.col("text"), F.lit("")).cast("binary")
@@ -38,6 +59,8 @@ def op9_hypergeometric_shards(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
+    "op5_rans_token_blocks": op5_rans_token_blocks,
     "op7_compression_quality": op7_compression_quality,
+    "op8_duckdb_bpe": op8_duckdb_bpe,
     "op9_hypergeometric_shards": op9_hypergeometric_shards,
 }
