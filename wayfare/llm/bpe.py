@@ -85,17 +85,13 @@ select word, list(token order by pos) as ids from step where done group by word
 """
 
 _ENCODE = """
-select doc, flatten(list(ids)) as ids from (
-  select doc, place, ids from places join known using (unit) order by doc, place
-) group by doc order by doc
+select doc, flatten(list(ids order by place)) as ids
+from places join known using (unit) group by doc order by doc
 """
 
 _DECODE = """
-select doc, list(bytes) as pieces from (
-  select doc, place, bytes
-  from (select doc, unnest(ids) as id, generate_subscripts(ids, 1) as place from coded)
-  join vocabulary using (id) order by doc, place
-) group by doc order by doc
+select doc, list(bytes order by place) as pieces
+from places join vocabulary using (id) group by doc order by doc
 """
 
 

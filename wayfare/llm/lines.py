@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wayfare.llm.common import row_key
+from wayfare.llm.common import row_key, staged
 
 _BLANK = b" \t\n\x0b\x0c\r"
 _KEYS = "array<struct<a:bigint,b:bigint>>"
@@ -94,6 +94,8 @@ def drop_frequent_lines(
         "__row", "k.a", "k.b"
     )
     frequent = lines.groupBy("a", "b").count().filter(F.col("count") >= min_docs).select("a", "b")
+    # Written first: a join splits a hot key only between two plain exchanges.
+    frequent = staged(frequent, "lines")
     own = lines.join(frequent, ["a", "b"]).groupBy("__row").agg(
         F.collect_set(F.struct("a", "b")).alias("__hot")
     )

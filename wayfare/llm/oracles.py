@@ -16,5 +16,26 @@ with l as (
 select doc_id, count(*) as n_lines, count(f.key) as n_dropped,
   sha256(coalesce(string_agg(line, chr(10) order by i) filter (f.key is null), '')) as kept_sha256
 from l left join f using (key) group by doc_id
+""",
+    "op3_de_bruijn_spans": r"""
+with w as (
+  select doc_id, regexp_extract_all(coalesce(text, ''), '[^ \x09-\x0D]+') as ws from documents
+), g as (
+  select doc_id, unnest(range(1, len(ws) - 18)) as i, ws from w where len(ws) >= 20
+), h as (
+  select doc_id, i, row_number() over (
+    partition by array_to_string(ws[i:i + 19], ' ') order by doc_id, i) as n from g
+), gone as (
+  select distinct doc_id, i + j as p from h, range(20) r(j) where n > 1
+), p as (
+  select doc_id, unnest(range(1, len(ws) + 1)) as p, unnest(ws) as word from w
+), k as (
+  select p.doc_id, count(*) as n_words, count(gone.p) as n_removed,
+    coalesce(string_agg(word, ' ' order by p.p) filter (gone.p is null), '') as kept
+  from p left join gone on gone.doc_id = p.doc_id and gone.p = p.p group by 1
+)
+select doc_id, coalesce(n_words, 0) as n_words, coalesce(n_removed, 0) as n_removed,
+  sha256(coalesce(kept, '')) as kept_sha256
+from documents left join k using (doc_id)
 """,
 }

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfare.llm import bpe, lines, quality, shards, tokens
+from wayfare.llm import bpe, debruijn, itq, lines, quality, shards, tokens, weighted
 from wayfare.llm.common import table
 from wayfare.session import shared_folder
 
@@ -17,6 +17,15 @@ def op1_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op3_de_bruijn_spans(spark: SparkSession, sf: str) -> DataFrame:
+    out = debruijn.drop_repeated_spans(table(spark, sf, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op4_itq_embedding_links(spark: SparkSession, sf: str) -> DataFrame:
+    return itq.linked_vectors(table(spark, sf, "embeddings"))
+
+
 def op5_rans_token_blocks(spark: SparkSession, sf: str) -> DataFrame:
     path = f"{shared_folder(spark)}/op5-{uuid.uuid4().hex}"
     tokens.write(table(spark, sf, "documents"), path)
@@ -57,10 +66,17 @@ def op9_hypergeometric_shards(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op10_weighted_near_duplicates(spark: SparkSession, sf: str) -> DataFrame:
+    return weighted.near_duplicates(table(spark, sf, "documents"))
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
+    "op3_de_bruijn_spans": op3_de_bruijn_spans,
+    "op4_itq_embedding_links": op4_itq_embedding_links,
     "op5_rans_token_blocks": op5_rans_token_blocks,
     "op7_compression_quality": op7_compression_quality,
     "op8_duckdb_bpe": op8_duckdb_bpe,
     "op9_hypergeometric_shards": op9_hypergeometric_shards,
+    "op10_weighted_near_duplicates": op10_weighted_near_duplicates,
 }

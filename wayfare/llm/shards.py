@@ -1,10 +1,12 @@
 """Sharding by a hypergeometric communication matrix: a uniform shuffle with exact shard sizes.
 
-Rows are counted per input partition. For each partition one draw says how many of its rows go to
+Rows are counted per input partition. A row of the matrix says how many rows a partition sends to
 each block of each shard; the draws are without replacement, so every block gets exactly its size.
-Each partition deals its rows out at random in these numbers, rows are exchanged by block, and
-each block is permuted again. All orders of all rows are equally likely (Sanders 1998), no sort of
-the whole table happens, and equal texts are rows like others, so groups of copies cause no skew.
+No one holds the matrix: it is split along a binary tree over the partitions with seeded draws,
+and each task walks down to its own row. Each partition deals its rows out at random in these
+numbers, rows are exchanged by block, and each block is permuted again. All orders of all rows
+are equally likely (Sanders 1998), no sort of the whole table happens, and equal texts are rows
+like others, so groups of copies cause no skew.
 """
 
 from __future__ import annotations
@@ -18,29 +20,40 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 
-def block_sizes(rows: int, shards: int, block_rows: int) -> list[list[int]]:
-    """Sizes of the blocks of each shard; shards differ by one row at most, and so do blocks."""
-    sizes = []
+def blocks_of(rows: int, shards: int, block_rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(shard, first slot, size) of every block; shards differ by one row at most, and so do the
+    blocks of a shard."""
+    shard, first, size = [], [], []
     for s in range(shards):
         own = rows // shards + (s < rows % shards)
-        blocks = max(1, -(-own // block_rows))
-        sizes.append([own // blocks + (b < own % blocks) for b in range(blocks)])
-    return sizes
+        count = max(1, -(-own // block_rows))
+        sizes = np.full(count, own // count, np.int64)
+        sizes[: own % count] += 1
+        shard.append(np.full(count, s, np.int32))
+        first.append(np.cumsum(sizes) - sizes)
+        size.append(sizes)
+    return np.concatenate(shard), np.concatenate(first), np.concatenate(size)
 
 
-def communication_matrix(counts: list[int], sizes: list[int], seed: int) -> np.ndarray:
-    """Rows that partition p sends to block b: row sums are ``counts``, column sums ``sizes``."""
-    rng = np.random.default_rng([seed, len(counts)])
-    left = np.array(sizes, np.int64)
-    matrix = np.zeros((len(counts), len(sizes)), np.int64)
-    for p, n in enumerate(counts):
-        matrix[p] = rng.multivariate_hypergeometric(left, n, method="marginals")
-        left -= matrix[p]
-    return matrix
+def matrix_row(counts: np.ndarray, sizes: np.ndarray, row: int, seed: int) -> np.ndarray:
+    """Rows that partition ``row`` sends to each block: row sums are ``counts``, column sums ``sizes``.
+
+    The draw of a tree node depends on the seed and the node alone, so all tasks agree on it.
+    """
+    low, high, left = 0, len(counts), sizes
+    while high - low > 1:
+        middle = (low + high) // 2
+        rng = np.random.default_rng([seed, low, high])
+        lower = rng.multivariate_hypergeometric(left, int(counts[low:middle].sum()), method="marginals")
+        if row < middle:
+            high, left = middle, lower
+        else:
+            low, left = middle, left - lower
+    return left.copy()
 
 
 def shard_rows(
-    docs: DataFrame, shards: int = 8, block_rows: int = 20_000, seed: int = 7
+    docs: DataFrame, shards: int = 8, block_rows: int = 4096, seed: int = 7
 ) -> DataFrame:
     """``docs`` with shard (int, 0 to shards - 1) and slot (long, gapless from 0 in each shard).
 
@@ -49,20 +62,20 @@ def shard_rows(
     other inputs first. A partition that changes size between counting and dealing raises instead
     of losing rows. Nulls, repeated rows and long texts are rows like others. Columns already named
     shard or slot are replaced; the others pass unchanged. An empty table gives an empty table.
-    The driver holds one count per partition and one per partition and block.
+    The driver holds one count per partition.
     """
     docs = docs.drop("shard", "slot")
     counted = docs.groupBy(F.spark_partition_id().alias("p")).count().collect()
-    counts = {r["p"]: r["count"] for r in counted}
-    parts = sorted(counts)
-    sizes = block_sizes(sum(counts.values()), shards, block_rows)
-    flat = [n for own in sizes for n in own]
-    matrix = communication_matrix([counts[p] for p in parts], flat, seed)
-    sent = docs.sparkSession.sparkContext.broadcast(dict(zip(parts, matrix, strict=True)))
+    parts = {r["p"]: i for i, r in enumerate(sorted(counted, key=lambda r: r["p"]))}
+    counts = np.array([r["count"] for r in sorted(counted, key=lambda r: r["p"])], np.int64)
+    sent = docs.sparkSession.sparkContext.broadcast((parts, counts))
 
     def deal(batches):
         part = TaskContext.get().partitionId()
-        left = sent.value.get(part, np.zeros(len(flat), np.int64)).copy()
+        rows, numbers = sent.value
+        shard, first, sizes = blocks_of(int(numbers.sum()), shards, block_rows)
+        known = part in rows
+        left = matrix_row(numbers, sizes, rows[part], seed) if known else np.zeros_like(sizes)
         rng = np.random.default_rng([seed, part])
         for batch in batches:
             n = batch.num_rows
@@ -70,24 +83,17 @@ def shard_rows(
                 raise ValueError("a partition grew between counting and dealing: stage the input")
             drawn = rng.multivariate_hypergeometric(left, n, method="marginals")
             left -= drawn
-            block = rng.permutation(np.repeat(np.arange(len(flat)), drawn))
+            block = rng.permutation(np.repeat(np.arange(len(sizes)), drawn))
             place = rng.integers(-(2**63), 2**63, n, np.int64)
-            columns = [*batch.columns, pa.array(block.astype(np.int32)), pa.array(place)]
-            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, "__block", "__place"])
+            added = [pa.array(shard[block]), pa.array(first[block]), pa.array(place)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *added], [*batch.schema.names, *names])
         if left.sum():
             raise ValueError("a partition shrank between counting and dealing: stage the input")
 
-    schema = T.StructType(
-        [*docs.schema.fields, T.StructField("__block", T.IntegerType()), T.StructField("__place", T.LongType())]
-    )
-    first = [sum(own[:b]) for own in sizes for b in range(len(own))]
-    shard = [s for s, own in enumerate(sizes) for _ in own]
-    blocks = docs.sparkSession.createDataFrame(
-        [(b, s, f) for b, (s, f) in enumerate(zip(shard, first, strict=True))],
-        "__block int, shard int, __first long",
-    )
-    order = Window.partitionBy("__block").orderBy("__place")
-    dealt = docs.mapInArrow(deal, schema).withColumn("__n", F.row_number().over(order))
-    placed = dealt.join(blocks, "__block")
-    slot = F.col("__first") + F.col("__n") - 1
-    return placed.select(*docs.columns, "shard", slot.cast("long").alias("slot"))
+    names = ["shard", "__first", "__place"]
+    types = [T.IntegerType(), T.LongType(), T.LongType()]
+    fields = [T.StructField(n, t) for n, t in zip(names, types, strict=True)]
+    dealt = docs.mapInArrow(deal, T.StructType([*docs.schema.fields, *fields]))
+    order = Window.partitionBy("shard", "__first").orderBy("__place")
+    slot = F.col("__first") + F.row_number().over(order) - 1
+    return dealt.select(*docs.columns, "shard", slot.cast("long").alias("slot"))

@@ -1,19 +1,22 @@
 """Token ids as compressed binary blocks in ascending order of documents.
 
-One pass counts token ids over all documents; the counts, as many as the vocabulary has entries,
-become the one frequency table that all blocks share. A second pass sorts documents by id with a
-range exchange, encodes whole documents into blocks of ``rans`` and writes these to a table of
-(part, seq, first, doc_ids, lengths, block). A reader decodes blocks independently.
+Documents are sorted by id with a range exchange, tokenized once and staged as blocks of whole
+documents. Token ids are counted over all blocks; the counts, as many as the vocabulary has
+entries, become the one frequency table that all blocks share. Then each block is encoded by
+``rans`` into a table of (part, seq, first, doc_ids, lengths, block). A reader decodes blocks
+independently.
 """
 
 from __future__ import annotations
 
 import os
+from array import array
 from itertools import chain, filterfalse
 
 import numpy as np
-import pyarrow as pa
 import public_tokenizers
+import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,7 +28,7 @@ from wayfare.llm.units import slices, units
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 END_ID = 2
 _SLICE = 2_000_000
-_CACHED = 1_000_000
+_CACHED = 1_200_000
 
 
 class Encoder:
@@ -41,16 +44,24 @@ class Encoder:
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian uint32."""
-        cut = [units(t) for t in texts]
         if len(self.cache) > _CACHED:
             self.cache.clear()
-        known = self.cache
-        new = list(set(filterfalse(known.__contains__, chain.from_iterable(cut))))
+        known, out, late = self.cache, [], []
+        for i, text in enumerate(texts):
+            cut = units(text)
+            found = list(map(known.get, cut))
+            if None in found:
+                late.append((i, cut))
+                out.append(None)
+            else:
+                out.append(b"".join(found))
+        new = list(set(filterfalse(known.__contains__, chain.from_iterable(c for _, c in late))))
         for i in range(0, len(new), 4096):
-            coded = self.tokenizer.encode_batch_fast(new[i : i + 4096], add_special_tokens=False)
-            for unit, c in zip(new[i : i + 4096], coded, strict=True):
-                known[unit] = np.array(c.ids, "<u4").tobytes()
-        out = [b"".join(map(known.__getitem__, c)) for c in cut]
+            some = new[i : i + 4096]
+            coded = self.tokenizer.encode_batch_fast(some, add_special_tokens=False)
+            known.update(zip(some, (array("I", c.ids).tobytes() for c in coded), strict=True))
+        for i, cut in late:
+            out[i] = b"".join(map(known.__getitem__, cut))
         for unit in new:  # long units rarely repeat
             if len(unit) > 100:
                 del known[unit]
@@ -61,27 +72,35 @@ def encoder(path: str) -> Encoder:
     return kept_by_worker(("tokenizers", path), lambda: Encoder(path))
 
 
-def count_ids(docs: DataFrame, vocabulary: str = VOCABULARY, end_id: int | None = END_ID) -> DataFrame:
-    """(id, count) over all texts, the end id of each row included."""
+def _count(blocks: DataFrame) -> DataFrame:
+    """(id, count) over all ids of staged blocks."""
 
     def count(batches):
-        encode, total = encoder(vocabulary), np.zeros(1, np.int64)
+        total = np.zeros(1, np.int64)
         for batch in batches:
-            texts = [t or "" for t in batch.column(0).to_pylist()]
-            for a, b in slices(texts, _SLICE):
-                found = np.bincount(np.frombuffer(b"".join(encode(texts[a:b])), "<u4"))
+            for data in batch.column(0).to_pylist():
+                found = np.bincount(_unpack(data))
                 total.resize(max(len(total), len(found)), refcheck=False)
                 total[: len(found)] += found
-            if end_id is not None:
-                total.resize(max(len(total), end_id + 1), refcheck=False)
-                total[end_id] += len(texts)
         ids = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(total[ids])], ["id", "count"])
 
-    counted = docs.select("text").mapInArrow(count, "id long, count long")
+    counted = blocks.select("ids").mapInArrow(count, "id long, count long")
     return counted.groupBy("id").agg(F.sum("count").alias("count"))
 
 
+def _pack(ids: np.ndarray) -> bytes:
+    """Compressed: the low halves of the ids, then the high halves, mostly zeros."""
+    return zstandard.ZstdCompressor(level=1).compress(
+        (ids & 0xFFFF).astype("<u2").tobytes() + (ids >> 16).astype("<u2").tobytes()
+    )
+
+
+def _unpack(data: bytes) -> np.ndarray:
+    low, high = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), "<u2").reshape(2, -1)
+    return low.astype(np.int64) | (high.astype(np.int64) << 16)
+
+
 def write(
     docs: DataFrame,
     path: str,
@@ -99,29 +118,19 @@ def write(
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
-    # As many rows as the vocabulary has ids, however large the corpus.
-    counts = count_ids(docs, vocabulary, end_id).toPandas()
-    dense = np.zeros(int(counts["id"].max()) + 1 if len(counts) else 1, np.int64)
-    dense[counts["id"].to_numpy()] = counts["count"].to_numpy()
-    table = rans.Table.fit(dense, scale_bits)
-    spark.createDataFrame(
-        [(scale_bits, table.freqs.astype("<u4").tobytes())], "scale_bits int, freqs binary"
-    ).write.parquet(f"{path}/table")
-    sent = spark.sparkContext.broadcast(table)
     end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
 
-    def blocks(batches):
-        encode, model, part = encoder(vocabulary), sent.value, TaskContext.get().partitionId()
-        names = ["part", "seq", "first", "doc_ids", "lengths", "block"]
-        types = [pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
+    def tokenize(batches):
+        encode, part = encoder(vocabulary), TaskContext.get().partitionId()
         held, ids, size, seq, first = [], [], 0, 0, 0
 
         def block():
             lengths = [len(x) // 4 for x in held]
-            data = rans.encode(np.frombuffer(b"".join(held), "<u4"), model)
-            row = [[part], [seq], [first], [ids], [lengths], [data]]
+            row = [[part], [seq], [first], [ids], [lengths], [_pack(np.frombuffer(b"".join(held), "<u4"))]]
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, types)], names)
 
+        names = ["part", "seq", "first", "doc_ids", "lengths", "ids"]
+        types = [pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             keys = batch.column(0).to_pylist()
@@ -138,8 +147,27 @@ def write(
 
     order = [F.col("doc_id"), F.xxhash64("text")]
     ranged = docs.repartitionByRange(parallelism(spark), *order).sortWithinPartitions(*order)
-    schema = "part int, seq long, first long, doc_ids array<long>, lengths array<long>, block binary"
-    ranged.mapInArrow(blocks, schema).write.parquet(f"{path}/blocks")
+    rest = "part int, seq long, first long, doc_ids array<long>, lengths array<long>"
+    plain = staged(ranged.mapInArrow(tokenize, f"{rest}, ids binary"), "ids")
+    # As many rows as the vocabulary has ids, however large the corpus.
+    counts = _count(plain).toPandas()
+    dense = np.zeros(int(counts["id"].max()) + 1 if len(counts) else 1, np.int64)
+    dense[counts["id"].to_numpy()] = counts["count"].to_numpy()
+    table = rans.Table.fit(dense, scale_bits)
+    spark.createDataFrame(
+        [(scale_bits, table.freqs.astype("<u4").tobytes())], "scale_bits int, freqs binary"
+    ).write.parquet(f"{path}/table")
+    sent = spark.sparkContext.broadcast(table)
+
+    def compress(batches):
+        model = sent.value
+        for batch in batches:
+            data = [rans.encode(_unpack(x), model) for x in batch["ids"].to_pylist()]
+            names = batch.schema.names[:-1]
+            columns = [batch[n] for n in names]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(data, pa.binary())], [*names, "block"])
+
+    plain.mapInArrow(compress, f"{rest}, block binary").write.parquet(f"{path}/blocks")
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:

@@ -9,15 +9,15 @@ from __future__ import annotations
 
 import re
 
-_TWO_BLANKS = re.compile(r"\s\s|\0")
 _CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
 
 
 def units(text: str) -> list[str]:
     """Parts of ``text`` in order; empty parts mean nothing. Their concatenation is ``text``."""
-    if _TWO_BLANKS.search(text):
+    if len(text.split()) != text.count(" ") + text.count("\n") + 1 or "\0" in text:
         return _CUT.split(text)
-    # Every blank stands alone here: a space goes with what follows, a newline stands by itself.
+    # Every blank is a space or a newline and stands alone between other characters: a space goes
+    # with what follows, a newline stands by itself.
     return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
 
 
