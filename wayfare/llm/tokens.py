@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import os
 from array import array
-from itertools import chain, filterfalse
 
 import numpy as np
 import public_tokenizers
@@ -22,13 +21,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayfare.llm import rans
-from wayfare.llm.common import kept_by_worker, parallelism
-from wayfare.llm.units import slices, units
+from wayfare.llm.common import kept_by_worker, parallelism, staged
+from wayfare.llm.units import Recent, slices, units
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 END_ID = 2
 _SLICE = 2_000_000
-_CACHED = 1_200_000
+_CACHED = 600_000
 
 
 class Encoder:
@@ -40,32 +39,18 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.cache: dict[str, bytes] = {}
+        self.cache = Recent(_CACHED)
+
+    def _new(self, some: list[str]) -> list[bytes]:
+        out = []
+        for i in range(0, len(some), 4096):
+            coded = self.tokenizer.encode_batch_fast(some[i : i + 4096], add_special_tokens=False)
+            out += [array("I", c.ids).tobytes() for c in coded]
+        return out
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian uint32."""
-        if len(self.cache) > _CACHED:
-            self.cache.clear()
-        known, out, late = self.cache, [], []
-        for i, text in enumerate(texts):
-            cut = units(text)
-            found = list(map(known.get, cut))
-            if None in found:
-                late.append((i, cut))
-                out.append(None)
-            else:
-                out.append(b"".join(found))
-        new = list(set(filterfalse(known.__contains__, chain.from_iterable(c for _, c in late))))
-        for i in range(0, len(new), 4096):
-            some = new[i : i + 4096]
-            coded = self.tokenizer.encode_batch_fast(some, add_special_tokens=False)
-            known.update(zip(some, (array("I", c.ids).tobytes() for c in coded), strict=True))
-        for i, cut in late:
-            out[i] = b"".join(map(known.__getitem__, cut))
-        for unit in new:  # long units rarely repeat
-            if len(unit) > 100:
-                del known[unit]
-        return out
+        return self.cache.joined([units(t) for t in texts], self._new)
 
 
 def encoder(path: str) -> Encoder:

@@ -8,6 +8,7 @@ that are not blank, and each part be split and encoded alone: units repeat, and
 from __future__ import annotations
 
 import re
+from itertools import chain, filterfalse
 
 _CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
 
@@ -31,3 +32,38 @@ def slices(texts, most: int):
             first, size = i + 1, 0
     if first < len(texts):
         yield first, len(texts)
+
+
+class Recent:
+    """Codes of units of late: two generations of about ``most`` units each.
+
+    When the young generation is full it becomes the old one, so units that recur stay.
+    """
+
+    def __init__(self, most: int) -> None:
+        self.most, self.young, self.old = most, {}, {}
+
+    def joined(self, cut: list[list[str]], make) -> list[bytes]:
+        """The codes of each list's units, joined; ``make`` gets the list of unknown units."""
+        young, out, late = self.young, [], []
+        for i, units_here in enumerate(cut):
+            try:
+                out.append(b"".join(map(young.__getitem__, units_here)))
+            except KeyError:
+                out.append(b"")
+                late.append(i)
+        if late:
+            unknown = chain.from_iterable(cut[i] for i in late)
+            lacking = set(filterfalse(young.__contains__, unknown))
+            again = {u: self.old[u] for u in lacking if u in self.old}
+            young.update(again)
+            new = list(lacking.difference(again))
+            young.update(zip(new, make(new) if new else (), strict=True))
+            for i in late:
+                out[i] = b"".join(map(young.__getitem__, cut[i]))
+            for unit in new:
+                if len(unit) > 100:  # long ones rarely recur
+                    del young[unit]
+        if len(young) > self.most:
+            self.young, self.old = {}, young
+        return out
