@@ -4,14 +4,13 @@ Texts are cut into matches of the pattern. Rows (word, pos, token) of the distin
 worker has not met before join the merge table; in every round of a recursive query each word
 contracts its leftmost pair of least rank, and a word without a pair leaves. Words longer than
 ``LONG`` bytes contract all occurrences of that pair in one round where this provably changes
-nothing, so their number of rounds stays small. Ordered aggregation puts the ids of a document
-together, and decodes them.
+nothing, so their number of rounds stays small. The ids of a text are those of its words in
+order. Ordered aggregation of the tokens' bytes decodes them.
 """
 
 from __future__ import annotations
 
 import base64
-from itertools import chain, filterfalse
 
 import duckdb
 import numpy as np
@@ -22,12 +21,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wayfare.llm.common import kept_by_worker
-from wayfare.llm.units import slices, units
+from wayfare.llm.units import Recent, slices, units
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 LONG = 48
-_SLICE = 3_000_000
-_CACHED = 1_000_000
+_SLICE = 4_000_000
+_CACHED = 400_000
 
 # One round contracts one pair of each word.
 _SINGLE = """
@@ -35,19 +34,18 @@ with recursive step as (
   select word, pos, token, false as done from symbols
   union all
   (with paired as (
-    select word, pos, token,
-      lead(token) over (partition by word order by pos) as next from step where not done
+    select word, pos, token, lead(token) over w as next, lead(pos) over w as after
+    from step where not done window w as (partition by word order by pos)
   ), ranked as (
-    select p.word, p.pos, p.token, m.rank
-    from paired p left join merges m on m.l = p.token and m.r = p.next
+    select p.word, p.pos, p.after, (m.rank::bigint << 32) | p.pos as place
+    from paired p join merges m on m.l = p.token and m.r = p.next
   ), best as (
-    select word, min(rank) as least, min(struct_pack(r := rank, p := pos)) as first
-    from ranked where rank is not null group by word
+    select word, min(place) as place, arg_min(after, place) as gone from ranked group by word
   )
-  select r.word, r.pos, case when r.pos = b.first.p then b.least else r.token end as token,
+  select p.word, p.pos,
+    case when p.pos = b.place & 4294967295 then (b.place >> 32)::integer else p.token end as token,
     b.word is null as done
-  from ranked r left join best b using (word)
-  qualify coalesce(lag(r.pos) over (partition by r.word order by r.pos) <> b.first.p, true))
+  from paired p left join best b using (word) where p.pos is distinct from b.gone)
 )
 select word, list(token order by pos) as ids from step where done group by word
 """
@@ -84,11 +82,6 @@ with recursive step as (
 select word, list(token order by pos) as ids from step where done group by word
 """
 
-_ENCODE = """
-select doc, flatten(list(ids order by place)) as ids
-from places join known using (unit) group by doc order by doc
-"""
-
 _DECODE = """
 select doc, list(bytes order by place) as pieces
 from places join vocabulary using (id) group by doc order by doc
@@ -106,7 +99,7 @@ class Coder:
     def __init__(self, path: str, pattern: str) -> None:
         self.ranks = load_ranks(path)
         self.split = regex.compile(pattern).findall
-        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "600MB"})
+        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "500MB"})
         early, pairs = set(), []
         for token, rank in self.ranks.items():
             for i in range(1, len(token)):
@@ -129,9 +122,7 @@ class Coder:
             self.con.execute(f"create table {name} as select * from given")
             self.con.unregister("given")
         self.byte_ids = np.array([self.ranks.get(bytes([b]), -1) for b in range(256)], np.int32)
-        self.words: dict[str, list[int]] = {}
-        self.numbers: dict[str, int] = {}
-        self.ids: list[list[int]] = []
+        self.words, self.units = Recent(_CACHED), Recent(_CACHED)
 
     def _query(self, sql: str, **tables: pa.Table) -> pa.Table:
         for name, rows in tables.items():
@@ -142,85 +133,78 @@ class Coder:
             for name in tables:
                 self.con.unregister(name)
 
-    def _contract(self, words: list[str]) -> None:
-        """Ids of new words into ``words``; a word that is a token as a whole needs no merging."""
-        for limit, sql in ((False, _SINGLE), (True, _MANY)):
+    def _contract(self, words: list[str]) -> list[bytes]:
+        """Ids of words as little-endian int32; a word that is a token needs no merging."""
+        made = dict.fromkeys(words, b"")
+        for long, sql in ((False, _SINGLE), (True, _MANY)):
             some, data = [], []
             for word in words:
                 raw = word.encode("utf-8")
                 if raw in self.ranks:
-                    self.words[word] = [self.ranks[raw]]
-                elif (len(raw) > LONG) == limit:
+                    made[word] = self.ranks[raw].to_bytes(4, "little")
+                elif (len(raw) > LONG) == long:
                     some.append(word)
                     data.append(raw)
             if not some:
                 continue
             lengths = np.array([len(d) for d in data])
             joined = np.frombuffer(b"".join(data), np.uint8)
-            at = np.arange(len(joined)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+            offset = np.arange(len(joined)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
             symbols = pa.table(
                 {
                     "word": np.repeat(np.arange(len(some), dtype=np.int32), lengths),
-                    "pos": at.astype(np.int32),
+                    "pos": offset.astype(np.int32),
                     "token": self.byte_ids[joined],
                 }
             )
             got = self._query(sql, symbols=symbols)
-            for word, ids in zip(got["word"].to_pylist(), got["ids"].to_pylist(), strict=True):
-                self.words[some[word]] = ids
+            lists = got["ids"].combine_chunks()
+            flat = lists.flatten().to_numpy().astype("<i4").tobytes()
+            ends = np.cumsum(lists.value_lengths().to_numpy()) * 4
+            starts = [0, *ends.tolist()]
+            for word, a, b in zip(got["word"].to_pylist(), starts, ends.tolist(), strict=False):
+                made[some[word]] = flat[a:b]
+        return list(made.values())
 
     def encode(self, texts: list[str]) -> pa.Array:
         """Ids of each text."""
-        if len(self.numbers) > _CACHED:
-            self.numbers, self.ids, self.words = {}, [], {}
-        cut = [units(t) for t in texts]
-        new = list(set(filterfalse(self.numbers.__contains__, chain.from_iterable(cut))))
-        matches = [self.split(unit) for unit in new]
-        fresh = set(filterfalse(self.words.__contains__, chain.from_iterable(matches)))
-        self._contract(list(fresh))
-        for unit, own in zip(new, matches, strict=True):
-            self.numbers[unit] = len(self.ids)
-            self.ids.append([i for word in own for i in self.words[word]])
-        lengths = np.array([len(c) for c in cut])
-        number = np.fromiter(
-            map(self.numbers.__getitem__, chain.from_iterable(cut)), np.int32, int(lengths.sum())
-        )
-        distinct, number = np.unique(number, return_inverse=True)
+        data = self.units.joined([units(t) for t in texts], self._new)
+        ends = np.cumsum([0, *map(len, data)]) // 4
+        flat = np.frombuffer(b"".join(data), "<i4")
+        return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat))
+
+    def _new(self, some: list[str]) -> list[bytes]:
+        """Ids of units, each of which is cut into words."""
+        return self.words.joined([self.split(unit) for unit in some], self._contract)
+
+    def decode(self, lists: pa.Array) -> pa.Array:
+        """Bytes of each list of ids; an empty or null list has none. Unknown ids raise."""
+        lengths = lists.value_lengths().fill_null(0).to_numpy()
+        flat = lists.flatten().to_numpy().astype(np.int32)
         places = pa.table(
             {
-                "doc": np.repeat(np.arange(len(texts), dtype=np.int32), lengths),
-                "place": np.arange(len(number), dtype=np.int32),
-                "unit": number.astype(np.int32),
+                "doc": np.repeat(np.arange(len(lists), dtype=np.int32), lengths),
+                "place": np.arange(len(flat), dtype=np.int32),
+                "id": flat,
             }
         )
-        known = pa.table(
-            {
-                "unit": np.arange(len(distinct), dtype=np.int32),
-                "ids": pa.array([self.ids[i] for i in distinct], pa.list_(pa.int32())),
-            }
-        )
-        got = self._query(_ENCODE, places=places, known=known)
-        # The cache is bounded in bytes too: long units and words rarely repeat.
-        for unit in new:
-            if len(unit) > 100:
-                del self.numbers[unit]
-        for word in fresh:
-            if len(word) > 100:
-                del self.words[word]
-        return got["ids"].combine_chunks() if len(texts) else pa.array([], pa.list_(pa.int32()))
-
-    def decode(self, ids: pa.Array) -> list[bytes]:
-        """Bytes of each list of ids; an empty or null list has none. Unknown ids raise."""
-        coded = pa.table({"doc": np.arange(len(ids), dtype=np.int32), "ids": ids})
-        got = self._query(_DECODE, coded=coded)
-        out = [b""] * len(ids)
-        count = 0
-        for doc, pieces in zip(got["doc"].to_pylist(), got["pieces"].to_pylist(), strict=True):
-            out[doc] = b"".join(pieces)
-            count += len(pieces)
-        if count != sum(len(x) for x in ids if x.is_valid):
+        got = self._query(_DECODE, places=places)
+        pieces = got["pieces"].combine_chunks()
+        if len(pieces.flatten()) != len(flat):
             raise ValueError("an id is not in the vocabulary")
-        return out
+        # The pieces of a document lie side by side: its bytes are one slice of their buffer.
+        tokens = pieces.flatten().cast(pa.large_binary())
+        at = np.frombuffer(tokens.buffers()[1], np.int64)[tokens.offset :]
+        out = np.zeros(len(lists), np.int64)
+        last = np.cumsum(pieces.value_lengths().to_numpy())
+        own = at[last] - at[last - pieces.value_lengths().to_numpy()]
+        out[got["doc"].to_numpy()] = own
+        offsets = np.concatenate([[0], np.cumsum(out)]) + (at[0] if len(at) else 0)
+        body = tokens.buffers()[2] or pa.py_buffer(b"")
+        made = pa.LargeBinaryArray.from_buffers(
+            pa.large_binary(), len(lists), [None, pa.py_buffer(offsets.astype(np.int64).tobytes()), body]
+        )
+        return made.cast(pa.binary())
 
 
 def coder(path: str, pattern: str) -> Coder:
@@ -235,10 +219,10 @@ def encode(docs: DataFrame, ranks: str = RANKS, pattern: str = public_tokenizers
     """
 
     def run(texts: pa.Array) -> pa.Array:
-        rows, made = [t or "" for t in texts.to_pylist()], []
+        rows, made = [t or "" for t in texts.to_pylist()], [pa.array([], pa.list_(pa.int32()))]
         for a, b in slices(rows, _SLICE):
-            made.append(coder(ranks, pattern).encode(rows[a:b]))
-        return pa.concat_arrays(made) if made else pa.array([], pa.list_(pa.int32()))
+            made.append(coder(ranks, pattern).encode(rows[a:b]).cast(made[0].type))
+        return pa.concat_arrays(made)
 
     return docs.withColumn("ids", F.arrow_udf(run, "array<int>")(F.col(text)))
 
@@ -247,10 +231,11 @@ def decode(coded: DataFrame, ranks: str = RANKS, pattern: str = public_tokenizer
     """``coded`` with decoded (binary), the bytes of its ids, replacing a column of that name."""
 
     def run(lists: pa.Array) -> pa.Array:
-        made, lengths = [], [len(x) if x.is_valid else 0 for x in lists]
+        made = [pa.array([], pa.binary())]
+        lengths = lists.value_lengths().fill_null(0).to_pylist()
         for a, b in slices([range(n) for n in lengths], _SLICE // 4):
-            made += coder(ranks, pattern).decode(lists.slice(a, b - a))
-        return pa.array(made, pa.binary())
+            made.append(coder(ranks, pattern).decode(lists.slice(a, b - a)))
+        return pa.concat_arrays(made)
 
     return coded.withColumn("decoded", F.arrow_udf(run, "binary")(F.col(ids)))
 
