@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wayfare.llm.common import kept_by_worker
-from wayfare.llm.units import Recent, slices, units
+from wayfare.llm.units import Recent, slices, slices_of
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 LONG = 48
@@ -166,12 +166,10 @@ class Coder:
                 made[some[word]] = flat[a:b]
         return list(made.values())
 
-    def encode(self, texts: list[str]) -> pa.Array:
+    def encode(self, texts: pa.Array) -> pa.Array:
         """Ids of each text."""
-        data = self.units.joined([units(t) for t in texts], self._new)
-        ends = np.cumsum([0, *map(len, data)]) // 4
-        flat = np.frombuffer(b"".join(data), "<i4")
-        return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat))
+        flat, begin = self.units.coded(texts, self._new)
+        return pa.ListArray.from_arrays(pa.array(begin.astype(np.int32)), pa.array(flat.view(np.int32)))
 
     def _new(self, some: list[str]) -> list[bytes]:
         """Ids of units, each of which is cut into words."""
@@ -219,9 +217,10 @@ def encode(docs: DataFrame, ranks: str = RANKS, pattern: str = public_tokenizers
     """
 
     def run(texts: pa.Array) -> pa.Array:
-        rows, made = [t or "" for t in texts.to_pylist()], [pa.array([], pa.list_(pa.int32()))]
-        for a, b in slices(rows, _SLICE):
-            made.append(coder(ranks, pattern).encode(rows[a:b]).cast(made[0].type))
+        made = [pa.array([], pa.list_(pa.int32()))]
+        texts = texts.fill_null("")
+        for a, b in slices_of(texts, _SLICE):
+            made.append(coder(ranks, pattern).encode(texts.slice(a, b - a)).cast(made[0].type))
         return pa.concat_arrays(made)
 
     return docs.withColumn("ids", F.arrow_udf(run, "array<int>")(F.col(text)))

@@ -22,11 +22,11 @@ from pyspark.sql import functions as F
 
 from wayfare.llm import rans
 from wayfare.llm.common import kept_by_worker, parallelism, staged
-from wayfare.llm.units import Recent, slices, units
+from wayfare.llm.units import Recent, slices_of
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 END_ID = 2
-_SLICE = 2_000_000
+_SLICE = 6_000_000
 _CACHED = 600_000
 
 
@@ -48,9 +48,9 @@ class Encoder:
             out += [array("I", c.ids).tobytes() for c in coded]
         return out
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian uint32."""
-        return self.cache.joined([units(t) for t in texts], self._new)
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts in a row, where those of each text begin and the last ends)."""
+        return self.cache.coded(texts, self._new)
 
 
 def encoder(path: str) -> Encoder:
@@ -103,27 +103,28 @@ def write(
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
-    end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
+    end = np.array([] if end_id is None else [end_id], np.uint32)
 
     def tokenize(batches):
         encode, part = encoder(vocabulary), TaskContext.get().partitionId()
         held, ids, size, seq, first = [], [], 0, 0, 0
 
         def block():
-            lengths = [len(x) // 4 for x in held]
-            row = [[part], [seq], [first], [ids], [lengths], [_pack(np.frombuffer(b"".join(held), "<u4"))]]
+            lengths = [len(x) for x in held]
+            row = [[part], [seq], [first], [ids], [lengths], [_pack(np.concatenate(held))]]
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, types)], names)
 
         names = ["part", "seq", "first", "doc_ids", "lengths", "ids"]
         types = [pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
+            texts = batch.column(1).fill_null("")
             keys = batch.column(0).to_pylist()
-            for a, b in slices(texts, _SLICE):
-                for key, coded in zip(keys[a:b], encode(texts[a:b]), strict=True):
-                    held.append(coded + end)
+            for a, b in slices_of(texts, _SLICE):
+                coded, begin = encode(texts.slice(a, b - a))
+                for i, key in enumerate(keys[a:b]):
+                    held.append(np.concatenate([coded[begin[i] : begin[i + 1]], end]))
                     ids.append(key)
-                    size += len(held[-1]) // 4
+                    size += len(held[-1])
                     if size >= block_ids:
                         yield block()
                         held, ids, seq, first, size = [], [], seq + 1, first + size, 0

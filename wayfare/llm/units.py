@@ -10,6 +10,13 @@ from __future__ import annotations
 import re
 from itertools import chain, filterfalse
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+# Two blanks side by side, of any kind that some pattern takes for a blank, or the mark used here.
+_BLANK = r"[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+_BLANKS_MEET = _BLANK + "{2}|\\x00"
 _CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
 
 
@@ -34,6 +41,28 @@ def slices(texts, most: int):
         yield first, len(texts)
 
 
+def slices_of(texts: pa.Array, most: int):
+    """``slices`` of an Arrow array of strings, by bytes."""
+    return slices([range(n) for n in pc.binary_length(texts).to_pylist()], most)
+
+
+def _all_units(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """(units of all texts in a row, dictionary-encoded; number of units of each text)."""
+    if not len(texts):
+        return pa.array([], pa.string()).dictionary_encode(), np.zeros(0, np.int64)
+    # What ``units`` does, on all texts at once; texts where blanks meet are cut one by one.
+    lone = pc.replace_substring(pc.replace_substring(texts, "\n", "\0\n\0"), " ", "\0 ")
+    lists = pc.split_pattern(lone, "\0")
+    counts = lists.value_lengths().to_numpy().astype(np.int64)
+    chunks, done = [], 0
+    for i in np.flatnonzero(pc.match_substring_regex(texts, _BLANKS_MEET).to_numpy(zero_copy_only=False)):
+        own = pa.array(units(texts[int(i)].as_py()), pa.string())
+        chunks += [lists.slice(done, i - done).flatten(), own]
+        counts[i], done = len(own), i + 1
+    chunks.append(lists.slice(done).flatten())
+    return pa.concat_arrays(chunks).dictionary_encode(), counts
+
+
 class Recent:
     """Codes of units of late: two generations of about ``most`` units each.
 
@@ -43,6 +72,33 @@ class Recent:
     def __init__(self, most: int) -> None:
         self.most, self.young, self.old = most, {}, {}
 
+    def values(self, keys: list[str], make) -> list[bytes]:
+        """The code of each of the distinct ``keys``; ``make`` gets the list of unknown ones."""
+        found = list(map(self.young.get, keys))
+        lacking = [k for k, value in zip(keys, found, strict=True) if value is None]
+        if lacking:
+            again = {k: self.old[k] for k in lacking if k in self.old}
+            new = [k for k in lacking if k not in again]
+            again.update(zip(new, make(new) if new else (), strict=True))
+            found = [again[k] if value is None else value for k, value in zip(keys, found, strict=True)]
+            # Long ones rarely recur.
+            self.young.update(again if max(map(len, lacking)) <= 100 else {k: v for k, v in again.items() if len(k) <= 100})
+        if len(self.young) > self.most:
+            self.young, self.old = {}, self.young
+        return found
+
+    def coded(self, texts: pa.Array, make) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts in a row, where those of each text begin and the last ends)."""
+        flat, counts = _all_units(texts)
+        codes = self.values(flat.dictionary.to_pylist(), make)
+        data = np.frombuffer(b"".join(codes), "<u4")
+        sizes = np.fromiter(map(len, codes), np.int64, len(codes)) // 4
+        index = flat.indices.to_numpy()
+        each = sizes[index]
+        ends = np.concatenate([[0], np.cumsum(each)])
+        at = np.repeat((np.cumsum(sizes) - sizes)[index] - ends[:-1], each) + np.arange(int(ends[-1]))
+        return data[at], ends[np.concatenate([[0], np.cumsum(counts)])]
+
     def joined(self, cut: list[list[str]], make) -> list[bytes]:
         """The codes of each list's units, joined; ``make`` gets the list of unknown units."""
         young, out, late = self.young, [], []
