@@ -37,5 +37,30 @@ with w as (
 select doc_id, coalesce(n_words, 0) as n_words, coalesce(n_removed, 0) as n_removed,
   sha256(coalesce(kept, '')) as kept_sha256
 from documents left join k using (doc_id)
+""",
+    "op6_prefix_join_decontamination": r"""
+with d as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws from documents
+), b as (
+  select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws from benchmark
+), bw as (
+  select distinct item_id, least(10, len(ws)) as n, array_to_string(ws[i:i + least(10, len(ws)) - 1], ' ') as w
+  from (select item_id, ws, unnest(range(1, greatest(len(ws) - 9, 1) + 1)) as i from b where len(ws) > 0)
+), dw as (
+  select doc_id, n, i, array_to_string(ws[i:i + n - 1], ' ') as w
+  from (select doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) as i
+    from d, (select distinct n from bw) where len(ws) >= n)
+), h as (select doc_id, item_id, i, n from dw join bw using (n, w)
+), p as (select doc_id, count(distinct p) as n_hit
+  from (select doc_id, unnest(range(i, i + n)) as p from h) group by 1
+), t as (select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as items
+  from (select distinct doc_id, item_id::varchar as item from h) group by 1
+)
+select doc_id, len(ws)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit,
+  coalesce(n_items, 0)::bigint as n_items, sha256(coalesce(items, '')) as items_sha256,
+  coalesce(n_hit, 0) > 0 as contaminated
+from d left join p using (doc_id) left join t using (doc_id)
 """,
 }

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfare.llm import bpe, debruijn, itq, lines, quality, shards, tokens, weighted
+from wayfare.llm import bpe, debruijn, decontam, itq, lines, pii, quality, shards, tokens, weighted
 from wayfare.llm.common import table
 from wayfare.session import shared_folder
 
@@ -17,6 +17,16 @@ def op1_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op2_boosted_personal_data(spark: SparkSession, sf: str) -> DataFrame:
+    found = pii.personal_data(table(spark, sf, "documents"))
+    counts = [
+        F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}")
+        for k, name in enumerate(pii.KINDS)
+    ]
+    digest = F.sha2(pii.spelled(F.col("base")), 256).alias("base_sha256")
+    return found.select("doc_id", *counts, digest, pii.spelled(F.col("spans")).alias("spans"))
+
+
 def op3_de_bruijn_spans(spark: SparkSession, sf: str) -> DataFrame:
     out = debruijn.drop_repeated_spans(table(spark, sf, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
@@ -33,6 +43,18 @@ def op5_rans_token_blocks(spark: SparkSession, sf: str) -> DataFrame:
     return tokens.read(spark, path).select("doc_id", "start", "n_tokens", crc)
 
 
+def op6_prefix_join_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    found = decontam.contaminated(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        "contaminated",
+    )
+
+
 def op7_compression_quality(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text")
     model = quality.fit(docs, table(spark, sf, "labels"))
@@ -72,9 +94,11 @@ def op10_weighted_near_duplicates(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_boosted_personal_data": op2_boosted_personal_data,
     "op3_de_bruijn_spans": op3_de_bruijn_spans,
     "op4_itq_embedding_links": op4_itq_embedding_links,
     "op5_rans_token_blocks": op5_rans_token_blocks,
+    "op6_prefix_join_decontamination": op6_prefix_join_decontamination,
     "op7_compression_quality": op7_compression_quality,
     "op8_duckdb_bpe": op8_duckdb_bpe,
     "op9_hypergeometric_shards": op9_hypergeometric_shards,
