@@ -16,7 +16,7 @@ def brute(rows, threshold=weighted.SIMILARITY):
     df = np.zeros(size)
     for _, _, buckets in bags:
         df[buckets] += 1
-    idf = (np.log((1 + len(rows)) / (1 + df)) + 1).astype(np.float32)
+    idf = weighted.idf_of(df, len(rows))
     full = [(s, n * idf[weighted._buckets(s)].astype(float)) for s, n, _ in bags]
     parent = {i: i for i, _ in rows if i is not None}
 

@@ -2,7 +2,8 @@
 
 A text is a bag of shingles of five words; a shingle weighs its count times the idf of its bucket.
 Document frequencies are counted over all documents in 2**20 buckets of the shingle's hash, a
-table of fixed size. A sample of a bag depends on the weights alone, and two bags share it with the
+table of fixed size. The idf runs from 1 to 1.5 only: the shingles of a large group of near copies
+are frequent for that very reason, and a steeper idf would tear such a group apart. A sample of a bag depends on the weights alone, and two bags share it with the
 probability of their weighted Jaccard similarity. Samples are joined to bands; texts that share a
 band are compared exactly, from whole texts.
 
@@ -70,7 +71,7 @@ def _runs_of_docs(texts: list[str], most: int):
 
 
 def idf_table(docs: DataFrame) -> np.ndarray:
-    """log((1 + documents) / (1 + documents with a shingle of the bucket)) + 1, by bucket.
+    """1 + log((1 + documents) / (1 + documents with a shingle of the bucket)) / (2 log(1 + documents)).
 
     Tasks send their counts in chunks, which are summed as they arrive: memory does not grow with
     the number of tasks. The result has 2**20 numbers however large the corpus.
@@ -116,7 +117,12 @@ def idf_table(docs: DataFrame) -> np.ndarray:
             rows += int(counts.sum())
         else:
             frequency[chunk : chunk + _CHUNK] += counts
-    return (np.log((1 + rows) / (1 + np.minimum(frequency, rows))) + 1).astype(np.float32)
+    return idf_of(frequency, rows)
+
+
+def idf_of(frequency: np.ndarray, rows: int) -> np.ndarray:
+    steep = np.log((1 + rows) / (1 + np.minimum(frequency, rows)))
+    return (1 + steep / (2 * np.log(max(2, 1 + rows)))).astype(np.float32)
 
 
 def _variates():
