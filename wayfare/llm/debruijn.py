@@ -270,7 +270,7 @@ def drop_repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     copies = digest.join(groups, "m").filter("(d, th) != (f.d, f.th)").select("d", "th").distinct()
     copies = staged(copies.withColumn("copy", F.lit(True)), "copies")
 
-    anchors = _anchors(texts, window)
+    anchors = staged(_anchors(texts, window), "places")
     twice = staged(anchors.groupBy("h").count().filter("count > 1").select("h"), "anchors")
     marks = anchors.join(twice, "h").groupBy(*_KEYS).agg(F.collect_set("i").alias("marks"))
     marks = staged(marks.join(copies, _KEYS, "left_anti"), "marks")
