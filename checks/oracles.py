@@ -303,8 +303,8 @@ def _cleaned(tests: list[str], line: str = "x") -> str:
     return _strip(f"array_to_string({kept}, ' ')")
 
 
-_HISTORY = """select conv_id, turn, turn // {b} as block,
-  string_agg(role || ': ' || text, chr(10)) over (partition by conv_id, turn // {b} order by turn
+_HISTORY = """select conv_id, turn, role,
+  string_agg(role || ': ' || text, chr(10)) over (partition by conv_id order by turn
   rows between unbounded preceding and current row) as messages from {rel}"""
 
 _STOPPED = """(select c.* from conversations c left join (
@@ -488,8 +488,8 @@ ORACLES = {
         select query_id, string_agg(text, chr(10) || chr(10) order by rank) as context
         from ({_dense(5, vectors=_EMBEDDED)}) h join documents using (doc_id) group by query_id) c
       on c.query_id = b.item_id""",
-    "history_prefix": _HISTORY.format(b=64, rel="conversations"),
-    "history_small_blocks": _HISTORY.format(b=4, rel="conversations"),
+    "history_prefix": f"select * exclude (role) from ({_HISTORY.format(rel='conversations')})",
+    "history_small_blocks": f"select * exclude (role) from ({_HISTORY.format(rel='conversations')})",
     "history_blocks": """select conv_id, turn // 4 as block, min(turn) as first_turn,
       string_agg(role || ': ' || text, chr(10) order by turn) as messages
       from conversations group by conv_id, turn // 4""",
@@ -497,16 +497,14 @@ ORACLES = {
     + _STOPPED.format(stop="role = 'assistant' and length(text) < 120"),
     "system_first": "select * from " + _SYSTEM.format(rel="conversations"),
     "chat_requests": f"""with kept as materialized {_STOPPED.format(stop="lower(trim(text)) = 'exit'")}
-      select conv_id, turn, greatest(turn, 0) // 4 as block, row_number() over (
-      partition by conv_id, greatest(turn, 0) // 4 order by turn) as size
-      from {_SYSTEM.format(rel='kept')}""",
+      select conv_id, turn, messages from ({_HISTORY.format(rel=_SYSTEM.format(rel='kept'))})
+      where role = 'user'""",
     "district_filter": """select 'any' as form, doc_id from documents
       where source in ('src1', 'src3', 'src5')
       union all select 'one', doc_id from documents where source = 'src2'
       union all select 'none', doc_id from documents""",
-    "stream_history": "select *, false as late from ("
-    + _HISTORY.format(b=4, rel="conversations")
-    + ")",
+    "stream_history": f"""select * exclude (role), false as late
+      from ({_HISTORY.format(rel='conversations')})""",
     "stream_points": f"""with all_texts as materialized (
         select {_ID} as doc_id, name, address, ord, {_TEXT} as text from {VENUES_SQL} v),
       {_model(_gram_counts('all_texts'), 'select count(*) from all_texts', 100_000)},

@@ -714,14 +714,15 @@ PROMPT = "Wanted: {query}\nPassages:\n{context}\nAnswer:"
 
 @query
 def history_prefix(spark, sf):
-    h = context.history(table(spark, sf, "conversations"))
-    return h.select("conv_id", "turn", "block", context.render("messages").alias("messages"))
+    h = context.whole_history(table(spark, sf, "conversations"))
+    return h.select("conv_id", "turn", context.render("messages").alias("messages"))
 
 
 @query
 def history_small_blocks(spark, sf):
-    h = context.history(table(spark, sf, "conversations"), block=4)
-    return h.select("conv_id", "turn", "block", context.render("messages").alias("messages"))
+    """Histories stored in blocks of three turns are the same."""
+    h = context.whole_history(table(spark, sf, "conversations"), block=3)
+    return h.select("conv_id", "turn", context.render("messages").alias("messages"))
 
 
 @query
@@ -751,7 +752,7 @@ def system_first(spark, sf):
 def chat_requests(spark, sf):
     turns = table(spark, sf, "conversations")
     requests = answer.chat_requests(turns, "Be brief.", block=4)
-    return requests.select("conv_id", "turn", "block", big("size").alias("size"))
+    return requests.select("conv_id", "turn", context.render("messages").alias("messages"))
 
 
 # Streams over the given tables, run to their end
@@ -774,9 +775,9 @@ def stream_history(spark, sf):
         .start(f"{root}/out")
         .awaitTermination()
     )
-    return spark.read.parquet(f"{root}/out").select(
-        "conv_id", "turn", "block", context.render("messages").alias("messages"), "late"
-    )
+    turns = spark.read.parquet(f"{root}/out")
+    whole = context.with_earlier(turns, context.latest_blocks(turns))
+    return whole.select("conv_id", "turn", context.render("messages").alias("messages"), "late")
 
 
 @query
@@ -787,6 +788,8 @@ def stream_points(spark, sf):
     incoming = _stream(spark, sf, "part").selectExpr(
         *[f"{e} as `{n}`" for n, e in inputs.VENUE.items()]
     )
-    points_stream(incoming, terms, f"{root}/points", f"{root}/checkpoint").awaitTermination()
+    points_stream(
+        incoming, terms, f"{root}/points", f"{root}/checkpoint", keys=("name", "district")
+    ).awaitTermination()
     stored = store.read(spark, f"{root}/points")
     return stored.select("id", "name", "address", big(F.size("sparse.indices")).alias("n_terms"))

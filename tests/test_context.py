@@ -27,12 +27,22 @@ def test_nothing_from_the_stop_turn_on(frame):
 
 
 def test_system_turn_first_and_once(frame):
-    rows = [(1, 0, "user", "hi"), (2, 0, "system", "own"), (2, 1, "user", "ho")]
+    rows = [(1, 0, "user", "hi"), (2, 0, "system", "own"), (2, 1, "user", "ho"), (2, 2, "assistant", "x")]
     got = answer.chat_requests(frame(rows, TURNS), "Be brief.").collect()
-    seen = {(r["conv_id"], r["turn"]): (r["block"], [m["text"] for m in r["messages"]]) for r in got}
-    assert seen[(1, -1)] == (0, ["Be brief."])
-    assert seen[(1, 0)] == (0, ["Be brief.", "hi"])
-    assert seen[(2, 1)] == (0, ["own", "ho"])
+    seen = {(r["conv_id"], r["turn"]): [m["text"] for m in r["messages"]] for r in got}
+    assert seen == {(1, 0): ["Be brief.", "hi"], (2, 1): ["own", "ho"]}
+
+
+def test_long_conversations_keep_their_whole_history(frame):
+    rows = [(1, t, "user" if t % 2 == 0 else "assistant", f"m{t}") for t in range(130)]
+    rows += [(2, t, "user", f"n{t}") for t in (0, 5, 70, 200)]
+    for block in (2, 64):
+        got = answer.chat_requests(frame(rows, TURNS), "Be brief.", block=block).collect()
+        seen = {(r["conv_id"], r["turn"]): [m["text"] for m in r["messages"]] for r in got}
+        assert len(seen) == 65 + 4
+        for t in range(0, 130, 2):
+            assert seen[(1, t)] == ["Be brief.", *[f"m{x}" for x in range(t + 1)]]
+        assert seen[(2, 200)] == ["Be brief.", "n0", "n5", "n70", "n200"]
 
 
 def test_chunks_rejoin_in_position_order(frame):

@@ -146,3 +146,28 @@ def test_random_id(frame):
     df = frame([(1,), (2,)], "c int").select(parse.random_id())
     ids = [r[0] for r in df.collect()]
     assert len(set(ids)) == 2 and all(uuid.UUID(i).version == 4 for i in ids)
+
+
+def test_alias_tables_of_any_size_give_the_places_of_the_list(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from wayfare.operators import gazetteer as g
+
+    rng = random.Random(2)
+    names = ["central", "central pier", "mong kok", "a", "st. john's", "c++", "new", "旺角", "中", "x-y", "角a", ""]
+    aliases = [g.Alias(n, (n.upper(), "ALL"), whole_word=i < 7) for i, n in enumerate(names) if n]
+    texts = [(i, "".join(rng.choice([*names, " ", " ", ".", "é", "Central", "New"]) for _ in range(12))) for i in range(60)]
+    texts += [(100, None), (101, ""), (102, "Central Pier, St. John's / C++ 旺角A"), (103, "recentral")]
+    df = spark.createDataFrame(texts, "id bigint, text string")
+    want = {r["id"]: r["p"] for r in df.select("id", g.places("text", aliases).alias("p")).collect()}
+    got = g.places_joined(df, "id", "text", g.alias_table(spark, aliases))
+    assert {r["id"]: r["places"] for r in got.collect()} == want
+    many = spark.range(50_000).select(
+        F.col("id").alias("ord"), F.concat(F.lit("place"), "id").alias("alias"),
+        F.array(F.col("id").cast("string")).alias("targets"), F.lit(True).alias("whole_word"),
+    )
+    asked = spark.createDataFrame([(1, "from place7 to Place49999"), (2, "place")], "id bigint, text string")
+    found = {r["id"]: r["places"] for r in g.places_joined(asked, "id", "text", many).collect()}
+    assert found == {1: ["7", "49999"], 2: []}

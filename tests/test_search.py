@@ -198,11 +198,11 @@ def test_leader_rounds_equal_the_sequential_walk(spark, seed):
     assert {r["id"] for r in lead.collect()} == want
 
 
-def test_long_chain_raises_instead_of_truncating(spark):
-    chain = spark.createDataFrame([(i, i + 1) for i in range(12)], "a bigint, b bigint")
-    with pytest.raises(RuntimeError):
-        neardup.leaders(chain, max_rounds=2)
-    assert {r["id"] for r in neardup.leaders(chain)[0].collect()} == set(range(0, 13, 2))
+def test_long_chains_end(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(1000)], "a bigint, b bigint")
+    assert {r["id"] for r in neardup.leaders(chain)[0].collect()} == set(range(0, 1001, 2))
+    short = chain.filter("a < 6")
+    assert {r["id"] for r in neardup.leaders(short, finish_pairs=0)[0].collect()} == {0, 2, 4, 6}
 
 
 def test_groups_with_a_third_of_copies(spark):
@@ -253,3 +253,23 @@ def test_a_crowd_of_near_copies_is_decided_in_batches(spark, late, monkeypatch):
     assert got == _greedy(600, _brute_pairs(v, 0.95))
     # All pairs of the crowd alone would be 19,900.
     assert sum(emitted) < 5000
+
+
+def test_vocabulary_beyond_one_task(spark, monkeypatch):
+    rng = random.Random(3)
+    docs = [(i, " ".join(rng.choice("abcdefghijklmnop") * 2 for _ in range(30))) for i in range(40)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    counts = tfidf.term_counts(df)
+    small = [sorted(map(tuple, tfidf.fit_vocabulary(counts, 40, 1, n).collect())) for n in (5, 1000)]
+    monkeypatch.setattr(tfidf, "SMALL_VOCABULARY", 3)
+    large = [sorted(map(tuple, tfidf.fit_vocabulary(counts, 40, 1, n).collect())) for n in (5, 1000)]
+    assert small == large and len(small[0]) == 5
+
+
+def test_long_unspaced_words_are_linear(spark):
+    from wayfare.operators import context
+
+    word = "".join(chr(0x4E00 + i * 7 % 5000) for i in range(2_000_000))
+    df = spark.createDataFrame([(1, word)], "doc_id bigint, text string")
+    assert tfidf.term_counts(df, "char_wb").agg({"tf": "sum"}).first()[0] == 2_000_001 + 2_000_000 + 1_999_999
+    assert context.split_oversize(df, ["doc_id"], "text", 500).count() == 4000

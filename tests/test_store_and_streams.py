@@ -48,7 +48,7 @@ def test_csv_with_spreadsheet_headers(spark, tmp_path):
     lines += [",".join(f'"{n}{i}"' for i in range(len(heads))) for n in ("甲", "乙\n")]
     path = tmp_path / "v.csv"
     path.write_text("\n".join(lines), encoding="utf-8")
-    got = files.read_venues(spark, str(path)).orderBy("ord").collect()
+    got = files.read_venues(spark, str(path), multi_line=True).orderBy("ord").collect()
     assert [r["name"] for r in got] == ["甲0", "乙\n0"] and got[0]["ord"] < got[1]["ord"]
     (tmp_path / "bad.csv").write_text("店名\nx", encoding="utf-8")
     with pytest.raises(ValueError, match="所在區"):
@@ -158,7 +158,8 @@ def test_stream_equals_batch(spark, tmp_path):
         # One new folder per run, so the order of batches is fixed.
         incoming = spark.readStream.schema(schema).parquet(str(folder / f"b={batch}"))
         query = stream_points(
-            incoming, terms, str(tmp_path / "points"), str(tmp_path / f"c{batch}"), first_version=batch + 1
+            incoming, terms, str(tmp_path / "points"), str(tmp_path / f"c{batch}"),
+            first_version=batch + 1, keys=("name", "district"),
         )
         query.awaitTermination()
     streamed = store.read(spark, str(tmp_path / "points"))
@@ -195,3 +196,32 @@ def test_history_stream_equals_batch(spark, tmp_path):
     batch = {(r["conv_id"], r["turn"]): r["messages"] for r in context.history(turns, 3).collect()}
     assert streamed == batch
     assert [r["text"] for r in seen if r["late"]] == ["too late"]
+
+
+def test_csv_files_with_different_headers(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("name,district,cuisine\nx,east,old\n", encoding="utf-8")
+    rows = "\n".join(f"{c},n{c},west" for c in range(3000))
+    (tmp_path / "b.csv").write_text(f"cuisine,name,district\n{rows}\nnew,x,north\n", encoding="utf-8")
+    got = files.read_table(spark, str(tmp_path), ordered=True)
+    kept, _ = curate.dedup_keep_last(got, ("name",))
+    assert kept.count() == 3001
+    last = kept.filter("name = 'x'").first()
+    assert (last["district"], last["cuisine"]) == ("north", "new")
+    first = got.orderBy("ord").first()
+    assert (first["name"], first["district"], first["cuisine"]) == ("x", "east", "old")
+
+
+def test_stream_keeps_rejects_and_keys_of_the_batch(spark, tmp_path):
+    names = [("a", "east"), ("a", "west"), (None, "north")]
+    from wayfare.schema import VENUE
+
+    df = spark.createDataFrame(names, "name string, district string")
+    more = [f.name for f in VENUE if f.name not in ("name", "district")]
+    df = files.with_input_order(df.coalesce(1).withColumns({c: F.lit("HKD 50-80") for c in more}))
+    terms = ingest.fit(ingest.index_texts(df), **ingest.VENUE_MODEL)
+    df.write.parquet(str(tmp_path / "in"))
+    incoming = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
+    stream_points(incoming, terms, str(tmp_path / "p"), str(tmp_path / "c")).awaitTermination()
+    assert [(r["name"], r["district"]) for r in store.read(spark, str(tmp_path / "p")).collect()] == [("a", "west")]
+    bad = spark.read.parquet(str(tmp_path / "p_rejects"))
+    assert [r["district"] for r in bad.collect()] == ["north"]

@@ -1,8 +1,9 @@
 """Prompt contexts and conversation histories.
 
 A history is kept in blocks of a fixed number of turns. A turn carries the messages of its own
-block up to itself and the number of that block; earlier blocks are stored once. Their sequence
-is the whole history, sizes stay linear, and a very long conversation spreads over many tasks.
+block up to itself and the number of that block; earlier blocks are stored once, so sizes stay
+linear and a very long conversation spreads over many tasks. The whole history of the turns that
+are asked for is put together from these; the size of a block never shows in it.
 """
 
 from __future__ import annotations
@@ -52,10 +53,11 @@ def prompts(
 
 def split_oversize(df: DataFrame, keys: list[str], body: str, size: int) -> DataFrame:
     """(*keys, pos, piece): texts longer than ``size`` cut into pieces, others whole."""
-    count = F.greatest(F.lit(1), F.ceil(F.length(body) / F.lit(size)).cast("int"))
-    piece = F.substr(F.col(body), F.col("pos") * size + 1, F.lit(size))
-    at = F.explode(F.sequence(F.lit(0), count - 1)).alias("pos")
-    return df.select(*keys, body, at).select(*keys, "pos", piece.alias("piece"))
+    # One pass of the pattern; the pieces are exploded without the text beside them.
+    pieces = F.regexp_extract_all(F.col(body), F.lit(rf"(?s).{{1,{size}}}"), F.lit(0))
+    whole = F.when(F.col(body) == "", F.array(F.lit(""))).otherwise(pieces)
+    whole = F.coalesce(whole, F.array(F.lit(None).cast("string")))
+    return df.select(*keys, F.posexplode(whole).alias("pos", "piece"))
 
 
 def rejoin(pieces: DataFrame, keys: list[str], sep: str = "") -> DataFrame:
@@ -99,6 +101,39 @@ def history_blocks(turns: DataFrame, block: int = BLOCK) -> DataFrame:
     )
 
 
+def latest_blocks(fragments: DataFrame) -> DataFrame:
+    """(conv_id, block, messages) from the turns of ``history`` or its stream: the longest of each."""
+    seen = fragments.filter(F.col("messages").isNotNull())
+    return seen.groupBy("conv_id", "block").agg(F.max_by("messages", "turn").alias("messages"))
+
+
+def with_earlier(fragments: DataFrame, blocks: DataFrame) -> DataFrame:
+    """``fragments`` with ``messages`` from the first turn of the conversation on.
+
+    The blocks before a block are joined once for all its turns.
+    """
+    wanted = fragments.select("conv_id", "block").distinct()
+    earlier = blocks.select("conv_id", F.col("block").alias("b"), F.col("messages").alias("m"))
+    before = (
+        wanted.join(earlier, "conv_id")
+        .filter("b < block")
+        .groupBy("conv_id", "block")
+        .agg(F.array_sort(F.collect_list(F.struct("b", "m"))).alias("parts"))
+        .select("conv_id", "block", F.flatten(F.transform("parts", lambda p: p["m"])).alias("before"))
+    )
+    joined = fragments.join(before, ["conv_id", "block"], "left")
+    none = F.array().cast(fragments.schema["messages"].dataType)
+    whole = F.concat(F.coalesce("before", none), "messages")
+    return joined.withColumn("messages", whole).select(*fragments.columns)
+
+
+def whole_history(turns: DataFrame, asked: Column | None = None, block: int = BLOCK) -> DataFrame:
+    """The turns for which ``asked`` holds (default: all), each with its whole history."""
+    own = history(turns, block)
+    own = own if asked is None else own.filter(asked)
+    return with_earlier(own, history_blocks(turns, block))
+
+
 def render(messages) -> Column:
     """``role: text`` lines of a message array."""
     return F.array_join(

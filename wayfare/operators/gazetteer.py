@@ -1,7 +1,8 @@
-"""Places named in a text, from a fixed alias list, as one narrow projection.
+"""Places named in a text.
 
-The list is a constant of bounded size, so every alias becomes a literal test inside the scan:
-no join, no shuffle, and each pattern is compiled once instead of once per row.
+A short, fixed alias list becomes one narrow projection: every alias is a literal test inside the
+scan, without a join or a shuffle. A gazetteer of any size is a table, which texts join on words and
+pairs of characters.
 """
 
 from __future__ import annotations
@@ -9,12 +10,9 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MAX_ALIASES = 2000
-
-
 @dataclass(frozen=True)
 class Alias:
     """``whole_word`` aliases match the lower-cased text at word borders, others as substring."""
@@ -39,10 +37,9 @@ def _hit(c: Column, lowered: Column, alias: Alias) -> Column:
 def places(c, aliases: list[Alias]) -> Column:
     """Distinct targets of all matching aliases, in the order first met along the list.
 
-    There is no longest-match rule: a longer name also hits the shorter ones inside it.
+    There is no longest-match rule: a longer name also hits the shorter ones inside it. Made for
+    lists of a few hundred names; ``places_joined`` takes larger ones.
     """
-    if len(aliases) > MAX_ALIASES:
-        raise ValueError(f"more than {MAX_ALIASES} aliases")
     c = F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
     lowered = F.lower(c)
     none = F.array().cast("array<string>")
@@ -57,3 +54,44 @@ def alias_list(english: dict[str, list[str]], chinese: dict[str, list[str]]) ->
     """One list from two dictionaries: all English aliases first, each in its own order."""
     out = [Alias(a, tuple(t)) for a, t in english.items()]
     return out + [Alias(a, tuple(t), whole_word=False) for a, t in chinese.items()]
+
+
+def alias_table(spark: SparkSession, aliases: list[Alias]) -> DataFrame:
+    """(ord, alias, targets, whole_word) of a list."""
+    rows = [(i, a.text, list(a.targets), a.whole_word) for i, a in enumerate(aliases)]
+    return spark.createDataFrame(rows, "ord bigint, alias string, targets array<string>, whole_word boolean")
+
+
+def places_joined(df: DataFrame, key: str, text: str, aliases: DataFrame) -> DataFrame:
+    """(key, places): what ``places`` gives, from an alias table (ord, alias, targets, whole_word).
+
+    An alias is looked up by its first word if it begins with one and matches whole words, else by
+    its first two characters (one, if it has no more). Texts bring their distinct words and
+    character pairs to that join, and each candidate is tested on the text.
+    """
+    first = F.regexp_extract("alias", r"(?U)^(\w+)", 1)
+    by_word = F.col("whole_word") & (first != "")
+    known = aliases.filter(F.length("alias") > 0).withColumn(
+        "look",
+        F.when(by_word, F.concat(F.lit("w"), first)).otherwise(F.concat(F.lit("c"), F.left("alias", F.lit(2)))),
+    )
+    lowered = F.lower(F.coalesce(F.col(text), F.lit("")))
+    plain = F.coalesce(F.col(text), F.lit(""))
+
+    def pairs(c: Column) -> Column:
+        return F.concat(
+            F.regexp_extract_all(c, F.lit(r"(?s)(?=(..))"), F.lit(1)), F.regexp_extract_all(c, F.lit("(?s)."), F.lit(0))
+        )
+
+    words = F.transform(F.regexp_extract_all(lowered, F.lit(r"(?U)\w+"), F.lit(0)), lambda w: F.concat(F.lit("w"), w))
+    grams = F.transform(F.concat(pairs(plain), pairs(lowered)), lambda g: F.concat(F.lit("c"), g))
+    looks = df.select(key, F.explode(F.array_distinct(F.concat(words, grams))).alias("look"))
+    found = looks.join(known, "look").select(key, "ord", "alias", "targets", "whole_word").distinct()
+    quoted = F.regexp_replace("alias", r"([^\w\s])", r"\\$1")
+    border = F.regexp_like(lowered, F.concat(F.lit(r"(?U)\b"), quoted, F.lit(r"\b")))
+    hit = F.when(F.col("whole_word"), F.contains(lowered, F.col("alias")) & border).otherwise(F.contains(plain, F.col("alias")))
+    hits = found.join(df.select(key, text), key).filter(hit)
+    named = hits.groupBy(key).agg(F.array_sort(F.collect_set(F.struct("ord", "targets"))).alias("s"))
+    named = named.select(key, F.array_distinct(F.flatten("s.targets")).alias("places"))
+    none = F.array().cast("array<string>")
+    return df.select(key).join(named, key, "left").select(key, F.coalesce("places", none).alias("places"))

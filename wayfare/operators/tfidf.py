@@ -14,9 +14,9 @@ from wayfare.functions.text import WORD, tokens, words
 from wayfare.schema import VOCABULARY
 from wayfare.session import cut
 
-# A vocabulary is ranked in one task and broadcast, so its size is bounded by construction.
-MAX_VOCABULARY = 1_000_000
-SPARK_DEFAULT_PARTITIONS = 200
+# Up to this size a vocabulary is ranked in one task and broadcast; beyond it by range partitions, and joined.
+SMALL_VOCABULARY = 1_000_000
+PARTITIONS = "spark.sql.shuffle.partitions"
 
 
 def spread_by_id(docs: DataFrame) -> DataFrame:
@@ -24,11 +24,11 @@ def spread_by_id(docs: DataFrame) -> DataFrame:
 
     With the number given, adaptive execution does not merge partitions that look small but
     hold texts about to be exploded into many rows. It is ``spark.sql.shuffle.partitions``, or
-    twice the cores where that was left at Spark's default, which is chosen for no data.
+    twice the cores where nobody set it.
     """
     spark = docs.sparkSession
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    if tasks == SPARK_DEFAULT_PARTITIONS:
+    tasks = int(spark.conf.get(PARTITIONS))
+    if PARTITIONS not in spark.conf.getAll:
         tasks = 2 * spark.sparkContext.defaultParallelism
     return docs.repartition(tasks, "doc_id")
 
@@ -74,16 +74,18 @@ def gram_starts(words_: DataFrame, keys: list[str], low: int, high: int) -> Data
     long words are cut into stretches that overlap by the gram size: each gram starts in one.
     """
     padded = F.concat(F.lit(" "), "word", F.lit(" "))
-    size = F.length("word") + 2
-    last = F.floor((size - low) / F.lit(STRETCH)).cast("int")
-    stretch = F.substr(padded, F.col("k") * STRETCH + 1, F.lit(STRETCH + high - 1))
-    short = F.length("word") + 2 <= STRETCH + low - 1
+    # One pass cuts a long word into stretches, each with the characters that follow it.
+    body = F.lit(rf"(?s)(.{{1,{STRETCH}}})(?=(.{{0,{high - 1}}}))")
+    heads = F.regexp_extract_all(padded, body, F.lit(1))
+    tails = F.regexp_extract_all(padded, body, F.lit(2))
+    joined = F.zip_with(heads, tails, lambda h, t: F.concat(h, t))
+    short = F.length(padded) <= STRETCH + low - 1
     starts = F.sequence(F.lit(1), F.least(F.lit(STRETCH), F.col("size") - low + 1))
     return (
-        words_.filter(size >= low)
-        .select(*keys, "word", F.explode(F.sequence(F.lit(0), last)).alias("k"))
-        .select(*keys, F.when(short, padded).otherwise(stretch).alias("p"))
+        words_.filter(F.length(padded) >= low)
+        .select(*keys, F.explode(F.when(short, F.array(padded)).otherwise(joined)).alias("p"))
         .withColumn("size", F.length("p"))
+        .filter(F.col("size") >= low)
         .withColumn("i", F.explode(starts))
     )
 
@@ -119,22 +121,41 @@ def fit_vocabulary(
 ) -> DataFrame:
     """The ``max_features`` most frequent terms seen in ``min_df`` documents, ids by alphabet.
 
-    Equal counts are ordered by term. The fit runs once, here: the result, at most
-    ``max_features`` rows, is checkpointed and no later step repeats the pass over the corpus.
+    Equal counts are ordered by term. The fit runs once, here: the result is checkpointed and no
+    later step repeats the pass over the corpus. Vocabularies of any size are ranked; those over
+    ``SMALL_VOCABULARY`` by range partitions.
     """
-    if not 0 < max_features <= MAX_VOCABULARY:
-        raise ValueError(f"max_features must be within 1..{MAX_VOCABULARY}")
-    kept = (
-        term_totals(counts, n_docs)
-        .filter(F.col("df") >= min_df)
-        .orderBy(F.col("cf").desc(), "term")
-        .limit(max_features)
-    )
-    by_name = Window.orderBy("term")
-    ranked = kept.withColumn("term_id", F.row_number().over(by_name) - 1)
+    if max_features < 1:
+        raise ValueError("max_features must be at least 1")
+    kept = term_totals(counts, n_docs).filter(F.col("df") >= min_df)
+    frequent = [F.col("cf").desc(), F.col("term")]
+    if max_features <= SMALL_VOCABULARY:
+        kept = kept.orderBy(*frequent).limit(max_features)
+        ranked = kept.withColumn("term_id", F.row_number().over(Window.orderBy("term")) - 1)
+    else:
+        kept = numbered(kept, frequent, "_rank").filter(F.col("_rank") < max_features)
+        ranked = numbered(kept.drop("_rank"), [F.col("term")], "term_id")
     return cut(ranked.select(*[F.col(f.name).cast(f.dataType) for f in VOCABULARY]))
 
 
+def numbered(df: DataFrame, order: list[Column], out: str) -> DataFrame:
+    """``out``: the place of each row in the order, from 0, without a single task for all rows.
+
+    Rows are range-partitioned and kept so; the driver adds up one count per partition.
+    """
+    tasks = int(df.sparkSession.conf.get(PARTITIONS))
+    ranged = df.repartitionByRange(tasks, *order).sortWithinPartitions(*order)
+    ranged = cut(ranged.withColumn("_at", F.monotonically_increasing_id()))
+    part = F.shiftright("_at", 33)
+    sums, before = {}, 0
+    for row in ranged.groupBy(part.alias("p")).count().orderBy("p").collect():
+        sums[row["p"]], before = before, before + row["count"]
+    first = F.create_map(*[F.lit(x) for p, n in sums.items() for x in (p, n)]) if sums else F.lit(0)
+    first = F.element_at(first, part) if sums else first
+    local = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    return ranged.withColumn(out, first + local).drop("_at")
+
+
 def tfidf_weights(
     counts: DataFrame, vocabulary: DataFrame, carry: tuple[str, ...] = ()
 ) -> DataFrame:
@@ -146,7 +167,9 @@ def tfidf_weights(
 
 def _raw_weights(counts: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """Counts of known terms with ``w``, the weight before normalisation."""
-    known = counts.join(F.broadcast(vocabulary.select("term", "term_id", "idf")), "term")
+    side = vocabulary.select("term", "term_id", "idf")
+    small = vocabulary.limit(SMALL_VOCABULARY + 1).count() <= SMALL_VOCABULARY
+    known = counts.join(F.broadcast(side) if small else side, "term")
     return known.withColumn("w", (1.0 + F.log("tf")) * F.col("idf"))
 
 

@@ -18,7 +18,14 @@ def dense_prompts(
     return context.prompts(found, questions, template or context.PLANNER_PROMPT, k)
 
 
-def chat_requests(turns: DataFrame, system_text: str, block: int = context.BLOCK) -> DataFrame:
-    """Histories as seen at each turn: system turn first, nothing from the stop turn on."""
+def chat_requests(
+    turns: DataFrame, system_text: str, asked=None, block: int = context.BLOCK
+) -> DataFrame:
+    """The whole history at each asked turn (default: user turns) as ``messages``.
+
+    The system turn comes first, nothing from the stop turn on. ``block`` is the size of the
+    pieces that histories are stored in; it does not change the result.
+    """
     ready = context.with_system_turn(context.until_stop(turns, block=block), system_text)
-    return context.history(ready, block).withColumn("size", F.size("messages"))
+    asked = F.col("role") == "user" if asked is None else asked
+    return context.whole_history(ready, asked, block).drop("block")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from wayfare.functions.parse import random_id, stable_id
 from wayfare.operators import curate, tfidf
 from wayfare.schema import EXTRACTED_FIELDS, require_columns
+from wayfare.session import cut
 from wayfare.sources import store
 from wayfare.sources.files import write_rejects
 
@@ -59,6 +60,11 @@ def points(
     return out
 
 
+def rejects_of(root: str) -> str:
+    """Where rows without a key go when the caller names no place."""
+    return f"{root.rstrip('/')}_rejects"
+
+
 def ingest(
     raw: DataFrame,
     root: str,
@@ -71,12 +77,14 @@ def ingest(
     """Curate, index and upsert a venue table; returns the version written.
 
     Dedup is by name by default although ids use name and district; pass
-    ``keys=("name", "district")`` to keep branches apart.
+    ``keys=("name", "district")`` to keep branches apart. Rows without a key are written to
+    ``rejects`` (default: ``root`` with ``_rejects`` added).
     """
     venues = curate.venue_columns(raw)
     kept, bad = curate.dedup_keep_last(venues, keys)
-    if rejects is not None:
-        write_rejects(bad, rejects)
+    write_rejects(bad, rejects or rejects_of(root))
+    # Read by the vocabulary, the points and the size check: computed once.
+    kept = cut(kept)
     vocabulary = fit_or_load(index_texts(kept), model_path)
     return store.upsert(
         root, points(kept, vocabulary, encoder=encoder), version=version, sort_by=["district", "id"]

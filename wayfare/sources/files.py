@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import csv
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,55 +23,102 @@ TABULAR = ("csv", "json", "parquet", "orc")
 CAPTION_FILES = "*.{vtt,srt}"
 
 
+def _csv_files(spark: SparkSession, path: str) -> dict[tuple[str, ...], list[str]]:
+    """Files of a CSV folder by their header; the driver holds names of files and of columns."""
+    head = (
+        spark.read.text(path)
+        .select(
+            F.col("_metadata.file_path").alias("file"),
+            F.col("_metadata.file_block_start").alias("start"),
+            F.monotonically_increasing_id().alias("row"),
+            "value",
+        )
+        .filter("start = 0")
+        .groupBy("file")
+        .agg(F.min_by("value", "row").alias("head"))
+    )
+    files: dict[tuple[str, ...], list[str]] = {}
+    for row in sorted(head.collect()):
+        columns = next(csv.reader([row["head"].lstrip("\ufeff")]), [])
+        files.setdefault(tuple(columns), []).append(row["file"])
+    return files
+
+
 def read_table(
     spark: SparkSession,
     path: str,
     format: str = "csv",
     schema: T.StructType | None = None,
     required: list[str] | None = None,
+    multi_line: bool = False,
+    ordered: bool = False,
 ) -> DataFrame:
     """A record table with an explicit schema.
 
-    CSV columns are taken by header name, so order and extra columns in a file do not matter;
-    required columns are checked against the file's own header before any job.
+    CSV columns are taken by the name in each file's own header, so order and extra columns may
+    differ between files; required columns are checked against every header before any job reads
+    rows. Large CSV files are split over tasks; ``multi_line`` reads cells with line breaks, one
+    task per file. ``ordered`` adds ``ord``, see ``input_order``.
     """
     if format not in TABULAR:
         raise ValueError(f"format must be one of {TABULAR}")
     reader = spark.read
     if format == "csv":
-        options = dict(header=True, multiLine=True, escape='"', encoding="UTF-8")
+        options = dict(header=True, multiLine=multi_line, escape='"', encoding="UTF-8")
+        parts = []
+        for columns, files in _csv_files(spark, path).items():
+            require_columns(columns, required or [])
+            given = T.StructType([T.StructField(c, T.StringType()) for c in columns])
+            part = reader.options(**options).schema(given).csv(files)
+            parts.append(_shaped(part, schema, ordered))
+        if parts:
+            return reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), parts)
         plain = reader.options(**options).csv(path)
     elif format == "json":
         plain = reader.schema(schema).json(path) if schema else reader.json(path)
     else:
         plain = reader.format(format).load(path)
     require_columns(plain.columns, required or [])
-    if schema is None:
-        return plain
+    return _shaped(plain, schema, ordered)
+
+
+def _shaped(plain: DataFrame, schema: T.StructType | None, ordered: bool) -> DataFrame:
+    """The columns of ``schema``, absent ones null, and the input order if asked."""
     have = set(plain.columns)
-    return plain.select(
-        *[
-            (F.col(f"`{f.name}`") if f.name in have else F.lit(None))
-            .cast(f.dataType)
-            .alias(f.name)
+    if schema is None:
+        columns = [F.col(f"`{c}`") for c in plain.columns]
+    else:
+        columns = [
+            (F.col(f"`{f.name}`") if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name)
             for f in schema
         ]
-    )
+    return plain.select(*columns, *([input_order().alias("ord")] if ordered else []))
 
 
-def read_venues(spark: SparkSession, path: str, format: str = "csv") -> DataFrame:
+def read_venues(
+    spark: SparkSession, path: str, format: str = "csv", multi_line: bool = False
+) -> DataFrame:
     """Venue table with spreadsheet headers, renamed to column names.
 
-    ``ord`` is the position in the input: file name, then offset within the file.
+    ``ord`` is the position in the input: file name, then place within the file.
     """
     back = {v: k for k, v in VENUE_HEADERS.items()}
-    raw = read_table(spark, path, format, VENUE_RAW, [back[c] for c in VENUE_REQUIRED])
-    named = raw.select(*[F.col(f"`{h}`").alias(n) for h, n in VENUE_HEADERS.items()])
-    return with_input_order(named)
+    needed = [back[c] for c in VENUE_REQUIRED]
+    raw = read_table(spark, path, format, VENUE_RAW, needed, multi_line, ordered=True)
+    return raw.select(*[F.col(f"`{h}`").alias(n) for h, n in VENUE_HEADERS.items()], "ord")
+
+
+def input_order() -> Column:
+    """(file, start of the block, row): orders rows of a file scan however its blocks are dealt."""
+    return F.struct(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("start"),
+        F.monotonically_increasing_id().alias("row"),
+    )
 
 
 def with_input_order(df: DataFrame) -> DataFrame:
-    """``ord`` from Spark's partition-major row id: increasing within and across splits."""
+    """``ord`` of rows that come from no file: Spark's partition-major row number."""
     return df.withColumn("ord", F.monotonically_increasing_id())
 
 

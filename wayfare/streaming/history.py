@@ -18,14 +18,16 @@ _STATE = f"last bigint, messages {_MESSAGES}"
 def stream_history(turns: DataFrame, block: int = BLOCK) -> DataFrame:
     """Streaming twin of the batch history, with ``late`` marking turns that came out of order.
 
-    State is kept per block of a conversation: at most ``block`` messages, and a long
-    conversation spreads over tasks. A late turn (not after the last one seen in its block)
-    comes out with null ``messages`` and leaves the state as it is.
+    State is kept per block of a conversation, so a long conversation spreads over tasks;
+    ``context.with_earlier`` puts whole histories together from the written turns. A late turn (not
+    after the last one seen in its block) comes out with null ``messages`` and leaves the state as it
+    is. A full block keeps the number of its last turn only, no messages.
     """
 
     def step(key, batches, state):
         import pandas as pd
 
+        columns = ["conv_id", "block", "turn", "role", "text", "messages", "late"]
         last, messages = state.get if state.exists else (-(2**62), [])
         messages = [tuple(m) for m in messages]
         rows = pd.concat(list(batches)).sort_values("turn", kind="stable")
@@ -34,13 +36,13 @@ def stream_history(turns: DataFrame, block: int = BLOCK) -> DataFrame:
             late = turn <= last
             if not late:
                 last = int(turn)
-                messages = [*messages, (role, text)]
+                messages.append((role, text))
             shown = None if late else [{"role": r, "text": t} for r, t in messages]
             out.append((key[0], key[1], turn, role, text, shown, late))
-        state.update((last, messages))
-        yield pd.DataFrame(
-            out, columns=["conv_id", "block", "turn", "role", "text", "messages", "late"]
-        )
+        # After the last turn of its block no turn can follow.
+        full = last == (key[1] + 1) * block - 1
+        state.update((last, [] if full else messages))
+        yield pd.DataFrame(out, columns=columns)
 
     turns = turns.select("conv_id", "turn", "role", "text")
     return (

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from wayfare.operators import curate
-from wayfare.plans.ingest import points
+from wayfare.plans.ingest import points, rejects_of
 from wayfare.sources import store
+from wayfare.sources.files import write_rejects
 
 
 def stream_points(
@@ -19,18 +20,26 @@ def stream_points(
     analyzer: str = "char_wb",
     encoder=None,
     order: str = "ord",
+    keys: tuple[str, ...] = ("name",),
+    rejects: str | None = None,
     **trigger,
 ) -> StreamingQuery:
     """Upsert each micro-batch as one version of the table.
 
     Batch n always writes version ``first_version + n`` from the version before it, so a batch
-    replayed after a failure writes the same rows again.
+    replayed after a failure writes the same rows again. Rows without a key go to ``rejects``
+    (default: ``root`` with ``_rejects`` added), one folder per batch. ``keys`` are those of the
+    batch ingest.
     """
+    rejects = rejects or rejects_of(root)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        kept, _ = curate.dedup_keep_last(batch, ("name", "district"), order)
+        batch = batch.persist()
+        kept, bad = curate.dedup_keep_last(batch, keys, order)
+        write_rejects(bad, f"{rejects}/batch={batch_id}", mode="overwrite")
         rows = points(kept.drop(order), vocabulary, analyzer, encoder)
         store.upsert(root, rows, version=first_version + batch_id, sort_by=["district", "id"])
+        batch.unpersist()
 
     return (
         venues.writeStream.foreachBatch(write)
