@@ -256,11 +256,9 @@ def drop_repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     several = docs.groupBy(key.alias("d")).count().filter("count > 1")
     # Unique ids, the usual case, need no second part of the key; a constant costs nothing to move.
     tie = F.lit(0).cast("long") if several.isEmpty() else F.xxhash64("text")
-    keyed = docs.withColumns({"d": key, "th": tie}) if not {"d", "th"} & set(docs.columns) else None
-    if keyed is None:
-        names = {c: f"given_{c}" for c in docs.columns if c in ("d", "th")}
-        back = {v: k for k, v in names.items()}
-        return drop_repeated_spans(docs.withColumnsRenamed(names), window).withColumnsRenamed(back)
+    # Names of other columns step aside, so that they clash with none of those used here.
+    aside = {c: f"given_{i}" for i, c in enumerate(docs.columns) if c not in ("doc_id", "text")}
+    keyed = docs.withColumnsRenamed(aside).withColumns({"d": key, "th": tie})
     texts = keyed.select("d", "th", "text")
 
     # Copies of a whole text are settled by the text's digest.
@@ -305,5 +303,5 @@ def drop_repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     whole = _packed(keyed).join(copies, _KEYS, "left").join(checked, _KEYS, "left")
     whole = whole.withColumn("kept", _without(window)("z", "copy", "spans"))
-    columns = [F.col("kept.text").alias(c) if c == "text" else F.col(c) for c in docs.columns]
+    columns = [F.col("kept.text") if c == "text" else F.col(aside.get(c, c)).alias(c) for c in docs.columns]
     return whole.select(*columns, "kept.n_words", "kept.n_removed")
