@@ -8,7 +8,8 @@ probability of their weighted Jaccard similarity. Samples are joined to bands; t
 band are compared exactly, from whole texts.
 
 Equal texts are folded first. In a bucket every text is compared with the smallest id, which
-connects a crowd of copies with one comparison each. Texts of a bucket that are then still in
+connects a crowd of copies with one comparison each; texts that are then in another class than the
+text whose samples agree most are compared with that one. Texts of a bucket that are still in
 different classes are compared with each other in blocks, so no link between them is lost.
 """
 
@@ -232,10 +233,13 @@ def verified(pairs: DataFrame, docs: DataFrame, idf, threshold: float) -> DataFr
     return both.mapInArrow(check, "a long, b long")
 
 
-def _open_pairs(buckets: DataFrame, classes: DataFrame, block: int = 1024) -> DataFrame:
+def _open_pairs(
+    buckets: DataFrame, classes: DataFrame, block: int = 1024, nearest: bool = False
+) -> DataFrame:
     """Pairs (a, b) of a bucket in different classes whose signatures agree in half their samples.
 
     Two texts at the threshold agree in fewer samples with a chance of about one in a thousand.
+    ``nearest`` gives each text's pair of most agreement in each meeting only.
     Large buckets are cut into blocks; every two blocks meet in one group of two blocks' rows.
     """
     known = buckets.join(classes, "id", "left").withColumn("class", F.coalesce("component", "id"))
@@ -257,8 +261,12 @@ def _open_pairs(buckets: DataFrame, classes: DataFrame, block: int = 1024) -> Da
         own, x, y = group["own"].to_numpy(), group["x"][0].as_py(), group["y"][0].as_py()
         a, b = [], []
         for i in np.flatnonzero(own == x):
-            others = np.flatnonzero((own == y) & (cls != cls[i]) & ((ids > ids[i]) | (x != y)))
-            near = others[(marks[others] == marks[i]).sum(1) * 2 >= marks.shape[1]]
+            later = (ids > ids[i]) | (x != y) | nearest
+            others = np.flatnonzero((own == y) & (cls != cls[i]) & later)
+            agree = (marks[others] == marks[i]).sum(1)
+            near = others[agree * 2 >= marks.shape[1]]
+            if nearest and len(near):
+                near = others[[int(agree.argmax())]]
             a.append(np.minimum(ids[near], ids[i]))
             b.append(np.maximum(ids[near], ids[i]))
         none = np.zeros(0, np.int64)
@@ -293,14 +301,19 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame
     crowds = bands.groupBy("band", "value").agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("n"))
     shared = bands.join(crowds.filter("n > 1").select("band", "value", "head"), ["band", "value"])
     shared = staged(shared, "bands")
-    stars = shared.filter("id > head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
-    links = staged(verified(stars, docs, idf, threshold), "links")
-    # The texts of one id are one document.
+    stars = shared.filter("id > head").select(F.col("head").alias("a"), F.col("id").alias("b"))
+    tried = staged(stars.distinct(), "stars")
+    links = staged(verified(tried, docs, idf, threshold), "links")
     linked = components(links)
-    rest = staged(_open_pairs(shared.drop("head"), linked).join(stars, ["a", "b"], "left_anti"), "open")
-    if not rest.isEmpty():
-        more = staged(verified(rest, docs, idf, threshold), "links")
-        linked = components(links.unionByName(more))
+    # First each text with the nearest of another class, which connects most of a varied crowd; then
+    # all that are still apart.
+    for nearest in (True, False):
+        rest = _open_pairs(shared.drop("head"), linked, nearest=nearest)
+        rest = staged(rest.join(tried, ["a", "b"], "left_anti"), "open")
+        if not rest.isEmpty():
+            links = links.unionByName(staged(verified(rest, docs, idf, threshold), "links"))
+            tried = tried.unionByName(rest)
+            linked = components(links)
     # Ids that share words: from each to the first of its texts, then to the class of that one.
     copies = worded.join(folded.select("a", "b", "first"), ["a", "b"]).select("id", "first").distinct()
     classes = copies.join(linked, F.col("first") == linked["id"], "left").select(
