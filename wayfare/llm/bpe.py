@@ -25,8 +25,8 @@ from wayfare.llm.units import Recent, slices, slices_of
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 LONG = 48
-_SLICE = 4_000_000
-_CACHED = 400_000
+_SLICE = 2_000_000
+_CACHED = 120_000
 
 # One round contracts one pair of each word.
 _SINGLE = """
@@ -99,7 +99,7 @@ class Coder:
     def __init__(self, path: str, pattern: str) -> None:
         self.ranks = load_ranks(path)
         self.split = regex.compile(pattern).findall
-        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "500MB"})
+        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "250MB"})
         early, pairs = set(), []
         for token, rank in self.ranks.items():
             for i in range(1, len(token)):
