@@ -145,14 +145,13 @@ def _open_windows(rows: DataFrame, window: int) -> DataFrame:
         for batch in batches:
             d, th = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             texts = [_unpack(z) for z in batch.column(2).to_pylist()]
-            opened = batch.column(3).to_pylist()
+            opened = batch.column(3)
             for lo, hi in slices(texts, _SLICE):
                 hashes, counts = hashed([words_of(t, False) for t in texts[lo:hi]])
                 first = np.cumsum(counts) - counts
-                start = [np.array([s["start"] for s in o], np.int64) for o in opened[lo:hi]]
-                size = [np.array([s["n"] for s in o], np.int64) for o in opened[lo:hi]]
-                spans = np.array([len(s) for s in start])
-                start, size = np.concatenate(start), np.concatenate(size)
+                here = opened.slice(lo, hi - lo)
+                flat, spans = here.flatten(), here.value_lengths().to_numpy()
+                start, size = (flat.field(k).to_numpy().astype(np.int64) for k in ("start", "n"))
                 own = np.repeat(np.repeat(np.arange(hi - lo), spans), size)
                 offset = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
                 at = np.repeat(start, size) + offset
@@ -181,22 +180,31 @@ _LATER = "sd is not null and (d, th, start) != (sd, sth, sstart)"
 
 
 def _merged(spans: pa.Array) -> pa.Array:
-    """Spans that run on in target and source alike become one; order is by start."""
-    out = []
-    for own in spans.to_pylist():
-        done = []
-        for s in sorted(own or [], key=lambda s: (s["start"], s["sd"], s["sth"], s["sstart"])):
-            last = done[-1] if done else None
-            if last and (s["sd"], s["sth"]) == (last["sd"], last["sth"]) and (
-                s["start"] - s["sstart"] == last["start"] - last["sstart"]
-                and s["start"] <= last["start"] + last["n"]
-            ):
-                last["n"] = max(last["n"], s["start"] + s["n"] - last["start"])
-            else:
-                done.append(dict(s))
-        out.append(done)
-    fields = [("start", pa.int32()), ("n", pa.int32()), ("sd", pa.int64()), ("sth", pa.int64()), ("sstart", pa.int32())]
-    return pa.array(out, pa.list_(pa.struct(fields)))
+    """Spans of a row that run on in target and source alike become one."""
+    names = ["start", "n", "sd", "sth", "sstart"]
+    flat = spans.flatten()
+    start, n, sd, sth, sstart = (flat.field(k).to_numpy().astype(np.int64) for k in names)
+    lengths = spans.value_lengths().fill_null(0).to_numpy()
+    owner = np.repeat(np.arange(len(spans)), lengths)
+    order = np.lexsort((start, start - sstart, sth, sd, owner))
+    start, n, sd, sth, sstart, owner = (x[order] for x in (start, n, sd, sth, sstart, owner))
+    parallel = np.zeros(len(start), bool)
+    for x in (owner, sd, sth, start - sstart):
+        parallel[1:] |= x[1:] != x[:-1]
+    # The furthest end so far within rows of one source and offset: groups are lifted apart.
+    lift = np.cumsum(parallel) << 40
+    reach = np.maximum.accumulate(lift + start + n)
+    new = np.ones(len(start), bool)
+    new[1:] = lift[1:] + start[1:] > reach[:-1]
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(start)) - 1 if len(first) else first
+    length = (reach - lift)[last] - start[first]
+    columns = [start[first], length, sd[first], sth[first], sstart[first]]
+    types = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32()]
+    made = pa.StructArray.from_arrays([pa.array(c).cast(t) for c, t in zip(columns, types, strict=True)], names)
+    counts = np.bincount(owner[first], minlength=len(spans)) if len(first) else np.zeros(len(spans), int)
+    offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), made)
 
 
 def _digests(rows: DataFrame, window: int) -> DataFrame:
