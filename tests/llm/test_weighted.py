@@ -1,3 +1,6 @@
+import math
+from collections import Counter
+
 import numpy as np
 
 from wayfare.llm import weighted
@@ -33,6 +36,47 @@ def brute(rows, threshold=weighted.SIMILARITY):
     return sorted((str(i), str(root(i) if i is not None else None)) for i, _ in rows)
 
 
+def exact(rows, threshold=weighted.SIMILARITY):
+    """Classes of (id, text) by shingles as tuples of words and the idf written out."""
+    bags = []
+    for _, t in rows:
+        ws = (t or "").split()
+        bags.append(Counter(tuple(ws[i : i + 5]) for i in range(max(len(ws) - 4, min(len(ws), 1)))))
+    df = Counter(s for bag in bags for s in bag)
+    n = len(rows)
+    idf = {s: 1 + math.log((1 + n) / (1 + k)) / (2 * math.log(1 + n)) for s, k in df.items()}
+    least = {i: i for i, _ in rows}
+    for x, (i, _) in enumerate(rows):
+        for y, (j, _) in enumerate(rows[:x]):
+            shared = sum(idf[s] * k for s, k in (bags[x] & bags[y]).items())
+            if shared and shared >= threshold * sum(idf[s] * k for s, k in (bags[x] | bags[y]).items()):
+                a, b = sorted((least[i], least[j]))
+                least = {k: a if c == b else c for k, c in least.items()}
+    return least
+
+
+def boilerplate():
+    shared = prose(300, 104)
+    rows = [(i, f"{shared} {prose(400 + i, 300)}") for i in range(40)]
+    # 100 shared shingles and 10 own ones each: plain similarity 0.83, weighted 0.78.
+    return rows + [(100 + i, f"{shared} {prose(500 + i, 10)}") for i in range(2)] + [(200, rows[0][1]), (201, prose(600, 3))]
+
+
+def test_counts_of_documents_are_by_shingle(spark, monkeypatch):
+    """16 buckets on these rows are as crowded as 2**20 are on a large corpus."""
+    monkeypatch.setattr(weighted, "BUCKET_BITS", 4)
+    rows = boilerplate()
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.class_id for r in weighted.near_duplicates(docs).collect()}
+    assert got == exact(rows) and got[101] == 101 and got[200] == 0
+
+
+def test_weights_equal_the_formula():
+    n, df = 4600, np.array([1, 2, 70, 4600])
+    expected = [1 + math.log((1 + n) / (1 + k)) / (2 * math.log(1 + n)) for k in df]
+    assert np.allclose(weighted.idf_of(df, n), expected, atol=1e-6)
+
+
 def changed(text, every):
     ws = text.split()
     for i in range(every // 2, len(ws), every):

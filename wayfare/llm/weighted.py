@@ -1,11 +1,14 @@
 """Near-duplicate texts: improved consistent weighted sampling (Ioffe 2010) over TF-IDF shingles.
 
-A text is a bag of shingles of five words; a shingle weighs its count times the idf of its bucket.
-Document frequencies are counted over all documents in 2**20 buckets of the shingle's hash, a
-table of fixed size. The idf runs from 1 to 1.5 only: the shingles of a large group of near copies
-are frequent for that very reason, and a steeper idf would tear such a group apart. A sample of a bag depends on the weights alone, and two bags share it with the
-probability of their weighted Jaccard similarity. Samples are joined to bands; texts that share a
-band are compared exactly, from whole texts.
+A text is a bag of shingles of five words; a shingle weighs its count times its idf. Documents are
+counted for each whole shingle hash: texts are staged in chunks, each chunk asks for its distinct
+shingles in parts of the hash range, each part sums over all chunks, and what more than one document
+has goes back to the chunks that asked. So a count stays exact however large the corpus, and no
+task holds more than its part. The idf runs from 1 to 1.5 only: the shingles of a large group of near copies
+are frequent for that very reason, and a steeper idf would tear such a group apart. A sample of a bag
+depends on the weights alone, and two bags share it with the probability of their weighted Jaccard
+similarity. Samples are joined to bands; texts that share a band are compared exactly, from whole
+texts.
 
 Equal texts are folded first. In a bucket every text is compared with the smallest id, which
 connects a crowd of copies with one comparison each; texts that are then in another class than the
@@ -18,6 +21,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,7 +35,8 @@ SIMILARITY = 0.8
 BANDS, ROWS = 8, 3
 SEED = 20_101
 BUCKET_BITS = 20
-_CHUNK = 1 << 10
+# Bytes of text whose shingles one task counts.
+_PART_BYTES = 12 << 20
 _SLICE = 1_500_000
 _HASH_BITS = np.uint64(52)
 _DOCS = 1 << 12
@@ -71,57 +76,95 @@ def _runs_of_docs(texts: list[str], most: int):
             yield c, min(b, c + _DOCS)
 
 
-def idf_table(docs: DataFrame) -> np.ndarray:
-    """1 + log((1 + documents) / (1 + documents with a shingle of the bucket)) / (2 log(1 + documents)).
+def _chunks(docs: DataFrame) -> DataFrame:
+    """(chunk, ids, texts): the rows of ``docs`` in runs of at most ``_DOCS``, null texts as ''."""
 
-    Tasks send their counts in chunks, which are summed as they arrive: memory does not grow with
-    the number of tasks. The result has 2**20 numbers however large the corpus.
+    def cut(batches):
+        part, seq = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            ids, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
+            for a, b in _runs_of_docs(texts, _SLICE):
+                row = [[(part << 40) | seq], [ids[a:b]], [texts[a:b]]]
+                types = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.string())]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(v, t) for v, t in zip(row, types)], ["chunk", "ids", "texts"]
+                )
+                seq += 1
+
+    schema = "chunk long, ids array<long>, texts array<string>"
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, schema)
+
+
+def _planes(numbers: np.ndarray) -> bytes:
+    """All first bytes, then all second ones, and so on: the equal bytes of sorted numbers compress."""
+    return numbers.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _from_planes(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, np.uint8).reshape(8, -1).T.copy().view("<u8").ravel()
+
+
+def document_counts(chunks: DataFrame, parts: int) -> DataFrame:
+    """(chunk, shingles, counts): the documents of all ``chunks`` with each shingle of the chunk.
+
+    Shingles of one document are left out. A chunk may have several rows, and no shingle twice.
     """
-    size = 1 << BUCKET_BITS
+    names, schema = ["chunk", "shingles", "counts"], "chunk long, shingles binary, counts binary"
 
-    def count(batches):
-        total, rows = np.zeros(size, np.int64), 0
+    def ask(batches):
         for batch in batches:
-            texts = [t or "" for t in batch.column(0).to_pylist()]
-            rows += len(texts)
-            for a, b in _runs_of_docs(texts, _SLICE):
-                shingles, _, owner = _bags([words_of(t, True) for t in texts[a:b]])
-                seen = (owner << BUCKET_BITS) | _buckets(shingles)
-                seen = np.unique(seen) if len(seen) else seen
-                total += np.bincount(seen & (size - 1), minlength=size)
-        used = [c for c in range(0, size, _CHUNK) if total[c : c + _CHUNK].any()]
-        data = [total[c : c + _CHUNK].astype("<i4").tobytes() for c in used]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([-1, *used], pa.int64()), pa.array([np.array([rows], "<i4").tobytes(), *data], pa.binary())],
-            ["chunk", "counts"],
-        )
-
-    def add(batches):
-        sums: dict[int, np.ndarray] = {}
+            for chunk, texts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                shingles, _, _ = _bags([words_of(t, True) for t in texts])
+                found, docs = np.unique(shingles, return_counts=True)
+                part = (_buckets(found) * parts) >> BUCKET_BITS
+                cuts = np.searchsorted(part, np.arange(parts + 1))
+                used = np.flatnonzero(cuts[1:] > cuts[:-1])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(used.astype(np.int32)),
+                        pa.array(np.full(len(used), chunk, np.int64)),
+                        pa.array([_planes(found[cuts[p] : cuts[p + 1]]) for p in used], pa.binary()),
+                        pa.array([docs[cuts[p] : cuts[p + 1]].astype("<u2").tobytes() for p in used], pa.binary()),
+                    ],
+                    ["part", *names],
+                )
+
+    def answer(batches):
+        asked, sizes, shingles, docs = [], [], [], []
         for batch in batches:
-            for chunk, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                counts = np.frombuffer(data, "<i4").astype("<i8")
-                sums[chunk] = sums[chunk] + counts if chunk in sums else counts
-        keys = sorted(sums)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(keys, pa.int64()), pa.array([sums[k].tobytes() for k in keys], pa.binary())],
-            ["chunk", "counts"],
-        )
-
-    schema = "chunk long, counts binary"
-    parts = docs.select("text").mapInArrow(count, schema)
-    added = parts.repartition(parallelism(docs.sparkSession), "chunk").mapInArrow(add, schema)
-    frequency, rows = np.zeros(size), 0
-    for chunk, data in added.toPandas().itertuples(index=False):
-        counts = np.frombuffer(data, "<i8")
-        if chunk < 0:
-            rows += int(counts.sum())
-        else:
-            frequency[chunk : chunk + _CHUNK] += counts
-    return idf_of(frequency, rows)
+            asked += batch.column(1).to_pylist()
+            for data, n in zip(batch.column(2), batch.column(3), strict=True):
+                shingles.append(_from_planes(data.as_py()))
+                docs.append(np.frombuffer(n.as_py(), "<u2"))
+                sizes.append(len(docs[-1]))
+        if not asked:
+            return
+        ends = np.cumsum(sizes)
+        shingles, docs = np.concatenate(shingles), np.concatenate(docs)
+        order = np.argsort(shingles)
+        ordered = shingles[order]
+        first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+        del ordered
+        total = np.add.reduceat(docs[order], first, dtype=np.int64)
+        counts = np.empty(len(order), np.int64)
+        counts[order] = np.repeat(total, np.diff(np.append(first, len(order))))
+        for lo in range(0, len(asked), 1024):
+            rows = []
+            for i in range(lo, min(lo + 1024, len(asked))):
+                own = slice(ends[i] - sizes[i], ends[i])
+                several = counts[own] > 1
+                if several.any():
+                    rows.append((asked[i], _planes(shingles[own][several]), _planes(counts[own][several])))
+            columns = list(zip(*rows, strict=True)) or [(), (), ()]
+            types = [pa.int64(), pa.binary(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
+
+    wanted = chunks.select("chunk", "texts").mapInArrow(ask, f"part int, {schema}")
+    return wanted.repartitionById(parts, "part").mapInArrow(answer, schema)
 
 
 def idf_of(frequency: np.ndarray, rows: int) -> np.ndarray:
+    """1 + log((1 + rows) / (1 + frequency)) / (2 log(1 + rows)), for ``rows`` documents."""
     steep = np.log((1 + rows) / (1 + np.minimum(frequency, rows)))
     return (1 + steep / (2 * np.log(max(2, 1 + rows)))).astype(np.float32)
 
@@ -155,40 +198,57 @@ def samples(shingles, weights, owner, n: int, count: int) -> np.ndarray:
     return out
 
 
-def signatures(docs: DataFrame, idf) -> DataFrame:
-    """(id, a, b, n, bands, signature): a and b are a 128-bit hash of the words, n the words."""
+def signatures(chunks: DataFrame, counts: DataFrame, rows: int) -> DataFrame:
+    """(id, a, b, n, bands, signature, text, frequency), a row for each of ``chunks``' texts.
+
+    a and b are a 128-bit hash of the words, n the words; frequency has the documents with each of the
+    text's shingles, in ascending order of their hashes.
+    """
     per = BANDS * ROWS
 
-    def sign(batches):
-        table = idf.value
-        for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
-            for lo, hi in _runs_of_docs(texts, _SLICE):
-                words = [words_of(t, True) for t in texts[lo:hi]]
-                shingles, times, owner = _bags(words)
-                drawn = samples(shingles, times * table[_buckets(shingles)], owner, hi - lo, per)
-                bands = np.zeros((hi - lo, BANDS), np.uint64)
-                for r in range(ROWS):
-                    bands = mixed(bands * np.uint64(31) + drawn[:, r::ROWS] + np.uint64(r + 1))
-                digest = b"".join(xxhash.xxh3_128_digest(b" ".join(w)) for w in words)
-                a, b = np.frombuffer(digest, ">i8").reshape(-1, 2).astype(np.int64).T
-                listed = pa.array(bands.view(np.int64).ravel())
-                offsets = pa.array(np.arange(hi - lo + 1, dtype=np.int32) * BANDS)
-                short = (drawn & np.uint64(0xFFFF)).astype("<u2")
-                yield pa.RecordBatch.from_arrays(
+    def sign(chunk: pa.Table, counted: pa.Table) -> pa.Table:
+        known = [_from_planes(x) for x in counted["shingles"].to_pylist()]
+        known = np.concatenate([*known, np.array([1 << 52], np.uint64)])
+        several = [_from_planes(x) for x in counted["counts"].to_pylist()]
+        several = np.concatenate([*several, np.ones(1, np.uint64)])
+        order = np.argsort(known)
+        known, several = known[order], several[order].astype(np.int64)
+        out = []
+        for ids, texts in zip(chunk["ids"].to_pylist(), chunk["texts"].to_pylist(), strict=True):
+            words = [words_of(t, True) for t in texts]
+            shingles, times, owner = _bags(words)
+            at = np.searchsorted(known, shingles)
+            frequency = np.where(known[at] == shingles, several[at], 1)
+            drawn = samples(shingles, times * idf_of(frequency, rows), owner, len(ids), per)
+            bands = np.zeros((len(ids), BANDS), np.uint64)
+            for r in range(ROWS):
+                bands = mixed(bands * np.uint64(31) + drawn[:, r::ROWS] + np.uint64(r + 1))
+            digest = b"".join(xxhash.xxh3_128_digest(b" ".join(w)) for w in words)
+            a, b = np.frombuffer(digest, ">i8").reshape(-1, 2).astype(np.int64).T
+            listed = pa.array(bands.view(np.int64).ravel())
+            offsets = pa.array(np.arange(len(ids) + 1, dtype=np.int32) * BANDS)
+            short = (drawn & np.uint64(0xFFFF)).astype("<u2")
+            cuts = np.searchsorted(owner, np.arange(len(ids) + 1))
+            own = [_planes(frequency[i:j]) for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
+            out.append(
+                pa.Table.from_arrays(
                     [
-                        pa.array(ids[lo:hi], pa.int64()),
+                        pa.array(ids, pa.int64()),
                         pa.array(a),
                         pa.array(b),
                         pa.array([len(w) for w in words], pa.int64()),
                         pa.ListArray.from_arrays(offsets, listed),
                         pa.array([s.tobytes() for s in short], pa.binary()),
+                        pa.array(texts, pa.string()),
+                        pa.array(own, pa.binary()),
                     ],
-                    ["id", "a", "b", "n", "bands", "signature"],
+                    ["id", "a", "b", "n", "bands", "signature", "text", "frequency"],
                 )
+            )
+        return pa.concat_tables(out)
 
-    schema = "id long, a long, b long, n long, bands array<long>, signature binary"
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(sign, schema)
+    schema = "id long, a long, b long, n long, bands array<long>, signature binary, text string, frequency binary"
+    return chunks.groupBy("chunk").cogroup(counts.groupBy("chunk")).applyInArrow(sign, schema)
 
 
 def similarity(x, y) -> float:
@@ -200,31 +260,33 @@ def similarity(x, y) -> float:
     return shared / total if total else 0.0
 
 
-def verified(pairs: DataFrame, docs: DataFrame, idf, threshold: float) -> DataFrame:
+def verified(pairs: DataFrame, signed: DataFrame, rows: int, threshold: float) -> DataFrame:
     """The (a, b) of ``pairs`` whose texts have at least the similarity, both texts read whole."""
-    texts = docs.select("doc_id", "text")
-    left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("left"))
-    right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("right"))
+    texts = signed.select("id", F.struct("text", "frequency").alias("own"))
+    left = texts.select(F.col("id").alias("a"), F.col("own").alias("left"))
+    right = texts.select(F.col("id").alias("b"), F.col("own").alias("right"))
 
     def check(batches):
-        table, kept = idf.value, {}
+        kept = {}
+
+        def weighed(own):
+            shingles, times, _ = _bags([words_of(own["text"], True)])
+            return shingles, times * idf_of(_from_planes(own["frequency"]).astype(np.int64), rows).astype(float)
 
-        def bag(key, text):
+        def bag(key, own):
+            text = own["text"]
             if (key, len(text)) not in kept:
                 if len(kept) > 64:
                     kept.clear()
-                shingles, times, _ = _bags([words_of(text, True)])
-                kept[key, len(text)] = text, (shingles, times * table[_buckets(shingles)].astype(float))
+                kept[key, len(text)] = text, weighed(own)
             known, found = kept[key, len(text)]
-            if known != text:  # another text of the same id and length
-                shingles, times, _ = _bags([words_of(text, True)])
-                found = shingles, times * table[_buckets(shingles)].astype(float)
-            return found
+            # Another text of the same id and length is not kept.
+            return found if known == text else weighed(own)
 
         for batch in batches:
             a, b, t, u = (batch.column(i).to_pylist() for i in range(4))
             ok = [
-                similarity(bag(i, x or ""), bag(j, y or "")) >= threshold
+                similarity(bag(i, x), bag(j, y)) >= threshold
                 for i, j, x, y in zip(a, b, t, u, strict=True)
             ]
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
@@ -288,8 +350,11 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame
     """
     spark: SparkSession = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    idf = spark.sparkContext.broadcast(idf_table(docs))
-    signed = staged(signatures(docs, idf), "signatures")
+    chunks = staged(_chunks(docs), "chunks")
+    size = F.sum(F.aggregate("texts", F.lit(0).cast("long"), lambda s, t: s + F.octet_length(t)))
+    rows, size = chunks.agg(F.sum(F.size("ids")), size).first()
+    rows, parts = rows or 0, max(parallelism(spark), (size or 0) // _PART_BYTES)
+    signed = staged(signatures(chunks, document_counts(chunks, parts), rows), "signatures")
     worded = signed.filter("n > 0 and id is not null")
     folded = worded.groupBy("a", "b").agg(
         F.min("id").alias("first"), F.first("bands").alias("bands"), F.first("signature").alias("signature")
@@ -303,7 +368,7 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame
     shared = staged(shared, "bands")
     stars = shared.filter("id > head").select(F.col("head").alias("a"), F.col("id").alias("b"))
     tried = staged(stars.distinct(), "stars")
-    links = staged(verified(tried, docs, idf, threshold), "links")
+    links = staged(verified(tried, worded, rows, threshold), "links")
     linked = components(links)
     # First each text with the nearest of another class, which connects most of a varied crowd; then
     # all that are still apart.
@@ -311,7 +376,7 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame
         rest = _open_pairs(shared.drop("head"), linked, nearest=nearest)
         rest = staged(rest.join(tried, ["a", "b"], "left_anti"), "open")
         if not rest.isEmpty():
-            links = links.unionByName(staged(verified(rest, docs, idf, threshold), "links"))
+            links = links.unionByName(staged(verified(rest, worded, rows, threshold), "links"))
             tried = tried.unionByName(rest)
             linked = components(links)
     # Ids that share words: from each to the first of its texts, then to the class of that one.
@@ -324,6 +389,6 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame
         tied = classes.select(F.col("id").alias("a"), F.col("class_id").alias("b"))
         tied = components(staged(tied, "links")).withColumnRenamed("component", "class_id")
         classes = tied
-    rows = docs.select("doc_id").join(classes, F.col("doc_id") == F.col("id"), "left")
+    placed = docs.select("doc_id").join(classes, F.col("doc_id") == F.col("id"), "left")
     own = F.coalesce("class_id", "doc_id")
-    return rows.select("doc_id", own.alias("class_id"), F.coalesce(own == F.col("doc_id"), F.lit(True)).alias("kept"))
+    return placed.select("doc_id", own.alias("class_id"), F.coalesce(own == F.col("doc_id"), F.lit(True)).alias("kept"))
