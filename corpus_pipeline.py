@@ -28,18 +28,32 @@ def drop_frequent_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least doc_id of each class of near-duplicates."""
+    """The document of least doc_id of each class of near-duplicates; of rows equal in id and text one.
+
+    Rows that link with nothing, those of a null id or without words, all stay.
+    """
     docs = docs.select(COLUMNS)
     kept = weighted.near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
+    linked = F.col("doc_id").isNotNull() & F.coalesce(F.col("text").rlike(r"[^ \t-\r]"), F.lit(False))
+    keys = docs.filter(linked).groupBy("doc_id", F.xxhash64("text").alias("th")).count()
+    repeated = not keys.filter("count > 1").isEmpty()
+    docs = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
+    if repeated:
+        # The least row of each id and text: which one stays does not depend on the order of tasks.
+        rest = F.struct(*[c for c in COLUMNS if c not in ("doc_id", "text")])
+        alone = docs.withColumn("alone", F.when(~linked, F.monotonically_increasing_id()))
+        one = alone.groupBy("doc_id", "text", "alone").agg(F.min(rest).alias("rest"))
+        docs = one.select("doc_id", "text", "rest.*").select(COLUMNS)
+    return docs
 
 
 def keep_clean_of_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no window of a benchmark item occurs."""
+    """Documents in which no window of a benchmark item occurs, decided for each row by itself."""
     docs = docs.select(COLUMNS).withColumn("doc_id", F.col("doc_id").cast("long"))
     found = decontam.contaminated(docs, table(spark, sf_dir, "benchmark")).filter("contaminated")
-    hit = found.select(F.col("doc_id").alias("id")).distinct()
-    return docs.join(hit, F.col("doc_id").eqNullSafe(F.col("id")), "left_anti")
+    hit = found.select(F.col("d").alias("hit_d"), F.col("th").alias("hit_th")).distinct()
+    d, th = decontam.row_keys()
+    return docs.join(hit, (d == F.col("hit_d")) & (th == F.col("hit_th")), "left_anti")
 
 
 def encode_and_decode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -14,6 +14,7 @@ from wayfare.llm.oracles import ORACLES
 from wayfare.llm.queries import QUERIES
 
 from . import test_decontam, test_lines, test_weighted
+from .conftest import prose
 
 SF = "/root/testdata/sf0.001"
 
@@ -120,3 +121,25 @@ def test_stages_return_the_columns_of_documents(spark):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, SF).dtypes == docs.dtypes, name
     assert bpe.RANKS.endswith(".tiktoken")
+
+
+def _stage(spark, monkeypatch, stage, rows, items=()):
+    """(doc_id, text) that ``stage`` keeps of rows of (doc_id, text), repeated and null ids included."""
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    benchmark = spark.createDataFrame(list(items), "item_id long, text string")
+    monkeypatch.setattr(corpus_pipeline, "table", lambda *_: benchmark)
+    return Counter((r.doc_id, r.text) for r in stage(spark, docs.repartition(3), SF).collect())
+
+
+def test_a_contaminated_row_takes_no_other_row_of_its_id(spark, monkeypatch):
+    item, clean = prose(1, 12), [prose(10 + k, 30) for k in range(4)]
+    rows = [(None, f"x {item} y"), (None, clean[0]), (None, None), (5, item), (5, clean[1]), (5, clean[1]), (6, clean[2]), (7, item)]
+    got = _stage(spark, monkeypatch, corpus_pipeline.keep_clean_of_benchmark, rows, [(1, item)])
+    assert got == Counter([(None, clean[0]), (None, None), (5, clean[1]), (5, clean[1]), (6, clean[2])])
+
+
+def test_one_row_of_a_repeated_document_stays(spark, monkeypatch):
+    a, b, c = prose(20, 60), prose(21, 60), prose(22, 60)
+    rows = [(1, a), (1, a), (2, a), (3, b), (3, b), (3, c), (None, a), (None, a), (4, ""), (4, ""), (5, None), (5, None)]
+    got = _stage(spark, monkeypatch, corpus_pipeline.keep_one_of_near_duplicates, rows)
+    assert got == Counter([(1, a), (3, b), (3, c), (None, a), (None, a), (4, ""), (4, ""), (5, None), (5, None)])

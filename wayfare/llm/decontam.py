@@ -28,6 +28,11 @@ def words(text: Column) -> Column:
     return F.array_remove(F.transform(cut, ascii_lower), "")
 
 
+def row_keys() -> tuple[Column, Column]:
+    """d and th, which stand for a row's id and text and are never null."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)), F.xxhash64("text")
+
+
 def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """(item, w) of every distinct window: ``window`` consecutive words, or all words of a shorter item."""
     items = benchmark.select(
@@ -48,15 +53,16 @@ def _rarities(tokens: DataFrame, vocabulary: DataFrame, small: bool) -> DataFram
 def contaminated(
     docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, broadcast_bytes: int = 64 << 20
 ) -> DataFrame:
-    """(doc_id, n_words, n_hit, items, contaminated) of every row of ``docs``.
+    """(doc_id, n_words, n_hit, items, contaminated, d, th) of every row of ``docs``.
 
+    d and th are the ``row_keys`` of the row.
     n_hit counts words inside any occurrence of a window, items is the sorted array of the ids, as strings, of
     items with occurring windows. Null and empty texts have no words; items without words have no
     windows; a null item_id counts as ''. Benchmark rows that share an item_id are one item. Every
     row of ``docs`` gives one row: rows equal in id and text get equal results, ids may repeat or be null. An
     empty table on either side gives no hits. Other columns are ignored.
     """
-    keys = [F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)).alias("d"), F.xxhash64("text").alias("th")]
+    keys = [key.alias(name) for key, name in zip(row_keys(), ("d", "th"))]
     windows = staged(item_windows(benchmark, window), "windows")
     size = windows.agg(F.sum(F.octet_length(F.array_join("w", " ")) + 16 * F.size("w") + 100)).first()[0] or 0
     small = size <= broadcast_bytes
@@ -109,4 +115,6 @@ def contaminated(
         n_hit.alias("n_hit"),
         F.coalesce("items", F.array().cast("array<string>")).alias("items"),
         (n_hit > 0).alias("contaminated"),
+        "d",
+        "th",
     )
