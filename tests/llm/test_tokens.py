@@ -74,3 +74,14 @@ def test_files_hold_the_ids_of_the_library(spark, documents, clashing, empty, tm
         assert all(zlib.crc32(r.ids) >= 0 for r in got)
     tokens.write(empty, str(tmp_path / "empty"))
     assert tokens.read(spark, str(tmp_path / "empty")).count() == 0
+
+
+def test_literals_of_added_tokens_are_as_by_the_plain_call(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    tool = Tokenizer.from_file(tokens.VOCABULARY)
+    texts = ["end of doc <|endoftext|> next", "<|endoftext|>", "a<|endoftext|>b\n<|endoftext|>\n\n <|endoftext|>  c", "<|endof text|>", "abc\n\n<|endoftext|>\t<|\na", "a\tb\tc\n\n"]
+    tokens.write(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), str(tmp_path / "ids"))
+    got = {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in tokens.read(spark, str(tmp_path / "ids")).collect()}
+    assert got == {i: tool.encode(t, add_special_tokens=False).ids + [2] for i, t in enumerate(texts)}
+    assert got[0] == [437, 286, 2205, 220, 50256, 1306, 2]

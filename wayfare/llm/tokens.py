@@ -31,14 +31,17 @@ _CACHED = 600_000
 
 
 class Encoder:
-    """The tokenizers library with a bounded cache of the ids of units, kept by each worker."""
+    """The tokenizers library with a bounded cache of the ids of units, kept by each worker.
+
+    Its defaults hold: the literal of an added token, such as <|endoftext|>, is that token's id. No
+    such literal holds a blank, so none is cut in two.
+    """
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.cache = Recent(_CACHED)
 
     def _new(self, some: list[str]) -> list[bytes]:

@@ -17,15 +17,15 @@ import pyarrow.compute as pc
 # Two blanks side by side, of any kind that some pattern takes for a blank, or the mark used here.
 _BLANK = r"[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 _BLANKS_MEET = _BLANK + "{2}|\\x00"
+_MEET = re.compile(r"\s{2}")
 _CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
 
 
 def units(text: str) -> list[str]:
     """Parts of ``text`` in order; empty parts mean nothing. Their concatenation is ``text``."""
-    if len(text.split()) != text.count(" ") + text.count("\n") + 1 or "\0" in text:
+    if _MEET.search(text) or text[-1:].isspace() or "\0" in text:
         return _CUT.split(text)
-    # Every blank is a space or a newline and stands alone between other characters: a space goes
-    # with what follows, a newline stands by itself.
+    # Every blank stands alone: a space goes with what follows, a newline stands by itself.
     return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
 
 
