@@ -71,6 +71,27 @@ def test_large_query_sets_are_joined_by_term(spark, monkeypatch):
     assert len(held) == 80
 
 
+def test_held_and_joined_queries_agree_on_tags_and_halves(spark, monkeypatch):
+    """An empty tag is a tag, a null one is none; scores in the middle are rounded up."""
+    rows = [(1, "", 1.0), (2, None, 1.0), (3, "a", 1.0), (4, "a", 0.5), (5, "", 0.25), (6, "b", 0.750001)]
+    vectors = spark.createDataFrame(
+        [(i, t, ([0], [w])) for i, t, w in rows],
+        "doc_id bigint, tag string, sparse struct<indices: array<bigint>, values: array<double>>",
+    )
+    halves = [0.1234565, 0.0000025, 0.2500005, 0.0000065, 0.3000015]
+    wanted = [None, [], [""], ["a", None], ["", "b"]]
+    q = spark.createDataFrame(
+        [(5 * i + j, t, 0, w) for i, t in enumerate(wanted) for j, w in enumerate(halves)],
+        "query_id bigint, tags array<string>, term_id bigint, weight double",
+    )
+    held = sorted(map(tuple, search.sparse_topk(vectors, q, 2).collect()))
+    monkeypatch.setattr(search, "MAX_QUERY_TERMS", 0)
+    assert sorted(map(tuple, search.sparse_topk(vectors, q, 2).collect())) == held
+    found = {(r[0], r[1]): r[2] for r in held}
+    assert {d for n, d in found if n in range(10, 15)} == {1, 5} and {d for n, d in found if n in range(15, 20)} == {3, 4}
+    assert [found[n, 1] for n in range(5)] == [0.123457, 0.000003, 0.250001, 0.000007, 0.300002]
+
+
 def test_vocabulary_size_is_bounded(model):
     counts, _ = model
     with pytest.raises(ValueError):

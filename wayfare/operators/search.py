@@ -1,8 +1,9 @@
 """Filtered top-k search for many queries in one job.
 
 Queries are (query_id, ...); an optional ``tags`` array restricts a query to documents whose
-``tag`` is among them, and is applied before any ranking. Scores are rounded before ranking and
-ties go to the smaller id, so the result does not depend on the order of summation.
+``tag`` is among them, and is applied before any ranking. A null tag is never among them; '' is a
+tag like any other. Scores are rounded before ranking and ties go to the smaller id, so the result
+does not depend on the order of summation. Sparse scores are rounded half up, as by ``F.round``.
 """
 
 from __future__ import annotations
@@ -118,7 +119,7 @@ def _scan_sparse(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
                     rows = np.zeros((min(step, batch.num_rows - start), len(terms)))
                     rows[r[lo:hi] - start, c[lo:hi]] = w[lo:hi]
                     s = rows @ q_matrix
-                    s = np.where(s > 0, np.round(s, DIGITS), -np.inf)
+                    s = np.where(s > 0, _half_up(s), -np.inf)
                     if tagged:
                         s = _mask_tags(s, doc_tags[start : start + step], q_tags)
                     found = _best_rows(q_ids, s, ids[start : start + step], k)
@@ -154,6 +155,20 @@ def sparse_scores(weights: DataFrame, queries: DataFrame) -> DataFrame:
     return dots.select("query_id", "doc_id", F.round("s", DIGITS).alias("score"))
 
 
+def _half_up(scores):
+    """Scores rounded like ``F.round`` rounds them: half up by their shortest decimal digits."""
+    import numpy as np
+    from decimal import ROUND_HALF_UP, Decimal
+
+    out = np.round(scores, DIGITS)
+    scaled = scores * 10.0**DIGITS
+    # Only what lies next to a half can go another way than by the nearest digit.
+    unit = Decimal(1).scaleb(-DIGITS)
+    for at in zip(*np.nonzero(np.abs(scaled - np.floor(scaled) - 0.5) < 1e-6)):
+        out[at] = float(Decimal(repr(float(scores[at]))).quantize(unit, ROUND_HALF_UP))
+    return out
+
+
 def _best_rows(q_ids, scores, d_ids, k):
     """(query, doc, score) triples of the k best per query column, ties by smaller doc id."""
     import numpy as np
@@ -258,8 +273,9 @@ def _mask_tags(scores, doc_tags, q_tags):
 
     if not any(q_tags):
         return scores
-    values, code = np.unique([t or "" for t in doc_tags], return_inverse=True)
-    allowed = np.array([[t is None or (v != "" and v in t) for v in values] for t in q_tags])
+    values = {v: i for i, v in enumerate(dict.fromkeys(doc_tags))}
+    code = np.array([values[t] for t in doc_tags], int)
+    allowed = np.array([[t is None or (v is not None and v in t) for v in values] for t in q_tags])
     return np.where(allowed[:, code].T, scores, -np.inf)
 
 
