@@ -48,3 +48,15 @@ def test_without_labels_every_score_is_one_half(spark, documents, empty):
         got = quality.score(documents, quality.fit(documents, none)).collect()
         assert {round(r.score, 6) for r in got} == {0.5}
     assert quality.fit(empty, labels).weights[-1] == 0.0
+
+
+def test_one_repeated_document_does_not_crowd_out_the_sample(spark):
+    docs, labels = table(spark)
+    copied = docs.filter("doc_id = 3").crossJoin(spark.range(3000).select(F.col("id").alias("n")))
+    same = copied.select("doc_id", "text").coalesce(1).unionByName(docs)
+    plain = quality.fit(docs, labels, sample_rows=100)
+    assert quality.fit(same, labels, sample_rows=100) == plain and any(plain.weights[:3])
+    # Other texts of that id: both classes stay, and the order of rows does not matter.
+    other = copied.select("doc_id", F.concat("text", F.lit(" "), "n").alias("text")).coalesce(1).unionByName(docs)
+    model = quality.fit(other, labels, sample_rows=100)
+    assert any(model.weights[:3]) and quality.fit(other.repartition(7, "text"), labels, sample_rows=100) == model

@@ -109,7 +109,8 @@ def fit(
 ) -> CompressionModel:
     """Fit on at most ``sample_rows`` labelled texts of each class, none of them held out.
 
-    The rows are those with the smallest hash of their id, so the sample is the same each time. Texts
+    Rows equal in id and text count once. The ids are those with the smallest hash, and of their texts
+    those with the smallest hash of id and text, so the sample is the same each time. Texts
     over ``sample_chars`` are not learned from, which bounds the sample in bytes; they are scored like
     all others. Half of the sample trains the dictionaries, the other half fits the curve. Labels
     other than 0 and 1, null ids and null texts are not learned from. Without both classes every
@@ -122,8 +123,10 @@ def fit(
     chosen = parts[0].unionByName(parts[1])
     # At most 2 * sample_rows rows of two numbers: their size is bounded, so they can be broadcast.
     own = docs.select("doc_id", "text").filter(F.char_length("text") <= sample_chars)
-    rows = own.join(F.broadcast(chosen), "doc_id")
-    rows = rows.limit(4 * sample_rows).toPandas().sort_values(["doc_id", "text"])
+    rows = own.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id", "text", "quality"])
+    order = F.xxhash64("doc_id", "text", F.lit(11))
+    parts = [rows.filter(F.col("quality") == q).orderBy(order, "doc_id", "text").limit(sample_rows) for q in (0, 1)]
+    rows = parts[0].unionByName(parts[1]).toPandas().sort_values(["doc_id", "text"])
     good = rows[rows.quality == 1].text.str.encode("utf-8").tolist()
     bad = rows[rows.quality == 0].text.str.encode("utf-8").tolist()
     if not good or not bad:
