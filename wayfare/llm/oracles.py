@@ -62,5 +62,49 @@ select doc_id, len(ws)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit,
   coalesce(n_items, 0)::bigint as n_items, sha256(coalesce(items, '')) as items_sha256,
   coalesce(n_hit, 0) > 0 as contaminated
 from d left join p using (doc_id) left join t using (doc_id)
+""",
+    "op11_bit_sliced_resampling": r"""
+with crc as (
+  select list_transform(range(256), lambda b: list_reduce(range(9), lambda c, i:
+    case when i = 0 then b when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, b)) as steps
+), t as (
+  select true as target, null::bigint as doc_id, row_number() over () as r, text from benchmark
+  union all select false, doc_id, row_number() over (), text from documents
+), w as (
+  select target, doc_id, r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws from t
+), g as (
+  select target, r, unnest(list_concat(ws,
+    list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]),
+    list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]))) as f from w
+), n as (select target, r, f, count(*) as n from g group by all
+), u as (select distinct f from n
+), y as (
+  select f, list_transform(range(1, octet_length(encode(f)) + 1), lambda i:
+    ('0x' || substr(hex(encode(f)), (2 * i - 1)::bigint, 2))::bigint) as bytes from u
+), b as (
+  select f, xor(list_reduce(bytes, lambda c, x: xor(c >> 8, steps[(xor(c, x) & 255) + 1]), 4294967295),
+    4294967295) % 10000 as bucket from y, crc
+), sums as (
+  select bucket, coalesce(sum(n) filter (target), 0)::double as t, coalesce(sum(n) filter (not target), 0)::double as s
+  from n join b using (f) group by 1
+), totals as (select coalesce(sum(t), 0) as tt, coalesce(sum(s), 0) as ss from sums
+), gain as (
+  select bucket, floor(1000 * ln((t + 1) * (ss + 10000) / ((s + 1) * (tt + 10000))))::bigint as gain from sums, totals
+), own as (
+  select r, sum(n)::bigint as n_features, sum(n * gain)::bigint as weight
+  from n join b using (f) join gain using (bucket) where not target group by 1
+), scored as (
+  select doc_id, len(ws) as words, coalesce(n_features, 0)::bigint as n_features, coalesce(weight, 0)::bigint as weight,
+    (coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || left(sha256('42:' || doc_id), 8))::bigint + 0.5::double)
+      / 4294967296))))::bigint as score
+  from w left join own using (r) where not target
+), placed as (
+  select *, row_number() over (partition by words >= 20 order by score desc, doc_id) as place,
+    count(*) over (partition by words >= 20) as n from scored
+)
+select doc_id, n_features, weight, score,
+  case when words >= 20 and place <= 5 * n // 100 then place end as rank
+from placed
 """,
 }

@@ -7,7 +7,19 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfare.llm import bpe, debruijn, decontam, itq, lines, pii, quality, shards, tokens, weighted
+from wayfare.llm import (
+    bpe,
+    debruijn,
+    decontam,
+    importance,
+    itq,
+    lines,
+    pii,
+    quality,
+    shards,
+    tokens,
+    weighted,
+)
 from wayfare.llm.common import table
 from wayfare.session import shared_folder
 
@@ -98,6 +110,11 @@ def op10_weighted_near_duplicates(spark: SparkSession, sf: str) -> DataFrame:
     return weighted.near_duplicates(table(spark, sf, "documents"))
 
 
+def op11_bit_sliced_resampling(spark: SparkSession, sf: str) -> DataFrame:
+    drawn = importance.importance_sample(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_boosted_personal_data": op2_boosted_personal_data,
@@ -109,4 +126,5 @@ QUERIES = {
     "op8_duckdb_bpe": op8_duckdb_bpe,
     "op9_hypergeometric_shards": op9_hypergeometric_shards,
     "op10_weighted_near_duplicates": op10_weighted_near_duplicates,
+    "op11_bit_sliced_resampling": op11_bit_sliced_resampling,
 }
