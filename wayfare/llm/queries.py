@@ -19,6 +19,7 @@ from wayfare.llm import (
     shards,
     tokens,
     weighted,
+    whitening,
 )
 from wayfare.llm.common import table
 from wayfare.session import shared_folder
@@ -115,6 +116,10 @@ def op11_bit_sliced_resampling(spark: SparkSession, sf: str) -> DataFrame:
     return drawn.select("doc_id", "n_features", "weight", "score", "rank")
 
 
+def op12_spectrum_sliced_whitening(spark: SparkSession, sf: str) -> DataFrame:
+    return whitening.whitened_vectors(table(spark, sf, "embeddings"))
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_boosted_personal_data": op2_boosted_personal_data,
@@ -127,4 +132,5 @@ QUERIES = {
     "op9_hypergeometric_shards": op9_hypergeometric_shards,
     "op10_weighted_near_duplicates": op10_weighted_near_duplicates,
     "op11_bit_sliced_resampling": op11_bit_sliced_resampling,
+    "op12_spectrum_sliced_whitening": op12_spectrum_sliced_whitening,
 }
