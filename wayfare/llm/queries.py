@@ -16,6 +16,7 @@ from wayfare.llm import (
     lines,
     pii,
     quality,
+    secretscan,
     shards,
     tokens,
     weighted,
@@ -120,6 +121,17 @@ def op12_spectrum_sliced_whitening(spark: SparkSession, sf: str) -> DataFrame:
     return whitening.whitened_vectors(table(spark, sf, "embeddings"))
 
 
+def op13_randomness_battery_secrets(spark: SparkSession, sf: str) -> DataFrame:
+    found = secretscan.secrets(table(spark, sf, "documents"))
+    kinds = F.transform("base", lambda s: s["kind"])
+    counts = [
+        F.size(F.array_compact(F.transform(kinds, _equal_to(k)))).cast("long").alias(f"n_{name}")
+        for k, name in enumerate(secretscan.KINDS[:3])
+    ]
+    digest = F.sha2(secretscan.spelled(F.col("base")), 256).alias("base_sha256")
+    return found.select("doc_id", *counts, digest, secretscan.spelled(F.col("spans")).alias("spans"))
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_boosted_personal_data": op2_boosted_personal_data,
@@ -133,4 +145,5 @@ QUERIES = {
     "op10_weighted_near_duplicates": op10_weighted_near_duplicates,
     "op11_bit_sliced_resampling": op11_bit_sliced_resampling,
     "op12_spectrum_sliced_whitening": op12_spectrum_sliced_whitening,
+    "op13_randomness_battery_secrets": op13_randomness_battery_secrets,
 }
