@@ -92,10 +92,13 @@ def test_held_and_joined_queries_agree_on_tags_and_halves(spark, monkeypatch):
     assert [found[n, 1] for n in range(5)] == [0.123457, 0.000003, 0.250001, 0.000007, 0.300002]
 
 
-def test_vocabulary_size_is_bounded(model):
-    counts, _ = model
-    with pytest.raises(ValueError):
-        tfidf.fit_vocabulary(counts, 3, max_features=10**9)
+def test_vocabulary_size_is_bounded(model, monkeypatch):
+    counts, terms = model
+    # A bound beyond what one task ranks gives the ids of one within it.
+    known = sorted(map(tuple, terms.collect()))
+    assert sorted(map(tuple, tfidf.fit_vocabulary(counts, 3, max_features=10**9).collect())) == known
+    monkeypatch.setattr(tfidf, "SMALL_VOCABULARY", 1)
+    assert sorted(map(tuple, tfidf.fit_vocabulary(counts, 3, max_features=10**9).collect())) == known
     top = tfidf.fit_vocabulary(counts, 3, max_features=1).collect()
     assert [(r["term"], r["cf"]) for r in top] == [("red", 3)]
 
@@ -179,12 +182,49 @@ def _brute_pairs(v, t):
     return {(i, j) for i in range(len(v)) for j in range(i + 1, len(v)) if s[i, j] >= t}
 
 
-@pytest.mark.parametrize("pivots,threshold", [(1, 0.5), (16, 0.7), (16, 0.85), (64, 0.9)])
-def test_pairs_equal_brute_force(spark, pivots, threshold):
+@pytest.mark.parametrize("leaf,threshold", [(1000, 0.5), (100, 0.7), (20, 0.85), (8, 0.99)])
+def test_pairs_equal_brute_force(spark, leaf, threshold):
     v = _random_vectors(400, 6, 3, copies=20)
     df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id bigint, embedding array<float>")
-    got = similarity.similar_pairs(df, df, threshold, pivots=pivots, block=64)
-    assert {(r["a"], r["b"]) for r in got.collect()} == _brute_pairs(v, threshold)
+    got = similarity.similar_pairs(df, df, threshold, leaf=leaf, block=64)
+    assert sorted((r["a"], r["b"]) for r in got.collect()) == sorted(_brute_pairs(v, threshold))
+    odd, even = df.filter("id % 2 = 1"), df.filter("id % 2 = 0")
+    got = similarity.similar_pairs(odd, even, threshold, leaf=leaf // 2, block=32, forward=False)
+    both = {(a, b) if a % 2 else (b, a) for a, b in _brute_pairs(v, threshold) if (a + b) % 2}
+    assert sorted((r["a"], r["b"]) for r in got.collect()) == sorted(both)
+
+
+def _clusters(spark, n, size=20, width=32):
+    """n vectors in tight clusters of ``size``: the number of clusters grows with n."""
+    rng = np.random.default_rng(n)
+    v = np.repeat(rng.normal(size=(n // size, width)), size, axis=0)
+    v = (v + rng.normal(scale=0.05, size=v.shape)).astype("float32")
+    rows = [(i, x.tolist()) for i, x in enumerate(v)]
+    return spark.createDataFrame(rows, "id bigint, embedding array<float>").repartition(4), v
+
+
+def test_comparisons_per_row_do_not_grow_with_the_rows(spark):
+    """Two more doublings of the rows, with as many more clusters, leave the partners to try per row alone."""
+    tried = []
+    for n in (1000, 2000, 4000):
+        df, v = _clusters(spark, n)
+        homes, visits = similarity.layout(df, df, 0.95, leaf=100)
+        work = similarity._counts(homes, visits).selectExpr("sum(n_left * n_right) as w", "max(n_left) as m").first()
+        tried.append(work["w"] / n)
+        assert homes.count() == n and work["m"] <= 400
+    # Without cells it would be 1000, 2000 and 4000.
+    assert tried[2] < 1.5 * tried[0] and tried[2] < 200
+    got = similarity.similar_pairs(df, df, 0.95, leaf=100)
+    assert {(r["a"], r["b"]) for r in got.collect()} == _brute_pairs(v, 0.95)
+
+
+def test_cells_that_gain_nothing_stay_whole(spark):
+    """A crowd of near copies, and vectors in no clusters at a low threshold, are not copied to many cells."""
+    rng = np.random.default_rng(8)
+    for v, t in ((1 + rng.normal(scale=1e-4, size=(600, 8)), 0.9), (rng.normal(size=(600, 64)), 0.3)):
+        df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id bigint, embedding array<float>")
+        homes, visits = similarity.layout(df, df, t, leaf=50)
+        assert homes.count() == 600 and visits.count() == 600
 
 
 def _greedy(n, pairs):
@@ -231,7 +271,7 @@ def test_groups_with_a_third_of_copies(spark):
     order = np.random.default_rng(4).permutation(240)
     v[order[:80]] = v[order[0]]
     df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id bigint, embedding array<float>")
-    groups = neardup.near_duplicate_groups(df, 0.9, hot_rows=10, pivots=8, block=32)
+    groups = neardup.near_duplicate_groups(df, 0.9, hot_rows=10, leaf=30, block=32)
     got = {}
     for r in groups.collect():
         got.setdefault(r["leader"], set()).add(r["id"])
@@ -241,7 +281,7 @@ def test_groups_with_a_third_of_copies(spark):
     noisy = v + np.random.default_rng(5).normal(scale=1e-3, size=v.shape).astype("float32")
     near = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(noisy)], "id bigint, embedding array<float>")
     found = {}
-    for r in neardup.near_duplicate_groups(near, 0.9, budget=2, pivots=8, block=32).collect():
+    for r in neardup.near_duplicate_groups(near, 0.9, budget=2, leaf=30, block=32).collect():
         found.setdefault(r["leader"], set()).add(r["id"])
     assert found == _greedy(240, _brute_pairs(noisy, 0.9))
     sizes = spark.createDataFrame([(i, i % 7) for i in range(240)], "id bigint, size int")
@@ -276,6 +316,27 @@ def test_a_crowd_of_near_copies_is_decided_in_batches(spark, late, monkeypatch):
     assert sum(emitted) < 5000
 
 
+def test_a_crowd_of_a_thousandth_of_the_rows_is_seen(spark, monkeypatch):
+    """20 near copies among 20,000 rows, which a sample of a thousand would miss."""
+    rng = np.random.default_rng(12)
+    v = rng.normal(size=(20_000, 24)).astype("float32")
+    plain = v.copy()
+    crowd = rng.choice(20_000, 20, replace=False)
+    v[crowd] = v[crowd[0]] + rng.normal(scale=1e-3, size=(20, 24)).astype("float32")
+    frames = [
+        spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(rows)], "id bigint, embedding array<float>").repartition(4).cache()
+        for rows in (plain, v)
+    ]
+    ends = [19_999, 4_999]
+    without, seen = (neardup.expected_pairs(f, ends) for f in frames)
+    assert seen[0] - without[0] >= 150 and seen[1] - without[1] >= 0.5 * (crowd <= 4_999).sum()
+    # A budget that the crowd alone exceeds: the batch shrinks until its pairs are few.
+    first, rest = neardup._next_batch(frames[1], (without[0] + 50) / 20_000)
+    assert rest is not None and first.count() + rest.count() == 20_000
+    for f in frames:
+        f.unpersist()
+
+
 def test_vocabulary_beyond_one_task(spark, monkeypatch):
     rng = random.Random(3)
     docs = [(i, " ".join(rng.choice("abcdefghijklmnop") * 2 for _ in range(30))) for i in range(40)]
