@@ -30,6 +30,75 @@ def test_upsert_twice_is_once_and_last_wins(spark, tmp_path):
     assert store.versions(spark, root) == [0, 1, 2]
 
 
+def _files(folder):
+    return {str(p.relative_to(folder)): p.stat().st_mtime_ns for p in folder.rglob("*.parquet")}
+
+
+def test_only_touched_buckets_are_written(spark, tmp_path):
+    root = tmp_path / "points"
+    rows = spark.range(2000).select(F.col("id").cast("string").alias("id"), F.lit(0).alias("v"))
+    store.upsert(str(root), rows, buckets=32)
+    before = _files(root / "rows")
+    sent = spark.createDataFrame([("17", 1), ("new", 1)], "id string, v int")
+    touched = {f"bucket={r[0]}" for r in sent.select(store.bucket_of("id", 32)).collect()}
+    assert store.upsert(str(root), sent, buckets=32) == 1
+    after = _files(root / "rows")
+    assert {f for f in before if f.split("/")[0] not in touched} == {f for f in before if after.get(f) == before[f]}
+    assert {f.split("/")[0] for f in after if f not in before} == touched
+    got = {r["id"]: r["v"] for r in store.read(spark, str(root)).collect()}
+    assert len(got) == 2001 and {i for i, v in got.items() if v} == {"17", "new"}
+    # A replay touches no file at all, nor does an empty batch.
+    assert store.upsert(str(root), sent, version=1, buckets=32) == 1 and _files(root / "rows") == after
+    assert store.upsert(str(root), sent.limit(0), buckets=32) == 2 and _files(root / "rows") == after
+    with pytest.raises(Exception, match="another number of buckets"):
+        store.upsert(str(root), rows, buckets=31)
+
+
+@pytest.mark.parametrize("lost", [[], ["bucket"], ["noted"]])
+def test_a_batch_that_broke_off_is_finished(spark, tmp_path, monkeypatch, lost):
+    """Merged but not replaced, replaced in part with files already gone, or replaced but not noted."""
+    root = tmp_path / "points"
+    first = spark.range(200).select("id", F.lit(0).alias("v"))
+    second = spark.range(100, 300).select("id", F.lit(1).alias("v"))
+    store.upsert(str(root), first, buckets=4)
+
+    def stop(spark, root, version, sort_by):
+        raise OSError("lost")
+
+    publish, note = store._publish, store._note
+    monkeypatch.setattr(store, *(("_note", stop) if lost == ["noted"] else ("_publish", stop)))
+    with pytest.raises((OSError, TypeError)):
+        store.upsert(str(root), second, version=1, buckets=4)
+    monkeypatch.setattr(store, "_publish", publish)
+    monkeypatch.setattr(store, "_note", note)
+    if lost == ["bucket"]:
+        import shutil
+
+        shutil.rmtree(root / "rows" / "bucket=1")
+    assert store.versions(spark, str(root)) == [0]
+    # Another batch, not the same one, comes next: the one that broke off is finished first.
+    third = spark.createDataFrame([(0, 2)], "id long, v int")
+    assert store.upsert(str(root), third, buckets=4) == 2
+    got = sorted(map(tuple, store.read(spark, str(root)).collect()))
+    assert got == [(0, 2)] + [(i, 0) for i in range(1, 100)] + [(i, 1) for i in range(100, 300)]
+    assert store.versions(spark, str(root)) == [0, 1, 2] and not list((root / "pending").glob("*"))
+
+
+def test_a_new_column_is_null_in_untouched_buckets(spark, tmp_path):
+    root = str(tmp_path / "points")
+    store.upsert(root, spark.range(50).select("id", F.lit(0).alias("v")), buckets=8)
+    store.upsert(root, spark.createDataFrame([(3, 1, "x")], "id long, v int, w string"), buckets=8)
+    got = {r["id"]: (r["v"], r["w"]) for r in store.read(spark, root).collect()}
+    assert len(got) == 50 and got[3] == (1, "x") and set(got.values()) == {(1, "x"), (0, None)}
+
+
+def test_ingest_again_keeps_one_copy_of_rejects(spark, tmp_path):
+    root = str(tmp_path / "p")
+    for _ in range(2):
+        ingest.ingest(_venues(spark), root, str(tmp_path / "m"), version=0)
+    assert spark.read.parquet(f"{root}_rejects").count() == 1 and store.read(spark, root).count() == 3
+
+
 def test_create_keeps_and_recreates(spark, tmp_path):
     root = str(tmp_path / "t")
     store.create(spark, root, VOCABULARY)
@@ -118,6 +187,7 @@ def test_ingest_then_search(spark, tmp_path):
     first = {r["query_id"]: r["name"] for r in got if r["rank"] == 1}
     assert first[1] == "Spice" and {r["district"] for r in got if r["query_id"] == 1} == {"屯門區"}
     assert 3 not in first
+    points = store.read(spark, root)  # as the second batch left it
     for vocabulary in (terms, None):
         both = retrieve.search_venues(
             points, asked, vocabulary, k=2, encoder=lambda d: encode.hashed_vectors(d, 64)

@@ -73,22 +73,25 @@ def ingest(
     keys: tuple[str, ...] = ("name",),
     version: int | None = None,
     rejects: str | None = None,
+    buckets: int = store.BUCKETS,
 ) -> int:
     """Curate, index and upsert a venue table; returns the version written.
 
     Dedup is by name by default although ids use name and district; pass
     ``keys=("name", "district")`` to keep branches apart. Rows without a key are written to
-    ``rejects`` (default: ``root`` with ``_rejects`` added).
+    ``rejects`` (default: ``root`` with ``_rejects`` added), one folder per batch, which running the
+    batch again overwrites.
     """
+    if version is None:
+        version = store.next_version(raw.sparkSession, root)
     venues = curate.venue_columns(raw)
     kept, bad = curate.dedup_keep_last(venues, keys)
-    write_rejects(bad, rejects or rejects_of(root))
+    write_rejects(bad, f"{rejects or rejects_of(root)}/batch={version}", mode="overwrite")
     # Read by the vocabulary, the points and the size check: computed once.
     kept = cut(kept)
     vocabulary = fit_or_load(index_texts(kept), model_path)
-    return store.upsert(
-        root, points(kept, vocabulary, encoder=encoder), version=version, sort_by=["district", "id"]
-    )
+    rows = points(kept, vocabulary, encoder=encoder)
+    return store.upsert(root, rows, version=version, sort_by=["district", "id"], buckets=buckets)
 
 
 def record_points(

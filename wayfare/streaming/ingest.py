@@ -22,12 +22,13 @@ def stream_points(
     order: str = "ord",
     keys: tuple[str, ...] = ("name",),
     rejects: str | None = None,
+    buckets: int = store.BUCKETS,
     **trigger,
 ) -> StreamingQuery:
-    """Upsert each micro-batch as one version of the table.
+    """Upsert each micro-batch into the buckets of its own points.
 
-    Batch n always writes version ``first_version + n`` from the version before it, so a batch
-    replayed after a failure writes the same rows again. Rows without a key go to ``rejects``
+    Batch n is always number ``first_version + n`` of the table, so one that is replayed after a
+    failure is finished or left as it is. Rows without a key go to ``rejects``
     (default: ``root`` with ``_rejects`` added), one folder per batch. ``keys`` are those of the
     batch ingest.
     """
@@ -38,7 +39,9 @@ def stream_points(
         kept, bad = curate.dedup_keep_last(batch, keys, order)
         write_rejects(bad, f"{rejects}/batch={batch_id}", mode="overwrite")
         rows = points(kept.drop(order), vocabulary, analyzer, encoder)
-        store.upsert(root, rows, version=first_version + batch_id, sort_by=["district", "id"])
+        store.upsert(
+            root, rows, version=first_version + batch_id, sort_by=["district", "id"], buckets=buckets
+        )
         batch.unpersist()
 
     return (
