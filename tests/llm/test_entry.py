@@ -49,7 +49,6 @@ def test_token_files(spark, rows):
     from wayfare.llm.tokens import VOCABULARY
 
     tool = Tokenizer.from_file(VOCABULARY)
-    tool.encode_special_tokens = True
     expected, start = [], 0
     for i, t in sorted(rows):
         ids = np.array(tool.encode(t or "", add_special_tokens=False).ids + [2], "<u4")

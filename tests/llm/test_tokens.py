@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -48,6 +49,18 @@ def test_units_put_together_are_the_text(text):
     assert "".join(units(text)) == text
 
 
+def test_units_joined_are_units_one_by_one():
+    from tokenizers import Tokenizer
+
+    tool, coder = Tokenizer.from_file(tokens.VOCABULARY), tokens.Encoder(tokens.VOCABULARY)
+    some = [" a", " don't", " <|endoftext|>", " 日本", " x <|endoftext|>y", "\n", "a", " ", "  b", " c ", " \u00a0d", " é" * 40, " !?", " 12345", ""]
+    some += [f" w{i}" for i in range(3000)]
+    assert coder._new(some) == [np.array(tool.encode(u, add_special_tokens=False).ids, "<u4").tobytes() for u in some]
+    texts = ["end of doc <|endoftext|> next<|endoftext|>", "a <|endoftext|>", "<|endoftext|> b  c"]
+    ids, ends = coder(pa.array(texts))
+    assert [ids[a:b].tolist() for a, b in zip(ends, ends[1:])] == [tool.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_slices_cover_all():
     texts = ["a" * n for n in (0, 5, 0, 9, 1, 1)]
     assert [i for a, b in slices(texts, 4) for i in range(a, b)] == list(range(6))
@@ -57,7 +70,6 @@ def test_files_hold_the_ids_of_the_library(spark, documents, clashing, empty, tm
     from tokenizers import Tokenizer
 
     tool = Tokenizer.from_file(tokens.VOCABULARY)
-    tool.encode_special_tokens = True
     expected = sorted(
         (i is not None, i or 0, np.array(tool.encode(t or "", add_special_tokens=False).ids + [2], "<u4").tobytes())
         for i, t in messy()
