@@ -2,10 +2,16 @@
 
 Texts are cut into matches of the pattern. Rows (word, pos, token) of the distinct words that a
 worker has not met before join the merge table; in every round of a recursive query each word
-contracts its leftmost pair of least rank, and a word without a pair leaves. Words longer than
-``LONG`` bytes contract all occurrences of that pair in one round where this provably changes
-nothing, so their number of rounds stays small. The ids of a text are those of its words in
-order. Ordered aggregation of the tokens' bytes decodes them.
+contracts its leftmost pair of least rank, and a word without a pair leaves. The ids of a text are
+those of its words in order. Ordered aggregation of the tokens' bytes decodes them.
+
+A word longer than ``LONG`` bytes is cut into stretches, which the same query encodes. Where two
+stretches meet, the last tokens of one and the first of the other are encoded again together:
+if the tokens at both ends of that window come out as they were, what lies beyond them is not touched by the
+seam, and the window's tokens replace them. Else the two stretches become one. So a word without
+repetition takes time in proportion to its length, and a repetitive one, whose stretches do
+merge, falls in few rounds because all occurrences of its pair are contracted in one, where this
+provably changes nothing.
 """
 
 from __future__ import annotations
@@ -25,29 +31,29 @@ from wayfare.llm.units import Recent, slices, slices_of
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 LONG = 48
+# Tokens on each side of a seam that are encoded again.
+_WINDOW = 6
 _SLICE = 2_000_000
 _CACHED = 120_000
+# Bytes of words in one query, and ids decoded by one: they bound the memory of both.
+_QUERY_BYTES = 120_000
+_QUERY_IDS = 200_000
 
-# One round contracts one pair of each word.
+# One round contracts one pair of each word. A round's rows are lists of tokens; the shortest is the last.
 _SINGLE = """
-with recursive step as (
-  select word, pos, token, false as done from symbols
+with recursive step(word, t) as (
+  select word, list(token order by pos) from symbols group by word
   union all
-  (with paired as (
-    select word, pos, token, lead(token) over w as next, lead(pos) over w as after
-    from step where not done window w as (partition by word order by pos)
-  ), ranked as (
-    select p.word, p.pos, p.after, (m.rank::bigint << 32) | p.pos as place
-    from paired p join merges m on m.l = p.token and m.r = p.next
+  (with pairs as (
+    select word, unnest(t[:-2]) as l, unnest(t[2:]) as r, unnest(range(1, len(t))) as i from step where len(t) > 1
   ), best as (
-    select word, min(place) as place, arg_min(after, place) as gone from ranked group by word
+    select word, min((m.rank::bigint << 32) | i) as place
+    from pairs join merges m using (l, r) group by word
   )
-  select p.word, p.pos,
-    case when p.pos = b.place & 4294967295 then (b.place >> 32)::integer else p.token end as token,
-    b.word is null as done
-  from paired p left join best b using (word) where p.pos is distinct from b.gone)
+  select word, t[:(place & 4294967295) - 1] || [(place >> 32)::integer] || t[(place & 4294967295) + 2:]
+  from step join best using (word))
 )
-select word, list(token order by pos) as ids from step where done group by word
+select word, arg_min(t, len(t)) as ids from step group by word
 """
 
 # One round contracts all occurrences of the pair, left to right without overlap, if the pair is
@@ -99,7 +105,8 @@ class Coder:
     def __init__(self, path: str, pattern: str) -> None:
         self.ranks = load_ranks(path)
         self.split = regex.compile(pattern).findall
-        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "250MB"})
+        # No spill folder: a query beyond the limit fails loudly instead of filling a local disk.
+        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "250MB", "temp_directory": ""})
         early, pairs = set(), []
         for token, rank in self.ranks.items():
             for i in range(1, len(token)):
@@ -121,6 +128,7 @@ class Coder:
             self.con.register("given", rows)
             self.con.execute(f"create table {name} as select * from given")
             self.con.unregister("given")
+        self.tokens = {rank: token for token, rank in self.ranks.items()}
         self.byte_ids = np.array([self.ranks.get(bytes([b]), -1) for b in range(256)], np.int32)
         self.words, self.units = Recent(_CACHED), Recent(_CACHED)
 
@@ -133,38 +141,81 @@ class Coder:
             for name in tables:
                 self.con.unregister(name)
 
-    def _contract(self, words: list[str]) -> list[bytes]:
-        """Ids of words as little-endian int32; a word that is a token needs no merging."""
-        made = dict.fromkeys(words, b"")
-        for long, sql in ((False, _SINGLE), (True, _MANY)):
-            some, data = [], []
-            for word in words:
-                raw = word.encode("utf-8")
-                if raw in self.ranks:
-                    made[word] = self.ranks[raw].to_bytes(4, "little")
-                elif (len(raw) > LONG) == long:
-                    some.append(word)
-                    data.append(raw)
-            if not some:
-                continue
-            lengths = np.array([len(d) for d in data])
-            joined = np.frombuffer(b"".join(data), np.uint8)
+    def _run(self, sql: str, data: list[bytes]) -> list[np.ndarray]:
+        """Ids of each byte string by one of the recursive queries."""
+        out, at = [], 0
+        while at < len(data):
+            end, size = at + 1, len(data[at])
+            while end < len(data) and size + len(data[end]) <= _QUERY_BYTES:
+                size += len(data[end])
+                end += 1
+            lengths = np.array([len(d) for d in data[at:end]])
+            joined = np.frombuffer(b"".join(data[at:end]), np.uint8)
             offset = np.arange(len(joined)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
             symbols = pa.table(
                 {
-                    "word": np.repeat(np.arange(len(some), dtype=np.int32), lengths),
+                    "word": np.repeat(np.arange(end - at, dtype=np.int32), lengths),
                     "pos": offset.astype(np.int32),
                     "token": self.byte_ids[joined],
                 }
             )
             got = self._query(sql, symbols=symbols)
             lists = got["ids"].combine_chunks()
-            flat = lists.flatten().to_numpy().astype("<i4").tobytes()
-            ends = np.cumsum(lists.value_lengths().to_numpy()) * 4
-            starts = [0, *ends.tolist()]
-            for word, a, b in zip(got["word"].to_pylist(), starts, ends.tolist(), strict=False):
-                made[some[word]] = flat[a:b]
-        return list(made.values())
+            flat = lists.flatten().to_numpy().astype("<i4")
+            ends = np.cumsum(lists.value_lengths().to_numpy())
+            some: list = [None] * (end - at)
+            for word, a, b in zip(got["word"].to_pylist(), [0, *ends.tolist()], ends.tolist(), strict=False):
+                some[word] = flat[a:b]
+            out += some
+            at = end
+        return out
+
+    def _short(self, data: list[bytes]) -> list[np.ndarray]:
+        """Ids of byte strings by the plain query, each distinct one once."""
+        known = {d: np.array([self.ranks[d]], "<i4") if d in self.ranks else None for d in data}
+        new = [d for d, ids in known.items() if ids is None]
+        known.update(zip(new, self._run(_SINGLE, new), strict=True))
+        return [known[d] for d in data]
+
+    def _long(self, words: list[bytes]) -> list[np.ndarray]:
+        """Ids of long words: stretches encoded one by one, then mended where they meet."""
+        cut = [[w[i : i + LONG] for i in range(0, len(w), LONG)] for w in words]
+        coded = iter(self._short([piece for own in cut for piece in own]))
+        parts = [[next(coded) for _ in own] for own in cut]
+        while any(len(own) > 1 for own in parts):
+            # Every other seam at a time, so that no stretch is changed from both sides at once.
+            seams = [(w, i) for w, own in enumerate(parts) for i in range(0, len(own) - 1, 2)]
+            windows = [(parts[w][i][-_WINDOW:], parts[w][i + 1][:_WINDOW]) for w, i in seams]
+            texts = [self._bytes(np.concatenate(x)) for x in windows]
+            mended = dict(zip(seams, zip(windows, self._short(texts), strict=True), strict=True))
+            whole = {}
+            for (w, i), ((left, right), new) in mended.items():
+                a, b = parts[w][i], parts[w][i + 1]
+                # A window that reaches the end of the word needs no token there to hold on to.
+                held_left = new[0] == left[0] if len(a) > len(left) else i == 0
+                held_right = new[-1] == right[-1] if len(b) > len(right) else i + 2 == len(parts[w])
+                if held_left and held_right:
+                    whole[w, i] = np.concatenate([a[: -len(left)], new, b[len(right) :]])
+            rest = [s for s in seams if s not in whole]
+            joined = [self._bytes(np.concatenate([parts[w][i], parts[w][i + 1]])) for w, i in rest]
+            # All occurrences of a pair at once: stretches that do not mend are mostly repetitive.
+            whole.update(zip(rest, self._run(_MANY, joined), strict=True))
+            for w, own in enumerate(parts):
+                if len(own) > 1:
+                    parts[w] = [whole.get((w, i), own[i]) for i in range(0, len(own), 2)]
+        return [own[0] for own in parts]
+
+    def _bytes(self, ids: np.ndarray) -> bytes:
+        return b"".join(map(self.tokens.__getitem__, ids.tolist()))
+
+    def _contract(self, words: list[str]) -> list[bytes]:
+        """Ids of words as little-endian int32; a word that is a token needs no merging."""
+        data = [word.encode("utf-8") for word in words]
+        long = [d for d in data if len(d) > LONG and d not in self.ranks]
+        made = dict(zip(long, self._long(long), strict=True))
+        short = [d for d in data if d not in made]
+        made.update(zip(short, self._short(short), strict=True))
+        return [made[d].tobytes() for d in data]
 
     def encode(self, texts: pa.Array) -> pa.Array:
         """Ids of each text."""
@@ -209,33 +260,57 @@ def coder(path: str, pattern: str) -> Coder:
     return kept_by_worker(("duckdb", path, pattern), lambda: Coder(path, pattern))
 
 
+def _encoded(texts: pa.Array, ranks: str, pattern: str) -> pa.Array:
+    made = [pa.array([], pa.list_(pa.int32()))]
+    texts = texts.fill_null("")
+    for a, b in slices_of(texts, _SLICE):
+        made.append(coder(ranks, pattern).encode(texts.slice(a, b - a)).cast(made[0].type))
+    return pa.concat_arrays(made)
+
+
 def encode(docs: DataFrame, ranks: str = RANKS, pattern: str = public_tokenizers.PATTERN, text: str = "text") -> DataFrame:
     """``docs`` with ids (array<int>), replacing a column of that name.
 
     Ids are those of the tiktoken library without special tokens. Null and empty texts have no ids.
-    Every row is encoded for itself, so repeated rows, nulls elsewhere and other columns pass.
+    Every row is encoded for itself, so repeated rows, nulls elsewhere and other columns pass. Very
+    long texts are cut into words like others; a very long word without blanks is encoded in
+    stretches, in time in proportion to its length unless it neither repeats nor mends.
     """
 
     def run(texts: pa.Array) -> pa.Array:
-        made = [pa.array([], pa.list_(pa.int32()))]
-        texts = texts.fill_null("")
-        for a, b in slices_of(texts, _SLICE):
-            made.append(coder(ranks, pattern).encode(texts.slice(a, b - a)).cast(made[0].type))
-        return pa.concat_arrays(made)
+        return _encoded(texts, ranks, pattern)
 
     return docs.withColumn("ids", F.arrow_udf(run, "array<int>")(F.col(text)))
 
 
+def _decoded(lists: pa.Array, ranks: str, pattern: str) -> pa.Array:
+    made = [pa.array([], pa.binary())]
+    lengths = lists.value_lengths().fill_null(0).to_pylist()
+    for a, b in slices([range(n) for n in lengths], _QUERY_IDS):
+        made.append(coder(ranks, pattern).decode(lists.slice(a, b - a)))
+    return pa.concat_arrays(made)
+
+
 def decode(coded: DataFrame, ranks: str = RANKS, pattern: str = public_tokenizers.PATTERN, ids: str = "ids") -> DataFrame:
     """``coded`` with decoded (binary), the bytes of its ids, replacing a column of that name."""
 
     def run(lists: pa.Array) -> pa.Array:
-        made = [pa.array([], pa.binary())]
-        lengths = lists.value_lengths().fill_null(0).to_pylist()
-        for a, b in slices([range(n) for n in lengths], _SLICE // 4):
-            made.append(coder(ranks, pattern).decode(lists.slice(a, b - a)))
-        return pa.concat_arrays(made)
+        return _decoded(lists, ranks, pattern)
 
     return coded.withColumn("decoded", F.arrow_udf(run, "binary")(F.col(ids)))
 
 
+def encode_and_decode(docs: DataFrame, ranks: str = RANKS, pattern: str = public_tokenizers.PATTERN, text: str = "text") -> DataFrame:
+    """``docs`` with ids and with decoded, the bytes that these ids stand for.
+
+    The same as ``decode(encode(docs))``, but in one call of a worker: chained, Spark would encode once
+    for each of the two columns.
+    """
+
+    def run(texts: pa.Array) -> pa.Array:
+        lists = _encoded(texts, ranks, pattern)
+        return pa.StructArray.from_arrays([lists, _decoded(lists, ranks, pattern)], ["ids", "decoded"])
+
+    both = F.arrow_udf(run, "struct<ids:array<int>,decoded:binary>")(F.col(text))
+    rest = [c for c in docs.columns if c not in ("ids", "decoded")]
+    return docs.withColumn("__coded", both).select(*rest, "__coded.ids", "__coded.decoded")

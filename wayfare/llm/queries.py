@@ -84,9 +84,9 @@ def op7_compression_quality(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op8_duckdb_bpe(spark: SparkSession, sf: str) -> DataFrame:
-    coded = bpe.encode(table(spark, sf, "documents").select("doc_id", "text"))
+    coded = bpe.encode_and_decode(table(spark, sf, "documents").select("doc_id", "text"))
     digits = F.array_join(F.col("ids").cast("array<string>"), ",")
-    return bpe.decode(coded).select(
+    return coded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(digits, 256).alias("ids_sha256"),
