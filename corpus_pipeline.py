@@ -58,7 +58,7 @@ def keep_clean_of_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 def encode_and_decode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with their token ids; the text is what the ids decode to."""
-    coded = bpe.decode(bpe.encode(docs.select(COLUMNS)))
+    coded = bpe.encode_and_decode(docs.select(COLUMNS))
     text = F.decode("decoded", "UTF-8").alias("text")
     rest = [c for c in COLUMNS if c not in ("doc_id", "text")]
     return coded.select("doc_id", text, *rest, F.size("ids").cast("long").alias("n_tokens"), "ids")
