@@ -1,4 +1,5 @@
 import math
+import re
 from collections import Counter
 
 import numpy as np
@@ -9,50 +10,42 @@ from wayfare.llm.components import components
 from .conftest import messy, prose
 
 
-def brute(rows, threshold=weighted.SIMILARITY):
-    """Exact weighted Jaccard of all pairs of texts, with document frequencies by bucket."""
-    size = 1 << weighted.BUCKET_BITS
+def exact(rows, threshold=weighted.SIMILARITY):
+    """{id: class} of (id, text) by shingles as tuples of words and the idf written out; null ids are left out."""
     bags = []
     for _, t in rows:
-        shingles, times, _ = weighted._bags([weighted.words_of(t, True)])
-        bags.append((shingles, times, np.unique(weighted._buckets(shingles))))
-    df = np.zeros(size)
-    for _, _, buckets in bags:
-        df[buckets] += 1
-    idf = weighted.idf_of(df, len(rows))
-    full = [(s, n * idf[weighted._buckets(s)].astype(float)) for s, n, _ in bags]
-    parent = {i: i for i, _ in rows if i is not None}
+        ws = [w.lower() if w.isascii() else "".join(c.lower() if "A" <= c <= "Z" else c for c in w) for w in re.findall(r"[^ \t-\r]+", t or "")]
+        bags.append(Counter(tuple(ws[i : i + 5]) for i in range(max(len(ws) - 4, min(len(ws), 1)))))
+    df = Counter(s for bag in bags for s in bag)
+    n = len(rows)
+    rounded = {k: 2 ** (math.floor(8 * math.log2(k)) / 8) for k in set(df.values())}
+    idf = {s: 1 + math.log((1 + n) / (1 + rounded[k])) / (2 * math.log(1 + n)) for s, k in df.items()}
+    weight = [sum(idf[s] * k for s, k in bag.items()) for bag in bags]
+    least = {i: i for i, _ in rows if i is not None}
 
     def root(i):
-        while parent[i] != i:
-            i = parent[i]
+        while least[i] != i:
+            i = least[i]
         return i
 
+    holders = {}
     for x, (i, _) in enumerate(rows):
-        for y, (j, _) in enumerate(rows[:x]):
-            if i is not None and j is not None and weighted.similarity(full[x], full[y]) >= threshold:
-                a, b = sorted((root(i), root(j)))
-                parent[b] = a
-    return sorted((str(i), str(root(i) if i is not None else None)) for i, _ in rows)
+        if i is None:
+            continue
+        for y in {y for s in bags[x] for y in holders.get(s, ())}:
+            shared = sum(idf[s] * min(k, bags[y][s]) for s, k in bags[x].items() if s in bags[y])
+            if shared >= threshold * (weight[x] + weight[y] - shared):
+                a, b = sorted((root(i), root(rows[y][0])))
+                least[b] = a
+        for s in bags[x]:
+            holders.setdefault(s, []).append(x)
+    return {i: root(i) for i in least}
 
 
-def exact(rows, threshold=weighted.SIMILARITY):
-    """Classes of (id, text) by shingles as tuples of words and the idf written out."""
-    bags = []
-    for _, t in rows:
-        ws = (t or "").split()
-        bags.append(Counter(tuple(ws[i : i + 5]) for i in range(max(len(ws) - 4, min(len(ws), 1)))))
-    df = Counter(s for bag in bags for s in bag)
-    n = len(rows)
-    idf = {s: 1 + math.log((1 + n) / (1 + k)) / (2 * math.log(1 + n)) for s, k in df.items()}
-    least = {i: i for i, _ in rows}
-    for x, (i, _) in enumerate(rows):
-        for y, (j, _) in enumerate(rows[:x]):
-            shared = sum(idf[s] * k for s, k in (bags[x] & bags[y]).items())
-            if shared and shared >= threshold * sum(idf[s] * k for s, k in (bags[x] | bags[y]).items()):
-                a, b = sorted((least[i], least[j]))
-                least = {k: a if c == b else c for k, c in least.items()}
-    return least
+def brute(rows, threshold=weighted.SIMILARITY):
+    """The classes as the operator's rows are sorted: (id, class) as strings, null ids included."""
+    found = exact(rows, threshold)
+    return sorted((str(i), str(found.get(i))) for i, _ in rows)
 
 
 def boilerplate():
@@ -62,9 +55,7 @@ def boilerplate():
     return rows + [(100 + i, f"{shared} {prose(500 + i, 10)}") for i in range(2)] + [(200, rows[0][1]), (201, prose(600, 3))]
 
 
-def test_counts_of_documents_are_by_shingle(spark, monkeypatch):
-    """16 buckets on these rows are as crowded as 2**20 are on a large corpus."""
-    monkeypatch.setattr(weighted, "BUCKET_BITS", 4)
+def test_counts_of_documents_are_by_shingle(spark):
     rows = boilerplate()
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     got = {r.doc_id: r.class_id for r in weighted.near_duplicates(docs).collect()}
@@ -72,9 +63,20 @@ def test_counts_of_documents_are_by_shingle(spark, monkeypatch):
 
 
 def test_weights_equal_the_formula():
-    n, df = 4600, np.array([1, 2, 70, 4600])
-    expected = [1 + math.log((1 + n) / (1 + k)) / (2 * math.log(1 + n)) for k in df]
-    assert np.allclose(weighted.idf_of(df, n), expected, atol=1e-6)
+    n, df = 4600, np.array([1, 2, 64, 70, 4600])
+    rounded = [1, 2, 64, 2 ** (49 / 8), 2 ** (97 / 8)]
+    expected = [1 + math.log((1 + n) / (1 + k)) / (2 * math.log(1 + n)) for k in rounded]
+    assert np.allclose(weighted.idf_of(weighted.levels_of(df), n), expected, atol=1e-6)
+    assert weighted.levels_of(np.array([2**31])) == 248
+
+
+def test_packed_numbers_come_back():
+    rng = np.random.default_rng(1)
+    for n in (1, 2, 5000):
+        x = np.unique(rng.integers(0, 2**52, n).astype(np.uint64))
+        assert (weighted._unpacked(weighted._packed(x)) == x).all()
+    parts = weighted._parts(np.array([0, 2**51, 2**52 - 1], np.uint64), 2**31)
+    assert parts.tolist() == [0, 2**30, 2**31 - 1]
 
 
 def changed(text, every):

@@ -2,13 +2,14 @@
 
 A text is a bag of shingles of five words; a shingle weighs its count times its idf. Documents are
 counted for each whole shingle hash: texts are staged in chunks, each chunk asks for its distinct
-shingles in parts of the hash range, each part sums over all chunks, and what more than one document
-has goes back to the chunks that asked. So a count stays exact however large the corpus, and no
-task holds more than its part. The idf runs from 1 to 1.5 only: the shingles of a large group of near copies
+shingles in parts of the hash range, each part sums over all chunks, and answers with one byte for
+each shingle asked for: its count of documents, rounded down to an eighth of a doubling. So a count covers
+the whole corpus however large, a shingle travels once, as a packed difference, and no task
+holds more than its part. The idf runs from 1 to 1.5 only: the shingles of a large group of near copies
 are frequent for that very reason, and a steeper idf would tear such a group apart. A sample of a bag
 depends on the weights alone, and two bags share it with the probability of their weighted Jaccard
 similarity. Samples are joined to bands; texts that share a band are compared exactly, from whole
-texts.
+texts, which only those texts are read again for.
 
 Equal texts are folded first. In a bucket every text is compared with the smallest id, which
 connects a crowd of copies with one comparison each; texts that are then in another class than the
@@ -21,6 +22,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,12 +36,14 @@ WORDS = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 8, 3
 SEED = 20_101
-BUCKET_BITS = 20
+# Steps of the document count in each doubling.
+LEVELS = 8
 # Bytes of text whose shingles one task counts.
-_PART_BYTES = 12 << 20
+_PART_BYTES = 8 << 20
 _SLICE = 1_500_000
 _HASH_BITS = np.uint64(52)
-_DOCS = 1 << 12
+_DOC_BITS = 12
+_DOCS = 1 << _DOC_BITS
 
 
 def _bags(words: list[list[bytes]]):
@@ -65,8 +69,9 @@ def _bags(words: list[list[bytes]]):
     return keyed & np.uint64((1 << 52) - 1), times, (keyed >> _HASH_BITS).astype(np.int64)
 
 
-def _buckets(shingles: np.ndarray) -> np.ndarray:
-    return (shingles >> (_HASH_BITS - np.uint64(BUCKET_BITS))).astype(np.int64)
+def _parts(shingles: np.ndarray, parts: int) -> np.ndarray:
+    """Which of ``parts`` stretches of the hash range each shingle lies in, for up to 2^31 of them."""
+    return ((shingles >> (_HASH_BITS - np.uint64(32))) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
 
 
 def _runs_of_docs(texts: list[str], most: int):
@@ -84,7 +89,7 @@ def _chunks(docs: DataFrame) -> DataFrame:
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
             for a, b in _runs_of_docs(texts, _SLICE):
-                row = [[(part << 40) | seq], [ids[a:b]], [texts[a:b]]]
+                row = [[(part << 28) | seq], [ids[a:b]], [texts[a:b]]]
                 types = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.string())]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(v, t) for v, t in zip(row, types)], ["chunk", "ids", "texts"]
@@ -95,77 +100,88 @@ def _chunks(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, schema)
 
 
-def _planes(numbers: np.ndarray) -> bytes:
-    """All first bytes, then all second ones, and so on: the equal bytes of sorted numbers compress."""
-    return numbers.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+def _packed(numbers: np.ndarray) -> bytes:
+    """Ascending numbers as packed differences: all first bytes, then all second ones, and so on."""
+    steps = np.diff(numbers.astype(np.uint64), prepend=np.uint64(0)).astype("<u8")
+    return zstandard.ZstdCompressor(level=1).compress(steps.view(np.uint8).reshape(-1, 8).T.tobytes())
 
 
-def _from_planes(data: bytes) -> np.ndarray:
-    return np.frombuffer(data, np.uint8).reshape(8, -1).T.copy().view("<u8").ravel()
+def _unpacked(data: bytes) -> np.ndarray:
+    flat = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    return np.cumsum(flat.reshape(8, -1).T.copy().view("<u8").ravel(), dtype=np.uint64)
 
 
-def document_counts(chunks: DataFrame, parts: int) -> DataFrame:
-    """(chunk, shingles, counts): the documents of all ``chunks`` with each shingle of the chunk.
+def levels_of(documents: np.ndarray) -> np.ndarray:
+    """Counts of documents rounded down to an eighth of a doubling, as one byte."""
+    return np.floor(LEVELS * np.log2(documents)).astype(np.uint8)
 
-    Shingles of one document are left out. A chunk may have several rows, and no shingle twice.
+
+def document_levels(chunks: DataFrame, parts: int) -> DataFrame:
+    """(chunk, part, levels): how many of all documents have each shingle of the chunk.
+
+    ``levels`` follows the ascending distinct shingles of the chunk in that part of the hash range.
     """
-    names, schema = ["chunk", "shingles", "counts"], "chunk long, shingles binary, counts binary"
 
     def ask(batches):
         for batch in batches:
             for chunk, texts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 shingles, _, _ = _bags([words_of(t, True) for t in texts])
                 found, docs = np.unique(shingles, return_counts=True)
-                part = (_buckets(found) * parts) >> BUCKET_BITS
-                cuts = np.searchsorted(part, np.arange(parts + 1))
+                cuts = np.searchsorted(_parts(found, parts), np.arange(parts + 1))
                 used = np.flatnonzero(cuts[1:] > cuts[:-1])
+                pack = zstandard.ZstdCompressor(level=1).compress
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(used.astype(np.int32)),
                         pa.array(np.full(len(used), chunk, np.int64)),
-                        pa.array([_planes(found[cuts[p] : cuts[p + 1]]) for p in used], pa.binary()),
-                        pa.array([docs[cuts[p] : cuts[p + 1]].astype("<u2").tobytes() for p in used], pa.binary()),
+                        pa.array([_packed(found[cuts[p] : cuts[p + 1]]) for p in used], pa.binary()),
+                        pa.array([pack(docs[cuts[p] : cuts[p + 1]].astype("<u2").tobytes()) for p in used], pa.binary()),
                     ],
-                    ["part", *names],
+                    ["part", "chunk", "shingles", "docs"],
                 )
 
     def answer(batches):
-        asked, sizes, shingles, docs = [], [], [], []
+        parts_asked, asked, sizes, shingles, docs = [], [], [], [], []
+        unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
+            parts_asked += batch.column(0).to_pylist()
             asked += batch.column(1).to_pylist()
             for data, n in zip(batch.column(2), batch.column(3), strict=True):
-                shingles.append(_from_planes(data.as_py()))
-                docs.append(np.frombuffer(n.as_py(), "<u2"))
+                shingles.append(_unpacked(data.as_py()))
+                docs.append(np.frombuffer(unpack(n.as_py()), "<u2"))
                 sizes.append(len(docs[-1]))
         if not asked:
             return
         ends = np.cumsum(sizes)
         shingles, docs = np.concatenate(shingles), np.concatenate(docs)
         order = np.argsort(shingles)
-        ordered = shingles[order]
-        first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-        del ordered
-        total = np.add.reduceat(docs[order], first, dtype=np.int64)
-        counts = np.empty(len(order), np.int64)
-        counts[order] = np.repeat(total, np.diff(np.append(first, len(order))))
+        shingles = shingles[order]
+        first = np.flatnonzero(np.concatenate([[True], shingles[1:] != shingles[:-1]]))
+        del shingles
+        total = levels_of(np.add.reduceat(docs[order], first, dtype=np.int64))
+        levels = np.empty(len(order), np.uint8)
+        levels[order] = np.repeat(total, np.diff(np.append(first, len(order))))
+        pack = zstandard.ZstdCompressor(level=1).compress
         for lo in range(0, len(asked), 1024):
-            rows = []
-            for i in range(lo, min(lo + 1024, len(asked))):
-                own = slice(ends[i] - sizes[i], ends[i])
-                several = counts[own] > 1
-                if several.any():
-                    rows.append((asked[i], _planes(shingles[own][several]), _planes(counts[own][several])))
-            columns = list(zip(*rows, strict=True)) or [(), (), ()]
-            types = [pa.int64(), pa.binary(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
-
-    wanted = chunks.select("chunk", "texts").mapInArrow(ask, f"part int, {schema}")
-    return wanted.repartitionById(parts, "part").mapInArrow(answer, schema)
-
-
-def idf_of(frequency: np.ndarray, rows: int) -> np.ndarray:
-    """1 + log((1 + rows) / (1 + frequency)) / (2 log(1 + rows)), for ``rows`` documents."""
-    steep = np.log((1 + rows) / (1 + np.minimum(frequency, rows)))
+            own = range(lo, min(lo + 1024, len(asked)))
+            data = [pack(levels[ends[i] - sizes[i] : ends[i]].tobytes()) for i in own]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([asked[i] for i in own], pa.int64()),
+                    pa.array([parts_asked[i] for i in own], pa.int32()),
+                    pa.array(data, pa.binary()),
+                ],
+                ["chunk", "part", "levels"],
+            )
+
+    wanted = chunks.select("chunk", "texts").mapInArrow(ask, "part int, chunk long, shingles binary, docs binary")
+    return wanted.repartitionById(parts, "part").mapInArrow(answer, "chunk long, part int, levels binary")
+
+
+def idf_of(levels: np.ndarray, rows: int) -> np.ndarray:
+    """1 + log((1 + rows) / (1 + d)) / (2 log(1 + rows)) for d = 2^(level / 8) of ``rows`` documents."""
+    documents = np.minimum(2.0 ** (levels / LEVELS), rows)
+    steep = np.log((1 + rows) / (1 + documents))
     return (1 + steep / (2 * np.log(max(2, 1 + rows)))).astype(np.float32)
 
 
@@ -198,57 +214,48 @@ def samples(shingles, weights, owner, n: int, count: int) -> np.ndarray:
     return out
 
 
-def signatures(chunks: DataFrame, counts: DataFrame, rows: int) -> DataFrame:
-    """(id, a, b, n, bands, signature, text, frequency), a row for each of ``chunks``' texts.
+def signatures(chunks: DataFrame, levels: DataFrame, rows: int) -> DataFrame:
+    """(row, id, a, b, n, weight, bands, signature, levels), a row for each of ``chunks``' texts.
 
-    a and b are a 128-bit hash of the words, n the words; frequency has the documents with each of the
-    text's shingles, in ascending order of their hashes.
+    row is a number of its own; a and b are a 128-bit hash of the words, n the words, weight the sum of
+    weights; levels has one byte for each of the text's shingles, in ascending order of their hashes.
     """
     per = BANDS * ROWS
 
     def sign(chunk: pa.Table, counted: pa.Table) -> pa.Table:
-        known = [_from_planes(x) for x in counted["shingles"].to_pylist()]
-        known = np.concatenate([*known, np.array([1 << 52], np.uint64)])
-        several = [_from_planes(x) for x in counted["counts"].to_pylist()]
-        several = np.concatenate([*several, np.ones(1, np.uint64)])
-        order = np.argsort(known)
-        known, several = known[order], several[order].astype(np.int64)
-        out = []
-        for ids, texts in zip(chunk["ids"].to_pylist(), chunk["texts"].to_pylist(), strict=True):
-            words = [words_of(t, True) for t in texts]
-            shingles, times, owner = _bags(words)
-            at = np.searchsorted(known, shingles)
-            frequency = np.where(known[at] == shingles, several[at], 1)
-            drawn = samples(shingles, times * idf_of(frequency, rows), owner, len(ids), per)
-            bands = np.zeros((len(ids), BANDS), np.uint64)
-            for r in range(ROWS):
-                bands = mixed(bands * np.uint64(31) + drawn[:, r::ROWS] + np.uint64(r + 1))
-            digest = b"".join(xxhash.xxh3_128_digest(b" ".join(w)) for w in words)
-            a, b = np.frombuffer(digest, ">i8").reshape(-1, 2).astype(np.int64).T
-            listed = pa.array(bands.view(np.int64).ravel())
-            offsets = pa.array(np.arange(len(ids) + 1, dtype=np.int32) * BANDS)
-            short = (drawn & np.uint64(0xFFFF)).astype("<u2")
-            cuts = np.searchsorted(owner, np.arange(len(ids) + 1))
-            own = [_planes(frequency[i:j]) for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
-            out.append(
-                pa.Table.from_arrays(
-                    [
-                        pa.array(ids, pa.int64()),
-                        pa.array(a),
-                        pa.array(b),
-                        pa.array([len(w) for w in words], pa.int64()),
-                        pa.ListArray.from_arrays(offsets, listed),
-                        pa.array([s.tobytes() for s in short], pa.binary()),
-                        pa.array(texts, pa.string()),
-                        pa.array(own, pa.binary()),
-                    ],
-                    ["id", "a", "b", "n", "bands", "signature", "text", "frequency"],
-                )
-            )
-        return pa.concat_tables(out)
-
-    schema = "id long, a long, b long, n long, bands array<long>, signature binary, text string, frequency binary"
-    return chunks.groupBy("chunk").cogroup(counts.groupBy("chunk")).applyInArrow(sign, schema)
+        unpack = zstandard.ZstdDecompressor().decompress
+        counted = counted.sort_by("part")
+        known = b"".join(unpack(x) for x in counted["levels"].to_pylist())
+        known = np.frombuffer(known, np.uint8)
+        (number,), (ids,), (texts,) = (chunk[c].to_pylist() for c in ("chunk", "ids", "texts"))
+        words = [words_of(t, True) for t in texts]
+        shingles, times, owner = _bags(words)
+        own = known[np.unique(shingles, return_inverse=True)[1]]
+        weights = times * idf_of(np.arange(256), rows)[own]
+        drawn = samples(shingles, weights, owner, len(ids), per)
+        bands = np.zeros((len(ids), BANDS), np.uint64)
+        for r in range(ROWS):
+            bands = mixed(bands * np.uint64(31) + drawn[:, r::ROWS] + np.uint64(r + 1))
+        digest = b"".join(xxhash.xxh3_128_digest(b" ".join(w)) for w in words)
+        a, b = np.frombuffer(digest, ">i8").reshape(-1, 2).astype(np.int64).T
+        offsets = pa.array(np.arange(len(ids) + 1, dtype=np.int32) * BANDS)
+        short = (drawn & np.uint64(0xFFFF)).astype("<u2")
+        cuts = np.searchsorted(owner, np.arange(len(ids) + 1)).tolist()
+        columns = {
+            "row": pa.array((number << _DOC_BITS) + np.arange(len(ids))),
+            "id": pa.array(ids, pa.int64()),
+            "a": pa.array(a),
+            "b": pa.array(b),
+            "n": pa.array([len(w) for w in words], pa.int64()),
+            "weight": pa.array(np.bincount(owner, weights, len(ids)).astype(float)),
+            "bands": pa.ListArray.from_arrays(offsets, pa.array(bands.view(np.int64).ravel())),
+            "signature": pa.array([s.tobytes() for s in short], pa.binary()),
+            "levels": pa.array([own[i:j].tobytes() for i, j in zip(cuts, cuts[1:])], pa.binary()),
+        }
+        return pa.table(columns)
+
+    schema = "row long, id long, a long, b long, n long, weight double, bands array<long>, signature binary, levels binary"
+    return chunks.groupBy("chunk").cogroup(levels.groupBy("chunk")).applyInArrow(sign, schema)
 
 
 def similarity(x, y) -> float:
@@ -260,38 +267,42 @@ def similarity(x, y) -> float:
     return shared / total if total else 0.0
 
 
-def verified(pairs: DataFrame, signed: DataFrame, rows: int, threshold: float) -> DataFrame:
-    """The (a, b) of ``pairs`` whose texts have at least the similarity, both texts read whole."""
-    texts = signed.select("id", F.struct("text", "frequency").alias("own"))
-    left = texts.select(F.col("id").alias("a"), F.col("own").alias("left"))
-    right = texts.select(F.col("id").alias("b"), F.col("own").alias("right"))
+def verified(pairs: DataFrame, texts: DataFrame, rows: int, threshold: float) -> DataFrame:
+    """The (a, b) of ``pairs`` whose texts have at least the similarity; ``texts`` is (id, weight, text, levels).
+
+    Weights that differ by more than the threshold allows rule a pair out before its texts are joined.
+    """
+    size = texts.select("id", "weight")
+    fit = pairs.join(size.withColumnsRenamed({"id": "a", "weight": "u"}), "a")
+    fit = fit.join(size.withColumnsRenamed({"id": "b", "weight": "v"}), "b")
+    fit = fit.filter(F.least("u", "v") >= (threshold - 1e-3) * F.greatest("u", "v")).select("a", "b")
+    own = texts.select("id", F.struct("text", "levels").alias("own"))
+    left = own.select(F.col("id").alias("a"), F.col("own").alias("left"))
+    right = own.select(F.col("id").alias("b"), F.col("own").alias("right"))
 
     def check(batches):
         kept = {}
-
-        def weighed(own):
-            shingles, times, _ = _bags([words_of(own["text"], True)])
-            return shingles, times * idf_of(_from_planes(own["frequency"]).astype(np.int64), rows).astype(float)
+        idf = idf_of(np.arange(256), rows).astype(float)
 
         def bag(key, own):
-            text = own["text"]
-            if (key, len(text)) not in kept:
+            if key not in kept:
                 if len(kept) > 64:
                     kept.clear()
-                kept[key, len(text)] = text, weighed(own)
-            known, found = kept[key, len(text)]
-            # Another text of the same id and length is not kept.
-            return found if known == text else weighed(own)
+                shingles, times, _ = _bags([words_of(own["text"], True)])
+                kept[key] = shingles, times * idf[np.frombuffer(own["levels"], np.uint8)]
+            return kept[key]
 
         for batch in batches:
-            a, b, t, u = (batch.column(i).to_pylist() for i in range(4))
-            ok = [
-                similarity(bag(i, x), bag(j, y)) >= threshold
-                for i, j, x, y in zip(a, b, t, u, strict=True)
-            ]
+            ok = []
+            for at in range(0, batch.num_rows, 64):
+                some = batch.slice(at, 64)
+                a, b, t, u = (some.column(i).to_pylist() for i in range(4))
+                ok += [
+                    similarity(bag(i, x), bag(j, y)) >= threshold for i, j, x, y in zip(a, b, t, u, strict=True)
+                ]
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right")
+    both = fit.join(left, "a").join(right, "b").select("a", "b", "left", "right")
     return both.mapInArrow(check, "a long, b long")
 
 
@@ -354,21 +365,25 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame
     size = F.sum(F.aggregate("texts", F.lit(0).cast("long"), lambda s, t: s + F.octet_length(t)))
     rows, size = chunks.agg(F.sum(F.size("ids")), size).first()
     rows, parts = rows or 0, max(parallelism(spark), (size or 0) // _PART_BYTES)
-    signed = staged(signatures(chunks, document_counts(chunks, parts), rows), "signatures")
+    signed = staged(signatures(chunks, document_levels(chunks, parts), rows), "signatures")
     worded = signed.filter("n > 0 and id is not null")
     folded = worded.groupBy("a", "b").agg(
-        F.min("id").alias("first"), F.first("bands").alias("bands"), F.first("signature").alias("signature")
+        F.min("row").alias("row"), F.first("bands").alias("bands"), F.first("signature").alias("signature")
     )
     folded = staged(folded, "folded")
-    bands = folded.select(
-        F.col("first").alias("id"), "signature", F.posexplode("bands").alias("band", "value")
-    ).dropDuplicates(["id", "band", "value"])
+    bands = folded.select(F.col("row").alias("id"), "signature", F.posexplode("bands").alias("band", "value"))
     crowds = bands.groupBy("band", "value").agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("n"))
     shared = bands.join(crowds.filter("n > 1").select("band", "value", "head"), ["band", "value"])
     shared = staged(shared, "bands")
+    # Texts that share a band with another are read once more; the rest never moves.
+    members = shared.select("id").distinct()
+    number = F.shiftleft("chunk", _DOC_BITS) + F.col("pos")
+    texts = chunks.select("chunk", F.posexplode("texts").alias("pos", "text")).select(number.alias("id"), "text")
+    known = signed.select(F.col("row").alias("id"), "weight", "levels").join(members, "id", "left_semi")
+    texts = staged(known.join(texts, "id"), "texts")
     stars = shared.filter("id > head").select(F.col("head").alias("a"), F.col("id").alias("b"))
     tried = staged(stars.distinct(), "stars")
-    links = staged(verified(tried, worded, rows, threshold), "links")
+    links = staged(verified(tried, texts, rows, threshold), "links")
     linked = components(links)
     # First each text with the nearest of another class, which connects most of a varied crowd; then
     # all that are still apart.
@@ -376,19 +391,19 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame
         rest = _open_pairs(shared.drop("head"), linked, nearest=nearest)
         rest = staged(rest.join(tried, ["a", "b"], "left_anti"), "open")
         if not rest.isEmpty():
-            links = links.unionByName(staged(verified(rest, worded, rows, threshold), "links"))
+            links = links.unionByName(staged(verified(rest, texts, rows, threshold), "links"))
             tried = tried.unionByName(rest)
             linked = components(links)
-    # Ids that share words: from each to the first of its texts, then to the class of that one.
-    copies = worded.join(folded.select("a", "b", "first"), ["a", "b"]).select("id", "first").distinct()
-    classes = copies.join(linked, F.col("first") == linked["id"], "left").select(
-        copies["id"], F.coalesce("component", "first").alias("class_id")
-    )
+    # From each id to the row that stands for its words, to the class of that row, to its least id.
+    copies = worded.select("id", "a", "b").join(folded.select("a", "b", "row"), ["a", "b"])
+    copies = copies.join(linked.withColumnRenamed("id", "row"), "row", "left")
+    copies = copies.select("id", F.coalesce("component", "row").alias("component"), "a", "b")
+    least = copies.groupBy("component").agg(F.min("id").alias("class_id"))
+    classes = copies.join(least, "component").select("id", "class_id").distinct()
     several = worded.groupBy("id").agg(F.count_distinct("a", "b").alias("texts")).filter("texts > 1")
     if not several.isEmpty():
         tied = classes.select(F.col("id").alias("a"), F.col("class_id").alias("b"))
-        tied = components(staged(tied, "links")).withColumnRenamed("component", "class_id")
-        classes = tied
+        classes = components(staged(tied, "links")).withColumnRenamed("component", "class_id")
     placed = docs.select("doc_id").join(classes, F.col("doc_id") == F.col("id"), "left")
     own = F.coalesce("class_id", "doc_id")
     return placed.select("doc_id", own.alias("class_id"), F.coalesce(own == F.col("doc_id"), F.lit(True)).alias("kept"))
