@@ -124,15 +124,35 @@ def test_samples_agree_as_often_as_weights_overlap():
     assert abs((a == b).mean() - true) < 0.04
 
 
-def test_open_pairs_are_found_within_and_between_blocks(spark):
-    marks = np.zeros((5, 24), "<u2")
-    marks[1, :12], marks[2, :13], marks[3] = 1, 1, 7
-    rows = [(0, 9, i, bytes(marks[i].tobytes())) for i in range(5)]
-    buckets = spark.createDataFrame(rows, "band int, value long, id long, signature binary")
-    classes = spark.createDataFrame([(4, 0)], "id long, component long")
-    for block in (1024, 2, 1):
-        got = {(r.a, r.b) for r in weighted._open_pairs(buckets, classes, block).collect()}
-        assert got == {(0, 1), (1, 2), (1, 4)}
+def test_open_links_within_and_between_blocks(spark):
+    """Texts of one bucket in a chain, no two neighbours in a class: all blocks connect them, one link each."""
+    words = prose(70, 400).split()
+    rows = [(i, " ".join(words[6 * i : 6 * i + 150]), 150) for i in range(12)] + [(50, prose(71, 100), 100)]
+    texts = spark.createDataFrame(
+        [(i, t, n, bytearray(n - 4)) for i, t, n in rows], "id long, text string, n long, levels binary"
+    )
+    buckets = spark.createDataFrame([(0, 9, i) for i, _, _ in rows], "band int, value long, id long")
+    classes = spark.createDataFrame([(3, 2), (2, 2)], "id long, component long")
+    for block, block_words in ((1024, 400_000), (4, 400_000), (1, 400_000), (1024, 300)):
+        got = [(r.a, r.b) for r in weighted.open_links(buckets, classes, texts, 13, 0.8, block, block_words).collect()]
+        linked = {r.id: r.component for r in components(spark.createDataFrame([*got, (2, 3)], "a long, b long")).collect()}
+        assert linked == {i: 0 for i in range(12)} and all(abs(a - b) < 4 for a, b in got)
+        assert len(got) <= 13 * len(rows)
+
+
+def test_a_varied_crowd_writes_no_pairs(spark):
+    """600 texts of one origin, each changed at random: links are exact, and written rows stay few."""
+    rng, origin = np.random.default_rng(5), prose(72, 150).split()
+    rows = []
+    for i in range(600):
+        ws = list(origin)
+        for at in rng.choice(150, rng.integers(1, 9), replace=False):
+            ws[at] = f"w{rng.integers(10**9)}"
+        rows.append((i, " ".join(ws)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.class_id for r in weighted.near_duplicates(docs).collect()}
+    want = exact(rows)
+    assert sum(got[i] == want[i] for i in want) >= 0.99 * len(rows)
 
 
 def test_components(spark):

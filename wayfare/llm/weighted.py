@@ -11,10 +11,10 @@ depends on the weights alone, and two bags share it with the probability of thei
 similarity. Samples are joined to bands; texts that share a band are compared exactly, from whole
 texts, which only those texts are read again for.
 
-Equal texts are folded first. In a bucket every text is compared with the smallest id, which
-connects a crowd of copies with one comparison each; texts that are then in another class than the
-text whose samples agree most are compared with that one. Texts of a bucket that are still in
-different classes are compared with each other in blocks, so no link between them is lost.
+Equal texts are folded first. In a bucket every text is compared with the first one, which connects a
+crowd of copies with one comparison each. Texts of a bucket that are still in different classes
+are compared with each other in blocks, inside tasks that return connecting links alone, so no link between
+them is lost and no pairs are written.
 """
 
 from __future__ import annotations
@@ -40,7 +40,7 @@ SEED = 20_101
 LEVELS = 8
 # Bytes of text whose shingles one task counts.
 _PART_BYTES = 8 << 20
-_SLICE = 1_500_000
+_SLICE = 800_000
 _HASH_BITS = np.uint64(52)
 _DOC_BITS = 12
 _DOCS = 1 << _DOC_BITS
@@ -215,7 +215,7 @@ def samples(shingles, weights, owner, n: int, count: int) -> np.ndarray:
 
 
 def signatures(chunks: DataFrame, levels: DataFrame, rows: int) -> DataFrame:
-    """(row, id, a, b, n, weight, bands, signature, levels), a row for each of ``chunks``' texts.
+    """(row, id, a, b, n, weight, bands, levels), a row for each of ``chunks``' texts.
 
     row is a number of its own; a and b are a 128-bit hash of the words, n the words, weight the sum of
     weights; levels has one byte for each of the text's shingles, in ascending order of their hashes.
@@ -239,7 +239,6 @@ def signatures(chunks: DataFrame, levels: DataFrame, rows: int) -> DataFrame:
         digest = b"".join(xxhash.xxh3_128_digest(b" ".join(w)) for w in words)
         a, b = np.frombuffer(digest, ">i8").reshape(-1, 2).astype(np.int64).T
         offsets = pa.array(np.arange(len(ids) + 1, dtype=np.int32) * BANDS)
-        short = (drawn & np.uint64(0xFFFF)).astype("<u2")
         cuts = np.searchsorted(owner, np.arange(len(ids) + 1)).tolist()
         columns = {
             "row": pa.array((number << _DOC_BITS) + np.arange(len(ids))),
@@ -249,12 +248,11 @@ def signatures(chunks: DataFrame, levels: DataFrame, rows: int) -> DataFrame:
             "n": pa.array([len(w) for w in words], pa.int64()),
             "weight": pa.array(np.bincount(owner, weights, len(ids)).astype(float)),
             "bands": pa.ListArray.from_arrays(offsets, pa.array(bands.view(np.int64).ravel())),
-            "signature": pa.array([s.tobytes() for s in short], pa.binary()),
             "levels": pa.array([own[i:j].tobytes() for i, j in zip(cuts, cuts[1:])], pa.binary()),
         }
         return pa.table(columns)
 
-    schema = "row long, id long, a long, b long, n long, weight double, bands array<long>, signature binary, levels binary"
+    schema = "row long, id long, a long, b long, n long, weight double, bands array<long>, levels binary"
     return chunks.groupBy("chunk").cogroup(levels.groupBy("chunk")).applyInArrow(sign, schema)
 
 
@@ -306,46 +304,69 @@ def verified(pairs: DataFrame, texts: DataFrame, rows: int, threshold: float) ->
     return both.mapInArrow(check, "a long, b long")
 
 
-def _open_pairs(
-    buckets: DataFrame, classes: DataFrame, block: int = 1024, nearest: bool = False
+def _linked(bags: list, sets: np.ndarray, left: np.ndarray, right: np.ndarray, threshold: float):
+    """Pairs of places (i, j) that connect what is still apart: i of ``left`` and j of ``right`` are compared
+    unless links known or found so far connect them. ``sets`` holds the class of each place.
+
+    One bag is spread over the shingles of all, and held against all bags at once.
+    """
+    sizes = np.array([len(s) for s, _ in bags])
+    names, place = np.unique(np.concatenate([s for s, _ in bags]), return_inverse=True)
+    weight = np.concatenate([w for _, w in bags])
+    begin = np.cumsum(sizes) - sizes
+    total = np.add.reduceat(weight, begin)
+    sets = np.unique(sets, return_inverse=True)[1]
+    spread, found = np.zeros(len(names)), []
+    for i in left.tolist():
+        if (sets[right] == sets[i]).all():
+            continue
+        own = slice(begin[i], begin[i] + sizes[i])
+        spread[place[own]] = weight[own]
+        shared = np.add.reduceat(np.minimum(spread[place], weight), begin)
+        spread[place[own]] = 0
+        near = right[shared[right] >= threshold * (total[right] + total[i] - shared[right])]
+        for j in near.tolist():
+            if sets[j] != sets[i]:
+                found.append((i, j))
+                sets[sets == sets[j]] = sets[i]
+    return found
+
+
+def open_links(
+    buckets: DataFrame, classes: DataFrame, texts: DataFrame, rows: int, threshold: float,
+    block: int = 1024, block_words: int = 400_000,
 ) -> DataFrame:
-    """Pairs (a, b) of a bucket in different classes whose signatures agree in half their samples.
+    """(a, b): links between texts of a bucket (band, value, id) that ``classes`` leaves apart.
 
-    Two texts at the threshold agree in fewer samples with a chance of about one in a thousand.
-    ``nearest`` gives each text's pair of most agreement in each meeting only.
-    Large buckets are cut into blocks; every two blocks meet in one group of two blocks' rows.
+    Large buckets are cut into blocks of about so many texts and words; every two blocks meet in one group,
+    where all texts of different classes are compared exactly. A group returns the links that connect
+    its classes, at most one for each of its texts, and never its pairs.
     """
-    known = buckets.join(classes, "id", "left").withColumn("class", F.coalesce("component", "id"))
-    mixed_up = known.groupBy("band", "value").agg(
-        F.min("class").alias("lo"), F.max("class").alias("hi"), F.count(F.lit(1)).alias("n")
-    )
-    mixed_up = mixed_up.filter("lo < hi").withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
-    rows = known.join(mixed_up.select("band", "value", "blocks"), ["band", "value"])
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select(
-        "band", "value", "id", "class", "signature", "own",
-        F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"),
+    known = buckets.select("band", "value", "id").join(classes, "id", "left")
+    known = known.withColumn("class", F.coalesce("component", "id")).join(texts.select("id", "n"), "id")
+    crowds = known.groupBy("band", "value").agg(
+        F.min("class").alias("lo"), F.max("class").alias("hi"), F.count(F.lit(1)).alias("count"), F.sum("n").alias("words")
     )
+    blocks = F.ceil(F.greatest(F.col("count") / block, F.col("words") / block_words)).cast("int")
+    crowds = crowds.filter("lo < hi").select("band", "value", blocks.alias("blocks"))
+    met = known.join(crowds, ["band", "value"])
+    met = met.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = met.select("band", "value", "id", "class", "own", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
+    met = met.join(texts.select("id", "text", "levels"), "id")
 
     def meet(group: pa.Table) -> pa.Table:
-        ids, cls = group["id"].to_numpy(), group["class"].to_numpy()
-        marks = np.frombuffer(b"".join(group["signature"].to_pylist()), "<u2").reshape(len(ids), -1)
-        own, x, y = group["own"].to_numpy(), group["x"][0].as_py(), group["y"][0].as_py()
-        a, b = [], []
-        for i in np.flatnonzero(own == x):
-            later = (ids > ids[i]) | (x != y) | nearest
-            others = np.flatnonzero((own == y) & (cls != cls[i]) & later)
-            agree = (marks[others] == marks[i]).sum(1)
-            near = others[agree * 2 >= marks.shape[1]]
-            if nearest and len(near):
-                near = others[[int(agree.argmax())]]
-            a.append(np.minimum(ids[near], ids[i]))
-            b.append(np.maximum(ids[near], ids[i]))
-        none = np.zeros(0, np.int64)
-        return pa.table({"a": np.concatenate([none, *a]), "b": np.concatenate([none, *b])})
-
-    return rows.groupBy("band", "value", "x", "y").applyInArrow(meet, "a long, b long").distinct()
+        ids, sets, own = (group[c].to_numpy() for c in ("id", "class", "own"))
+        x, y = group["x"][0].as_py(), group["y"][0].as_py()
+        idf, bags = idf_of(np.arange(256), rows).astype(float), []
+        for text, levels in zip(group["text"], group["levels"], strict=True):
+            shingles, times, _ = _bags([words_of(text.as_py(), True)])
+            bags.append((shingles, times * idf[np.frombuffer(levels.as_py(), np.uint8)]))
+        found = _linked(bags, sets, np.flatnonzero(own == x), np.flatnonzero(own == y), threshold)
+        at = np.array(found, np.int64).reshape(-1, 2)
+        return pa.table({"a": ids[at[:, 0]], "b": ids[at[:, 1]]})
+
+    return met.groupBy("band", "value", "x", "y").applyInArrow(meet, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
@@ -367,11 +388,9 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame
     rows, parts = rows or 0, max(parallelism(spark), (size or 0) // _PART_BYTES)
     signed = staged(signatures(chunks, document_levels(chunks, parts), rows), "signatures")
     worded = signed.filter("n > 0 and id is not null")
-    folded = worded.groupBy("a", "b").agg(
-        F.min("row").alias("row"), F.first("bands").alias("bands"), F.first("signature").alias("signature")
-    )
+    folded = worded.groupBy("a", "b").agg(F.min("row").alias("row"), F.first("bands").alias("bands"))
     folded = staged(folded, "folded")
-    bands = folded.select(F.col("row").alias("id"), "signature", F.posexplode("bands").alias("band", "value"))
+    bands = folded.select(F.col("row").alias("id"), F.posexplode("bands").alias("band", "value"))
     crowds = bands.groupBy("band", "value").agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("n"))
     shared = bands.join(crowds.filter("n > 1").select("band", "value", "head"), ["band", "value"])
     shared = staged(shared, "bands")
@@ -379,21 +398,16 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame
     members = shared.select("id").distinct()
     number = F.shiftleft("chunk", _DOC_BITS) + F.col("pos")
     texts = chunks.select("chunk", F.posexplode("texts").alias("pos", "text")).select(number.alias("id"), "text")
-    known = signed.select(F.col("row").alias("id"), "weight", "levels").join(members, "id", "left_semi")
+    known = signed.select(F.col("row").alias("id"), "n", "weight", "levels").join(members, "id", "left_semi")
     texts = staged(known.join(texts, "id"), "texts")
     stars = shared.filter("id > head").select(F.col("head").alias("a"), F.col("id").alias("b"))
     tried = staged(stars.distinct(), "stars")
     links = staged(verified(tried, texts, rows, threshold), "links")
     linked = components(links)
-    # First each text with the nearest of another class, which connects most of a varied crowd; then
-    # all that are still apart.
-    for nearest in (True, False):
-        rest = _open_pairs(shared.drop("head"), linked, nearest=nearest)
-        rest = staged(rest.join(tried, ["a", "b"], "left_anti"), "open")
-        if not rest.isEmpty():
-            links = links.unionByName(staged(verified(rest, texts, rows, threshold), "links"))
-            tried = tried.unionByName(rest)
-            linked = components(links)
+    # Then all texts of a bucket that are still apart.
+    rest = staged(open_links(shared, linked, texts, rows, threshold), "open")
+    if not rest.isEmpty():
+        linked = components(links.unionByName(rest))
     # From each id to the row that stands for its words, to the class of that row, to its least id.
     copies = worded.select("id", "a", "b").join(folded.select("a", "b", "row"), ["a", "b"])
     copies = copies.join(linked.withColumnRenamed("id", "row"), "row", "left")
