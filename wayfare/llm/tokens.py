@@ -10,6 +10,7 @@ independently.
 from __future__ import annotations
 
 import os
+import re
 from array import array
 
 import numpy as np
@@ -27,9 +28,11 @@ from wayfare.llm.units import Recent, slices_of
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 END_ID = 2
 _SLICE = 6_000_000
-_CACHED = 400_000
+_CACHED = 600_000
 # Units in one text for the library.
 _JOINED = 512
+# One space, then what begins and ends with no blank.
+_PLAIN = re.compile(r" \S(?:.*\S)?\Z", re.S).match
 
 
 class Encoder:
@@ -75,7 +78,7 @@ class Encoder:
 
     def _new(self, some: list[str]) -> list[bytes]:
         out: list = [b""] * len(some)
-        plain = [len(u) > 1 and u[0] == " " and not u[1].isspace() and not u[-1].isspace() for u in some]
+        plain = [_PLAIN(u) is not None for u in some]
         for joined, encode in ((True, self._joined), (False, self._one_by_one)):
             own = [i for i, p in enumerate(plain) if p == joined]
             for a in range(0, len(own), 16_384):
