@@ -1,9 +1,9 @@
 """Line dedup: lines found in many documents lose all their copies.
 
-Lines become 128-bit keys. Keys are counted with map-side sums, the frequent ones are joined back
-to the (row, key) pairs, and each row gets the short list of its own frequent keys. Whole texts
-are shuffled once, for that last join. Every join is a plain equi-join that Spark can split where
-one key is hot.
+Lines become 128-bit keys. Keys are counted with map-side sums, those of enough rows are joined back
+to the (row, key) pairs, distinct documents are counted for them, and each row gets the short list of its
+own frequent keys. Whole texts are shuffled once, for that last join. Every join is a plain
+equi-join that Spark can split where one key is hot.
 """
 
 from __future__ import annotations
@@ -81,22 +81,27 @@ def drop_frequent_lines(
     """``docs`` with frequent lines removed from ``text``, and n_lines and n_dropped.
 
     A line's key is the line with blanks ([space, tab to carriage return]) stripped at both ends and
-    A-Z lower-cased. Keys of at least ``min_chars`` code points found in at least ``min_docs`` rows
-    lose all their lines. Every input row counts as a document and gives one row, so repeated
-    rows and null ids count and stay. A null or empty text is one empty line, which never has a key
+    A-Z lower-cased. Keys of at least ``min_chars`` code points found in at least ``min_docs``
+    documents lose all their lines. Rows of one id are one document, however many; rows of a null id
+    are one if their texts are equal. Every input row gives one row. A null or empty text is one empty line, which never has a key
     while ``min_chars`` is at least one; its kept text is ''. Other columns pass unchanged; columns
     already named n_lines or n_dropped are replaced. An empty table gives an empty table.
     """
     if min_chars < 1:
         raise ValueError("min_chars must be at least 1")
     keyed = docs.withColumn("__row", row_key(doc_id, text))
-    lines = keyed.select("__row", F.explode(_line_keys(min_chars)(F.col(text))).alias("k")).select(
-        "__row", "k.a", "k.b"
-    )
-    frequent = lines.groupBy("a", "b").count().filter(F.col("count") >= min_docs).select("a", "b")
+    document = F.when(F.col(doc_id).isNull(), F.xxhash64(F.lit("null"), F.col(text))).otherwise(F.xxhash64(F.col(doc_id)))
+    lines = keyed.select(
+        "__row", document.alias("__document"), F.explode(_line_keys(min_chars)(F.col(text))).alias("k")
+    ).select("__row", "__document", "k.a", "k.b")
+    # Keys of enough rows; documents are counted for these alone.
+    often = lines.groupBy("a", "b").count().filter(F.col("count") >= min_docs).select("a", "b")
     # Written first: a join splits a hot key only between two plain exchanges.
-    frequent = staged(frequent, "lines")
-    own = lines.join(frequent, ["a", "b"]).groupBy("__row").agg(
+    often = staged(often, "lines")
+    hits = staged(lines.join(often, ["a", "b"]), "lines")
+    documents = hits.select("a", "b", "__document").distinct().groupBy("a", "b").count()
+    frequent = staged(documents.filter(F.col("count") >= min_docs).select("a", "b"), "lines")
+    own = hits.join(frequent, ["a", "b"]).groupBy("__row").agg(
         F.collect_set(F.struct("a", "b")).alias("__hot")
     )
     joined = keyed.join(own, "__row", "left").withColumn(

@@ -3,15 +3,15 @@
 ORACLES = {
     "op1_line_dedup": r"""
 with l as (
-  select doc_id, t.i, t.line,
+  select doc_id, coalesce('id ' || doc_id, 'text ' || text) as document, t.i, t.line,
     translate(trim(t.line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
       'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key
   from (
-    select doc_id, unnest(list_zip(parts, range(len(parts)))) as z, z[1] as line, z[2] as i
-    from (select doc_id, string_split(coalesce(text, ''), chr(10)) as parts from documents)
+    select doc_id, text, unnest(list_zip(parts, range(len(parts)))) as z, z[1] as line, z[2] as i
+    from (select doc_id, text, string_split(coalesce(text, ''), chr(10)) as parts from documents)
   ) t
 ), f as (
-  select key from l where length(key) >= 1 group by key having count(distinct doc_id) >= 10
+  select key from l where length(key) >= 1 group by key having count(distinct document) >= 10
 )
 select doc_id, count(*) as n_lines, count(f.key) as n_dropped,
   sha256(coalesce(string_agg(line, chr(10) order by i) filter (f.key is null), '')) as kept_sha256
