@@ -1,6 +1,7 @@
 """The registered queries: SQL counterparts, and the pipeline against a brute-force version."""
 
 import hashlib
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -42,8 +43,6 @@ def test_tokens_and_bytes(spark, rows):
 
 
 def test_token_files(spark, rows):
-    import zlib
-
     from tokenizers import Tokenizer
 
     from wayfare.llm.tokens import VOCABULARY
@@ -62,6 +61,10 @@ def test_shards(spark, rows):
     sizes = Counter(r.shard for r in got)
     assert len(sizes) == 8 and max(sizes.values()) - min(sizes.values()) <= 1
     assert {(r.doc_id, r.size) for r in got} == {(i, len((t or "").encode()) + 1) for i, t in rows}
+    assert {(r.doc_id, r.text_crc32) for r in got} == {(i, zlib.crc32((t or "").encode())) for i, t in rows}
+    for shard in range(8):
+        assert sorted(r.slot for r in got if r.shard == shard) == list(range(sizes[shard]))
+    assert {r.grown_shard for r in got} == {None}
     assert {r.law for r in got} == {"rows"} and shards.blocks_of(17, 8, 4)[2].sum() == 17
 
 
