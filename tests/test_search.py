@@ -146,6 +146,31 @@ def test_dense_topk_equals_brute_force(spark, held):
     assert {tuple(r) for r in got} == _brute_topk(docs, queries, 5, allowed)
 
 
+def test_cells_without_a_hit_are_skipped(spark):
+    """Clustered documents: each of many queries visits few cells, and the hits are those of brute force."""
+    rng = np.random.default_rng(21)
+    centres = rng.normal(size=(40, 16))
+    docs = (np.repeat(centres, 50, axis=0) + rng.normal(scale=0.05, size=(2000, 16))).astype("float32")
+    queries = (centres[rng.integers(0, 40, 300)] + rng.normal(scale=0.05, size=(300, 16))).astype("float32")
+    d = spark.createDataFrame(
+        [(i, v.tolist(), None) for i, v in enumerate(docs)] + [(9000, None, "a"), (9001, [0.0] * 16, "a")],
+        "doc_id bigint, embedding array<float>, tag string",
+    )
+    q = spark.createDataFrame(
+        [(i, v.tolist(), None) for i, v in enumerate(queries)] + [(900, [0.0] * 16, None), (901, None, None)],
+        "query_id bigint, embedding array<float>, tags array<string>",
+    )
+    placed, first, visits = search.cells_to_visit(d, q, 5, 50, 100)
+    cells = placed.select("cell").distinct().count()
+    assert cells >= 30 and placed.count() == 2000 and 1200 <= first.count() <= 1500
+    # Without bounds there would be a visit for every query and every other cell.
+    assert visits.count() < 0.1 * 300 * (cells - 1)
+    got = search.dense_topk(d, q, 5, max_queries=50, doc_block=100).select("query_id", "doc_id", "rank").collect()
+    assert {tuple(r) for r in got} == _brute_topk(docs, queries, 5)
+    empty = search.dense_topk(d.limit(0), q, 5, max_queries=50)
+    assert empty.count() == 0 and search.dense_topk(d.filter("doc_id >= 9000"), q, 5, max_queries=50).count() == 0
+
+
 def test_dense_topk_with_string_ids_and_null_vectors(spark):
     d = spark.createDataFrame(
         [("b", [1.0, 0.0]), ("a", [2.0, 0.0]), ("c", None), ("z", [0.0, 0.0])],

@@ -14,11 +14,15 @@ from pyspark.sql import types as T
 
 from wayfare.operators.grouping import small, spread_join, top_k
 from wayfare.operators.tfidf import spread_by_id, term_counts, tfidf_weights, unpack_sparse
+from wayfare.session import cut
 
 DIGITS = 6
 # Query rows held by each task, and the block sizes of the shuffled form beyond that.
 MAX_QUERIES = 4096
 DOC_BLOCK = 8192
+# Cells of documents for a larger set, and the documents their pivots are chosen from.
+MAX_CELLS = 1024
+PIVOT_ROWS = 4096
 # Hits broadcast to the payload.
 MAX_HITS = 1_000_000
 # Query terms (rows) broadcast to the postings.
@@ -224,8 +228,8 @@ def dense_topk(
     """Exact cosine top-k of (doc_id, embedding[, tag]) for (query_id, embedding[, tags]).
 
     A checked small query set is held by every task, and documents are scored where they are
-    scanned: at most k rows per query leave a task. A larger set is cut into blocks; each block
-    of queries meets each block of documents in a task of its own.
+    scanned: at most k rows per query leave a task. A larger set goes to cells around pivots: a
+    query's hits in its own cell bound the rest, and it visits only cells that can hold better ones.
     """
     tagged = "tag" in docs.columns and "tags" in queries.columns
     d = docs.select(
@@ -242,7 +246,7 @@ def dense_topk(
     if small(q, max_queries):
         best = _scan_topk(d, q, k)
     else:
-        best = _grid_topk(d, q, k, max_queries, doc_block)
+        best = _cells_topk(d, q, k, max_queries, doc_block)
     return ranked(best, k)
 
 
@@ -327,25 +331,95 @@ def _scan_topk(docs: DataFrame, queries: DataFrame, k: int, step: int = 1024) ->
     return docs.mapInArrow(score, _hit_schema(docs, queries))
 
 
-def _grid_topk(
-    docs: DataFrame, queries: DataFrame, k: int, q_block: int, d_block: int
-) -> DataFrame:
-    """Blocks of queries against blocks of documents, one bounded pair per group."""
-    n_q = -(-queries.count() // q_block) * 2
-    n_d = -(-docs.count() // d_block) * 2
-    d = docs.withColumn("d_block", F.pmod(F.xxhash64("doc_id"), F.lit(n_d))).withColumn(
-        "q_block", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1)))
-    )
-    q = queries.withColumn("q_block", F.pmod(F.xxhash64("query_id"), F.lit(n_q)).cast("int"))
-    q = q.withColumn(
-        "d_block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_d - 1).cast("bigint")))
-    )
+def _unit_rows(matrix):
+    import numpy as np
+
+    size = np.linalg.norm(matrix, axis=1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return matrix / size[:, None]
+
+
+def _far_apart(units, count):
+    """Rows of ``units`` picked one by one, each farthest from those before it."""
+    import numpy as np
+
+    picked, near = [0], units @ units[0]
+    while len(picked) < count:
+        far = int(np.argmin(near))
+        if near[far] > 1 - 1e-9:
+            break
+        picked.append(far)
+        near = np.maximum(near, units @ units[far])
+    return units[picked]
+
+
+def _distances(cosines):
+    import numpy as np
+
+    return np.sqrt(np.maximum(0.0, 2.0 - 2.0 * cosines))
+
+
+def _in_cells(rows: DataFrame, pivots, ranges=None) -> DataFrame:
+    """``rows`` with cell and apart, the nearest pivot and the distance to it; zero vectors are dropped.
+
+    With ``ranges``, the (least, most) distance of each cell's documents, a row with a ``reach``
+    is given once for each other cell that could hold a document within it.
+    """
+    fields = [f for f in rows.schema if f.name not in ("reach", "cell", "apart")]
+    held = rows.sparkSession.sparkContext.broadcast((pivots, ranges))
+
+    def place(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        centers, known = held.value
+        gaps = _distances(centers @ centers.T)
+        for batch in batches:
+            batch = _with_vector(batch)
+            if not batch.num_rows:
+                continue
+            units = _unit_rows(_matrix(batch.column("embedding"), centers.shape[1]))
+            usable = np.isfinite(units).all(axis=1)
+            batch, units = batch.filter(pa.array(usable)), units[usable]
+            near = units @ centers.T
+            apart = _distances(near)
+            if known is None:
+                row, cell = np.arange(len(units)), np.argmax(near, axis=1)
+            else:
+                home = np.argmax(near, axis=1)
+                reach = batch.column("reach").to_numpy()[:, None] + 1e-9
+                beyond = near[np.arange(len(home)), home][:, None] - near
+                within = (beyond <= reach * gaps[home]) & (apart >= known[0] - reach) & (apart <= known[1] + reach)
+                within[np.arange(len(home)), batch.column("cell").to_numpy()] = False
+                row, cell = np.nonzero(within)
+            taken = batch.select([f.name for f in fields]).take(pa.array(row))
+            yield pa.RecordBatch.from_arrays(
+                [*taken.columns, pa.array(cell.astype("int32")), pa.array(apart[row, cell])],
+                names=[*taken.schema.names, "cell", "apart"],
+            )
+
+    more = [T.StructField("cell", T.IntegerType()), T.StructField("apart", T.DoubleType())]
+    return rows.mapInArrow(place, T.StructType([*fields, *more]))
+
+
+def _cell_hits(docs: DataFrame, queries: DataFrame, k: int, q_block: int, d_block: int) -> DataFrame:
+    """Best k of each query among the documents of each cell it is in, in groups of bounded size."""
+
+    def parts(rows: DataFrame, size: int, name: str) -> DataFrame:
+        return rows.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(size)).cast("int").alias(name))
+
+    # One row per pivot at most.
+    sizes = F.broadcast(parts(docs, d_block, "n_d").join(parts(queries, q_block, "n_q"), "cell"))
+
+    def spread(rows: DataFrame, key: str, own: str, n_own: str, other: str, n_other: str) -> DataFrame:
+        rows = rows.join(sizes, "cell")
+        rows = rows.withColumn(own, F.pmod(F.xxhash64(key), F.col(n_own)).cast("int"))
+        return rows.withColumn(other, F.explode(F.sequence(F.lit(0), F.col(n_other) - 1))).drop("n_d", "n_q", "apart")
 
     def score(left, right):
         import pyarrow as pa
 
         names = ["query_id", "doc_id", "score"]
-        left, right = _with_vector(left), _with_vector(right)
         if not left.num_rows or not right.num_rows:
             types = [right.schema.field("query_id").type, left.schema.field("doc_id").type]
             empty = [pa.array([], t) for t in (*types, pa.float64())]
@@ -356,11 +430,48 @@ def _grid_topk(
         found = _best_rows(q_ids, s, _ids(left.column("doc_id").combine_chunks()), k)
         return pa.Table.from_arrays([pa.array(a) for a in found], names=names)
 
-    return (
-        d.groupBy("q_block", "d_block")
-        .cogroup(q.groupBy("q_block", "d_block"))
-        .applyInArrow(score, _hit_schema(docs, queries))
-    )
+    key = ["cell", "d_block", "q_block"]
+    d = spread(docs, "doc_id", "d_block", "n_d", "q_block", "n_q")
+    q = spread(queries, "query_id", "q_block", "n_q", "d_block", "n_d")
+    return d.groupBy(*key).cogroup(q.groupBy(*key)).applyInArrow(score, _hit_schema(docs, queries))
+
+
+def cells_to_visit(
+    docs: DataFrame, queries: DataFrame, k: int, q_block: int, d_block: int
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(documents in cells, hits in each query's own cell, queries in all other cells they have to visit).
+
+    The k-th hit of a query in its own cell bounds how far any better one can be; by the triangle
+    inequality most cells hold none so near. A query with fewer hits there visits every cell.
+    """
+    import numpy as np
+
+    sample = docs.filter(F.col("embedding").isNotNull()).orderBy(F.xxhash64("doc_id"), "doc_id")
+    column = sample.limit(PIVOT_ROWS).select("embedding").toArrow().column("embedding").combine_chunks()
+    units = _unit_rows(_matrix(column, len(column[0]))) if len(column) else np.ones((1, 1))
+    units = units[np.isfinite(units).all(axis=1)]
+    count = max(1, min(MAX_CELLS, 4 * docs.count() // d_block))
+    pivots = _far_apart(units, count) if len(units) else np.ones((1, len(column[0]) if len(column) else 1))
+    placed = cut(_in_cells(docs, pivots))
+    # One row per pivot at most.
+    known = placed.groupBy("cell").agg(F.min("apart").alias("lo"), F.max("apart").alias("hi")).collect()
+    least, most = np.full(len(pivots), 9.0), np.full(len(pivots), -9.0)
+    for cell, lo, hi in known:
+        least[cell], most[cell] = lo, hi
+    own = cut(_in_cells(queries, pivots))
+    first = cut(ranked(_cell_hits(placed, own, k, q_block, d_block), k))
+    bound = first.filter(F.col("rank") == k).select("query_id", "score")
+    # Half a unit of the last digit, and equal scores with smaller ids, stay within reach.
+    reach = F.sqrt(F.greatest(2 - 2 * (F.col("score") - 10.0**-DIGITS), F.lit(0.0)))
+    asked = own.drop("apart").join(bound, "query_id", "left")
+    asked = asked.withColumn("reach", F.when(F.col("score").isNull(), 3.0).otherwise(reach)).drop("score")
+    return placed, first.drop("rank"), cut(_in_cells(asked, pivots, (least, most)))
+
+
+def _cells_topk(docs: DataFrame, queries: DataFrame, k: int, q_block: int, d_block: int) -> DataFrame:
+    """Queries visit the cells of documents that can hold a hit; documents move once, to their cell."""
+    placed, first, visits = cells_to_visit(docs, queries, k, q_block, d_block)
+    return first.unionByName(_cell_hits(placed, visits, k, q_block, d_block))
 
 
 def payload_for(
