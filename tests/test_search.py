@@ -160,7 +160,7 @@ def test_cells_without_a_hit_are_skipped(spark):
         [(i, v.tolist(), None) for i, v in enumerate(queries)] + [(900, [0.0] * 16, None), (901, None, None)],
         "query_id bigint, embedding array<float>, tags array<string>",
     )
-    placed, first, visits = search.cells_to_visit(d, q, 5, 50, 100)
+    placed, first, visits = search.cells_to_visit(d, q, search._pivots(d, 100), 5, 50, 100)
     cells = placed.select("cell").distinct().count()
     assert cells >= 30 and placed.count() == 2000 and 1200 <= first.count() <= 1500
     # Without bounds there would be a visit for every query and every other cell.

@@ -436,8 +436,23 @@ def _cell_hits(docs: DataFrame, queries: DataFrame, k: int, q_block: int, d_bloc
     return d.groupBy(*key).cogroup(q.groupBy(*key)).applyInArrow(score, _hit_schema(docs, queries))
 
 
+def _pivots(docs: DataFrame, d_block: int):
+    """Unit vectors of documents far apart, several for each block of documents; None without any."""
+    import numpy as np
+
+    sample = docs.filter(F.col("embedding").isNotNull()).orderBy(F.xxhash64("doc_id"), "doc_id")
+    column = sample.limit(PIVOT_ROWS).select("embedding").toArrow().column("embedding").combine_chunks()
+    if not len(column):
+        return None
+    units = _unit_rows(_matrix(column, len(column[0])))
+    units = units[np.isfinite(units).all(axis=1)]
+    count = max(1, min(MAX_CELLS, 4 * docs.count() // d_block))
+    # Rows without a direction only: any pivot will do, as no row is placed.
+    return _far_apart(units, count) if len(units) else np.eye(1, len(column[0]))
+
+
 def cells_to_visit(
-    docs: DataFrame, queries: DataFrame, k: int, q_block: int, d_block: int
+    docs: DataFrame, queries: DataFrame, pivots, k: int, q_block: int, d_block: int
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(documents in cells, hits in each query's own cell, queries in all other cells they have to visit).
 
@@ -446,12 +461,6 @@ def cells_to_visit(
     """
     import numpy as np
 
-    sample = docs.filter(F.col("embedding").isNotNull()).orderBy(F.xxhash64("doc_id"), "doc_id")
-    column = sample.limit(PIVOT_ROWS).select("embedding").toArrow().column("embedding").combine_chunks()
-    units = _unit_rows(_matrix(column, len(column[0]))) if len(column) else np.ones((1, 1))
-    units = units[np.isfinite(units).all(axis=1)]
-    count = max(1, min(MAX_CELLS, 4 * docs.count() // d_block))
-    pivots = _far_apart(units, count) if len(units) else np.ones((1, len(column[0]) if len(column) else 1))
     placed = cut(_in_cells(docs, pivots))
     # One row per pivot at most.
     known = placed.groupBy("cell").agg(F.min("apart").alias("lo"), F.max("apart").alias("hi")).collect()
@@ -470,7 +479,10 @@ def cells_to_visit(
 
 def _cells_topk(docs: DataFrame, queries: DataFrame, k: int, q_block: int, d_block: int) -> DataFrame:
     """Queries visit the cells of documents that can hold a hit; documents move once, to their cell."""
-    placed, first, visits = cells_to_visit(docs, queries, k, q_block, d_block)
+    pivots = _pivots(docs, d_block)
+    if pivots is None:
+        return docs.sparkSession.createDataFrame([], _hit_schema(docs, queries))
+    placed, first, visits = cells_to_visit(docs, queries, pivots, k, q_block, d_block)
     return first.unionByName(_cell_hits(placed, visits, k, q_block, d_block))
 
 
