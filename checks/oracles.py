@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from checks.inputs import ANSWERS_SQL, CAPTIONS_SQL, RECORDS_SQL, VENUES_SQL
+from wayfare.functions.places_hk import HONG_KONG
 
 WORD = r"[\p{L}\p{N}_]+"
 ROUND = 6
@@ -255,6 +256,7 @@ _ALIASES = [
     ("tion", "D9,D2", False),
     ("The", "D10", False),
 ]
+_HONG_KONG = [(a.text, ",".join(a.targets), a.whole_word) for a in HONG_KONG]
 _BRANDS = [
     ("red", "Brand#1,Brand#2,Brand#3", True),
     ("small", "Brand#4,Brand#5", True),
@@ -444,6 +446,9 @@ ORACLES = {
       from {_places('(select item_id as id, text from benchmark)', _ALIASES)}""",
     "alias_lookup_documents": f"""select id as doc_id, places
       from {_places('(select doc_id as id, text from documents)', _ALIASES)}""",
+    "alias_lookup_table": f"""with planted as materialized (select doc_id as id, text || ' ' ||
+        [{', '.join(f"'{name}'" for name, _, _ in _HONG_KONG)}][doc_id % {len(_HONG_KONG)} + 1] as text from documents)
+      select id as doc_id, places from {_places('planted', _HONG_KONG)}""",
     "venue_search": f"""with kept as materialized (
         select {_ID} as doc_id, name, district, {_TEXT} as text from (
           select *, row_number() over (partition by {_key('name')}, {_key('district')}

@@ -16,11 +16,13 @@ from wayfare.operators import (
     encode,
     extract,
     fusion,
+    gazetteer,
     neardup,
     search,
     similarity,
     tfidf,
 )
+from wayfare.functions.places_hk import HONG_KONG
 from wayfare.operators.gazetteer import Alias, places
 from wayfare.operators.grouping import top_k
 from wayfare.plans import answer, ingest, retrieve
@@ -201,13 +203,21 @@ def url_param_top10(spark, sf):
 
 @query
 def stage_counts(spark, sf):
-    venues = inputs.venues(spark, sf)
-    named, unnamed = curate.dedup_keep_last(venues)
-    kept, bad = curate.split_valid(inputs.records(spark, sf))
-    stages = {"read": venues, "deduplicated": named, "unnamed": unnamed, "valid": kept, "bad": bad}
-    return curate.stage_counts(stages).select(
-        big("step").alias("step"), "stage", big("rows").alias("n")
+    """Counts of all stages from one run of one plan."""
+    counter = curate.StageCounter()
+    part = inputs.venues(spark, sf)
+    fields = [F.expr(e).alias(n) for n, e in inputs.RECORD.items() if n != "ord"]
+    reasons = F.size(curate.violations())
+    # Record fields are counted as they pass; names differ from them in case alone.
+    rows = part.select("ord", F.col("name").alias("venue"), *fields)
+    rows = counter.mark(
+        rows, read=F.lit(True), unnamed=F.col("venue").isNull(), valid=reasons == 0, bad=reasons > 0
     )
+    named, _ = curate.dedup_keep_last(rows.select("ord", F.col("venue").alias("name")))
+    named = counter.mark(named, deduplicated=F.lit(True))
+    named.select("ord").write.format("noop").mode("overwrite").save()
+    order = F.array_position(F.array(*map(F.lit, ["read", "deduplicated", "unnamed", "valid", "bad"])), F.col("stage"))
+    return counter.table(spark).select((order - 1).alias("step"), "stage", big("rows").alias("n"))
 
 
 @query
@@ -620,6 +630,21 @@ def alias_lookup_documents(spark, sf):
     return docs.select("doc_id", F.array_join(places("text", ALIASES), ",").alias("places"))
 
 
+def planted(spark, sf) -> DataFrame:
+    """Documents with a name of the Hong Kong list at their end, each name in its turn."""
+    names = F.array(*[F.lit(a.text) for a in HONG_KONG])
+    name = F.element_at(names, (F.pmod(F.col("doc_id"), F.lit(len(HONG_KONG))) + 1).cast("int"))
+    return documents(spark, sf).withColumn("text", F.concat("text", F.lit(" "), name))
+
+
+@query
+def alias_lookup_table(spark, sf):
+    """All names of the Hong Kong list by the automaton, in documents that have one planted."""
+    table_of = gazetteer.alias_table(spark, HONG_KONG)
+    found = gazetteer.places_joined(planted(spark, sf), "doc_id", "text", table_of)
+    return found.select("doc_id", F.array_join("places", ",").alias("places"))
+
+
 @query
 def venue_search(spark, sf):
     """Names of parts asked as questions over the venue index, filtered by brands named."""

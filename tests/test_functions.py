@@ -164,6 +164,12 @@ def test_alias_tables_of_any_size_give_the_places_of_the_list(spark):
     want = {r["id"]: r["p"] for r in df.select("id", g.places("text", aliases).alias("p")).collect()}
     got = g.places_joined(df, "id", "text", g.alias_table(spark, aliases))
     assert {r["id"]: r["places"] for r in got.collect()} == want
+    # Two shards, keys that repeat or are null, and columns of the names used inside.
+    rows = [(1, "Mong Kok"), (1, "central"), (None, "旺角"), (None, "none"), (1, "Mong Kok")]
+    own = spark.createDataFrame(rows, "id bigint, text string").selectExpr("*", "'x' as ord", "'y' as alias", "1 as places")
+    got = g.with_places(own, "text", g.alias_table(spark, aliases), shard_chars=20)
+    want = own.select("id", "text", "ord", "alias", g.places("text", aliases).alias("places"))
+    assert sorted(map(str, got.select("id", "text", "ord", "alias", "places").collect())) == sorted(map(str, want.collect()))
     many = spark.range(50_000).select(
         F.col("id").alias("ord"), F.concat(F.lit("place"), "id").alias("alias"),
         F.array(F.col("id").cast("string")).alias("targets"), F.lit(True).alias("whole_word"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from wayfare.functions import parse, text
@@ -166,3 +166,23 @@ def stage_counts(stages: dict[str, DataFrame]) -> DataFrame:
     for more in counted[1:]:
         out = out.unionByName(more)
     return out
+
+
+class StageCounter:
+    """Row counts of stages, taken while one plan runs, without a pass of their own."""
+
+    def __init__(self) -> None:
+        self.observed: list[tuple[Observation, list[str]]] = []
+
+    def mark(self, df: DataFrame, **stages: Column) -> DataFrame:
+        """``df``, counting the rows for which each stage's condition holds as they pass here."""
+        seen = Observation()
+        self.observed.append((seen, list(stages)))
+        return df.observe(seen, *[F.count_if(c).alias(n) for n, c in stages.items()])
+
+    def table(self, spark: SparkSession) -> DataFrame:
+        """(step, stage, rows) in the order marked, once an action has run the marked plan to its end."""
+        rows = []
+        for seen, names in self.observed:
+            rows += [(len(rows) + i, n, seen.get[n]) for i, n in enumerate(names)]
+        return spark.createDataFrame(rows, "step int, stage string, rows bigint")

@@ -1,8 +1,8 @@
 """Places named in a text.
 
 A short, fixed alias list becomes one narrow projection: every alias is a literal test inside the
-scan, without a join or a shuffle. A gazetteer of any size is a table, which texts join on words and
-pairs of characters.
+scan, without a join or a shuffle. A gazetteer of any size is a table, whose shards become
+automata that read each text once where it lies.
 """
 
 from __future__ import annotations
@@ -62,36 +62,79 @@ def alias_table(spark: SparkSession, aliases: list[Alias]) -> DataFrame:
     return spark.createDataFrame(rows, "ord bigint, alias string, targets array<string>, whole_word boolean")
 
 
-def places_joined(df: DataFrame, key: str, text: str, aliases: DataFrame) -> DataFrame:
-    """(key, places): what ``places`` gives, from an alias table (ord, alias, targets, whole_word).
-
-    An alias is looked up by its first word if it begins with one and matches whole words, else by
-    its first two characters (one, if it has no more). Texts bring their distinct words and
-    character pairs to that join, and each candidate is tested on the text.
+def _shards(aliases: DataFrame, shard_chars: int) -> list[DataFrame]:
+    """The alias table in parts of about ``shard_chars`` characters each."""
+    chars = aliases.agg(F.sum(F.length("alias"))).first()[0] or 0
+    count = max(1, -(-chars // shard_chars))
+    part = F.pmod(F.xxhash64("ord", "alias"), F.lit(count))
+    return [aliases.filter(part == i) for i in range(count)]
+
+
+def _with_hits(df: DataFrame, aliases: list, shard: int) -> DataFrame:
+    """``df`` with the aliases of a shard that occur in a text added to the array ``_hits``."""
+    held = df.sparkSession.sparkContext.broadcast(aliases)
+
+    def scan(batches):
+        import ahocorasick
+        import pyarrow as pa
+
+        rows = held.value
+        plain, lowered = ahocorasick.Automaton(), ahocorasick.Automaton()
+        by_name: dict = {}
+        for i, (_, alias, _, whole) in enumerate(rows):
+            by_name.setdefault((whole, alias), []).append(i)
+        for (whole, alias), own in by_name.items():
+            (lowered if whole else plain).add_word(alias, own)
+        machines = []
+        for machine, column in ((plain, "_plain"), (lowered, "_lowered")):
+            if len(machine):
+                machine.make_automaton()
+                machines.append((machine, column))
+        for batch in batches:
+            found: list = [set() for _ in range(batch.num_rows)]
+            for machine, column in machines:
+                for hits, text in zip(found, batch.column(column), strict=True):
+                    for _, own in machine.iter(text.as_py()):
+                        hits.update(own)
+            at = batch.schema.get_field_index("_hits")
+            kind = batch.schema.field(at).type
+            before = batch.column(at).to_pylist() if shard else [[]] * batch.num_rows
+            made = [
+                old + [dict(zip(("ord", "alias", "targets", "whole"), rows[i])) for i in sorted(own)]
+                for old, own in zip(before, found, strict=True)
+            ]
+            yield batch.set_column(at, "_hits", pa.array(made, kind))
+
+    return df.mapInArrow(scan, df.schema)
+
+
+def with_places(df: DataFrame, text: str, aliases: DataFrame, shard_chars: int = 2_000_000) -> DataFrame:
+    """``df`` with places: what ``places`` gives, from an alias table (ord, alias, targets, whole_word).
+
+    Each text is read once by an Aho-Corasick automaton that knows all aliases of a shard; a table
+    of up to ``shard_chars`` characters is one shard, held by each task. Every row is looked up for itself,
+    so keys may repeat or be null; a null or empty text has no places. Empty aliases are left out.
+    Word borders of what was found are tested as ``places`` tests them.
     """
-    first = F.regexp_extract("alias", r"(?U)^(\w+)", 1)
-    by_word = F.col("whole_word") & (first != "")
-    known = aliases.filter(F.length("alias") > 0).withColumn(
-        "look",
-        F.when(by_word, F.concat(F.lit("w"), first)).otherwise(F.concat(F.lit("c"), F.left("alias", F.lit(2)))),
-    )
-    lowered = F.lower(F.coalesce(F.col(text), F.lit("")))
+    none = F.array().cast("array<struct<ord:bigint,alias:string,targets:array<string>,whole:boolean>>")
     plain = F.coalesce(F.col(text), F.lit(""))
+    rows = df.withColumns({"_plain": plain, "_lowered": F.lower(plain), "_hits": none})
+    known = aliases.filter(F.length("alias") > 0).select(
+        F.col("ord").cast("bigint").alias("ord"), "alias", "targets", F.col("whole_word").alias("whole")
+    )
+    for i, shard in enumerate(_shards(known, shard_chars)):
+        rows = _with_hits(rows, [tuple(r) for r in shard.collect()], i)
 
-    def pairs(c: Column) -> Column:
-        return F.concat(
-            F.regexp_extract_all(c, F.lit(r"(?s)(?=(..))"), F.lit(1)), F.regexp_extract_all(c, F.lit("(?s)."), F.lit(0))
-        )
-
-    words = F.transform(F.regexp_extract_all(lowered, F.lit(r"(?U)\w+"), F.lit(0)), lambda w: F.concat(F.lit("w"), w))
-    grams = F.transform(F.concat(pairs(plain), pairs(lowered)), lambda g: F.concat(F.lit("c"), g))
-    looks = df.select(key, F.explode(F.array_distinct(F.concat(words, grams))).alias("look"))
-    found = looks.join(known, "look").select(key, "ord", "alias", "targets", "whole_word").distinct()
-    quoted = F.regexp_replace("alias", r"([^\w\s])", r"\\$1")
-    border = F.regexp_like(lowered, F.concat(F.lit(r"(?U)\b"), quoted, F.lit(r"\b")))
-    hit = F.when(F.col("whole_word"), F.contains(lowered, F.col("alias")) & border).otherwise(F.contains(plain, F.col("alias")))
-    hits = found.join(df.select(key, text), key).filter(hit)
-    named = hits.groupBy(key).agg(F.array_sort(F.collect_set(F.struct("ord", "targets"))).alias("s"))
-    named = named.select(key, F.array_distinct(F.flatten("s.targets")).alias("places"))
-    none = F.array().cast("array<string>")
-    return df.select(key).join(named, key, "left").select(key, F.coalesce("places", none).alias("places"))
+    def stands(x: Column) -> Column:
+        quoted = F.regexp_replace(x["alias"], r"([^\w\s])", r"\\$1")
+        pattern = F.concat(F.lit(r"(?U)\b"), quoted, F.lit(r"\b"))
+        return ~x["whole"] | F.regexp_like(F.col("_lowered"), pattern)
+
+    kept = F.array_sort(F.filter("_hits", stands))
+    found = F.array_distinct(F.flatten(F.transform(kept, lambda x: x["targets"])))
+    return rows.withColumn("places", found).select(*[c for c in df.columns if c != "places"], "places")
+
+
+def places_joined(df: DataFrame, key: str, text: str, aliases: DataFrame, **options) -> DataFrame:
+    """(key, places) of every row of ``df``, see ``with_places``."""
+    return with_places(df.select(key, text), text, aliases, **options).select(key, "places")
