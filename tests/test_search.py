@@ -49,7 +49,7 @@ def test_sparse_search_and_single_list_fusion(spark, model):
 
 
 def test_large_query_sets_are_joined_by_term(spark, monkeypatch):
-    """The same hits when no query is held by the tasks and frequent terms are split."""
+    """The same hits when queries are held block by block, and when frequent terms are joined in parts."""
     rng = random.Random(3)
     words = [f"w{i}" for i in range(30)]
     rows = [
@@ -65,9 +65,12 @@ def test_large_query_sets_are_joined_by_term(spark, monkeypatch):
     )
     q = search.query_weights(asked, terms)
     held = sorted(map(tuple, search.sparse_topk(vectors, q, 4).collect()))
+    monkeypatch.setattr(search, "MAX_QUERY_TERMS", 20)
+    assert sorted(map(tuple, search.sparse_topk(vectors, q, 4).collect())) == held
     monkeypatch.setattr(search, "MAX_QUERY_TERMS", 0)
     monkeypatch.setattr(search, "HOT_POSTINGS", 10)
-    assert sorted(map(tuple, search.sparse_topk(vectors, q, 4).collect())) == held
+    weights = tfidf.unpack_sparse(vectors, ("tag",))
+    assert sorted(map(tuple, search.ranked(search.sparse_scores(weights, q), 4).collect())) == held
     assert len(held) == 80
 
 
@@ -85,7 +88,7 @@ def test_held_and_joined_queries_agree_on_tags_and_halves(spark, monkeypatch):
         "query_id bigint, tags array<string>, term_id bigint, weight double",
     )
     held = sorted(map(tuple, search.sparse_topk(vectors, q, 2).collect()))
-    monkeypatch.setattr(search, "MAX_QUERY_TERMS", 0)
+    monkeypatch.setattr(search, "MAX_QUERY_TERMS", 10)
     assert sorted(map(tuple, search.sparse_topk(vectors, q, 2).collect())) == held
     found = {(r[0], r[1]): r[2] for r in held}
     assert {d for n, d in found if n in range(10, 15)} == {1, 5} and {d for n, d in found if n in range(15, 20)} == {3, 4}

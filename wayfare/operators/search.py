@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wayfare.operators.grouping import small, spread_join, top_k
-from wayfare.operators.tfidf import spread_by_id, term_counts, tfidf_weights, unpack_sparse
+from wayfare.operators.tfidf import term_counts, tfidf_weights
 from wayfare.session import cut
 
 DIGITS = 6
@@ -25,7 +25,7 @@ MAX_CELLS = 1024
 PIVOT_ROWS = 4096
 # Hits broadcast to the payload.
 MAX_HITS = 1_000_000
-# Query terms (rows) broadcast to the postings.
+# Query weights held by each task at a time.
 MAX_QUERY_TERMS = 1_000_000
 # Postings of one term handled by one task in the join by term.
 HOT_POSTINGS = 1_000_000
@@ -58,15 +58,17 @@ def query_weights(
 def sparse_topk(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """Top k of (doc_id, [tag,] sparse) by dot product with (query_id, [tags,] term_id, weight).
 
-    A document that shares no term with a query is no hit. A checked small query set is held by
-    every task and documents are scored where they lie: no join rows, no shuffle of documents,
-    at most k rows per query leave a task. A larger set is joined by term instead.
+    A document that shares no term with a query is no hit. Queries are held by every task in blocks of
+    about ``MAX_QUERY_TERMS`` weights, and documents are scored where they lie, once for each block:
+    no join rows, no shuffle of documents, at most k rows per query leave a task.
     """
-    if small(queries, MAX_QUERY_TERMS):
-        return ranked(_scan_sparse(vectors, queries, k), k)
-    carry = ("tag",) if "tag" in vectors.columns else ()
-    weights = unpack_sparse(spread_by_id(vectors), carry)
-    return ranked(sparse_scores(weights, queries), k)
+    blocks = max(1, -(-queries.count() // MAX_QUERY_TERMS))
+    found = None
+    for block in range(blocks):
+        some = queries if blocks == 1 else queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block)
+        part = _scan_sparse(vectors, some, k)
+        found = part if found is None else found.unionByName(part)
+    return ranked(found, k)
 
 
 def _query_blocks(table, tagged: bool, size: int = 256):
@@ -149,9 +151,9 @@ def sparse_scores(weights: DataFrame, queries: DataFrame) -> DataFrame:
     if small(q, MAX_QUERY_TERMS):
         hits = weights.join(F.broadcast(q), "term_id")
     else:
-        # One row per vocabulary term; terms with long posting lists are split over tasks.
+        # Terms with long posting lists are split over tasks.
         postings = weights.groupBy("term_id").agg(F.count(F.lit(1)).alias("_n"))
-        q = q.join(F.broadcast(postings), "term_id")
+        q = q.join(postings, "term_id")
         hits = spread_join(weights, q, "term_id", "doc_id", "_n", HOT_POSTINGS)
     if "tags" in q.columns and "tag" in weights.columns:
         hits = hits.filter(tag_condition(F.col("tags"), F.col("tag")))
