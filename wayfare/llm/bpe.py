@@ -34,9 +34,9 @@ LONG = 48
 # Tokens on each side of a seam that are encoded again.
 _WINDOW = 6
 _SLICE = 2_000_000
-_CACHED = 120_000
+_CACHED = 200_000
 # Bytes of words in one query, and ids decoded by one: they bound the memory of both.
-_QUERY_BYTES = 120_000
+_QUERY_BYTES = 250_000
 _QUERY_IDS = 200_000
 
 # One round contracts one pair of each word. A round's rows are lists of tokens; the shortest is the last.
@@ -141,15 +141,15 @@ class Coder:
             for name in tables:
                 self.con.unregister(name)
 
-    def _run(self, sql: str, data: list[bytes]) -> list[np.ndarray]:
-        """Ids of each byte string by one of the recursive queries."""
+    def _run(self, sql: str, data: list[bytes]) -> list[bytes]:
+        """Ids of each byte string by one of the recursive queries, as little-endian int32."""
         out, at = [], 0
         while at < len(data):
             end, size = at + 1, len(data[at])
             while end < len(data) and size + len(data[end]) <= _QUERY_BYTES:
                 size += len(data[end])
                 end += 1
-            lengths = np.array([len(d) for d in data[at:end]])
+            lengths = np.fromiter(map(len, data[at:end]), np.int64, end - at)
             joined = np.frombuffer(b"".join(data[at:end]), np.uint8)
             offset = np.arange(len(joined)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
             symbols = pa.table(
@@ -161,43 +161,43 @@ class Coder:
             )
             got = self._query(sql, symbols=symbols)
             lists = got["ids"].combine_chunks()
-            flat = lists.flatten().to_numpy().astype("<i4")
-            ends = np.cumsum(lists.value_lengths().to_numpy())
-            some: list = [None] * (end - at)
-            for word, a, b in zip(got["word"].to_pylist(), [0, *ends.tolist()], ends.tolist(), strict=False):
+            flat = lists.flatten().to_numpy().astype("<i4").tobytes()
+            ends = (np.cumsum(lists.value_lengths().to_numpy()) * 4).tolist()
+            some = [b""] * (end - at)
+            for word, a, b in zip(got["word"].to_pylist(), [0, *ends[:-1]], ends, strict=True):
                 some[word] = flat[a:b]
             out += some
             at = end
         return out
 
-    def _short(self, data: list[bytes]) -> list[np.ndarray]:
+    def _short(self, data: list[bytes]) -> list[bytes]:
         """Ids of byte strings by the plain query, each distinct one once."""
-        known = {d: np.array([self.ranks[d]], "<i4") if d in self.ranks else None for d in data}
-        new = [d for d, ids in known.items() if ids is None]
+        ranks = self.ranks
+        known = {d: ranks[d].to_bytes(4, "little") if d in ranks else b"" for d in data}
+        new = [d for d, ids in known.items() if not ids]
         known.update(zip(new, self._run(_SINGLE, new), strict=True))
         return [known[d] for d in data]
 
-    def _long(self, words: list[bytes]) -> list[np.ndarray]:
+    def _long(self, words: list[bytes]) -> list[bytes]:
         """Ids of long words: stretches encoded one by one, then mended where they meet."""
         cut = [[w[i : i + LONG] for i in range(0, len(w), LONG)] for w in words]
         coded = iter(self._short([piece for own in cut for piece in own]))
-        parts = [[next(coded) for _ in own] for own in cut]
+        parts, width = [[next(coded) for _ in own] for own in cut], 4 * _WINDOW
         while any(len(own) > 1 for own in parts):
             # Every other seam at a time, so that no stretch is changed from both sides at once.
             seams = [(w, i) for w, own in enumerate(parts) for i in range(0, len(own) - 1, 2)]
-            windows = [(parts[w][i][-_WINDOW:], parts[w][i + 1][:_WINDOW]) for w, i in seams]
-            texts = [self._bytes(np.concatenate(x)) for x in windows]
-            mended = dict(zip(seams, zip(windows, self._short(texts), strict=True), strict=True))
+            windows = [(parts[w][i][-width:], parts[w][i + 1][:width]) for w, i in seams]
+            mended = self._short([self._bytes(left + right) for left, right in windows])
             whole = {}
-            for (w, i), ((left, right), new) in mended.items():
+            for (w, i), (left, right), new in zip(seams, windows, mended, strict=True):
                 a, b = parts[w][i], parts[w][i + 1]
                 # A window that reaches the end of the word needs no token there to hold on to.
-                held_left = new[0] == left[0] if len(a) > len(left) else i == 0
-                held_right = new[-1] == right[-1] if len(b) > len(right) else i + 2 == len(parts[w])
+                held_left = new[:4] == left[:4] if len(a) > len(left) else i == 0
+                held_right = new[-4:] == right[-4:] if len(b) > len(right) else i + 2 == len(parts[w])
                 if held_left and held_right:
-                    whole[w, i] = np.concatenate([a[: -len(left)], new, b[len(right) :]])
+                    whole[w, i] = a[: len(a) - len(left)] + new + b[len(right) :]
             rest = [s for s in seams if s not in whole]
-            joined = [self._bytes(np.concatenate([parts[w][i], parts[w][i + 1]])) for w, i in rest]
+            joined = [self._bytes(parts[w][i] + parts[w][i + 1]) for w, i in rest]
             # All occurrences of a pair at once: stretches that do not mend are mostly repetitive.
             whole.update(zip(rest, self._run(_MANY, joined), strict=True))
             for w, own in enumerate(parts):
@@ -205,17 +205,19 @@ class Coder:
                     parts[w] = [whole.get((w, i), own[i]) for i in range(0, len(own), 2)]
         return [own[0] for own in parts]
 
-    def _bytes(self, ids: np.ndarray) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, ids.tolist()))
+    def _bytes(self, ids: bytes) -> bytes:
+        return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<i4").tolist()))
 
     def _contract(self, words: list[str]) -> list[bytes]:
         """Ids of words as little-endian int32; a word that is a token needs no merging."""
         data = [word.encode("utf-8") for word in words]
         long = [d for d in data if len(d) > LONG and d not in self.ranks]
+        if not long:
+            return self._short(data)
         made = dict(zip(long, self._long(long), strict=True))
         short = [d for d in data if d not in made]
         made.update(zip(short, self._short(short), strict=True))
-        return [made[d].tobytes() for d in data]
+        return [made[d] for d in data]
 
     def encode(self, texts: pa.Array) -> pa.Array:
         """Ids of each text."""
