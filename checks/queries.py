@@ -797,6 +797,8 @@ def _stream(spark, sf, name: str) -> DataFrame:
 @query
 def stream_history(spark, sf):
     """Running history as a keyed state; equals the batch history."""
+    # The stream ends with its input: no batches for timers alone.
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
     root = f"{shared_folder(spark)}/stream-{uuid.uuid4()}"
     (
         history_stream(_stream(spark, sf, "conversations"), block=4)

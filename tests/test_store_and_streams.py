@@ -246,28 +246,51 @@ def test_stream_equals_batch(spark, tmp_path):
     )
 
 
+def _run_history(spark, folder, checkpoint, seen, schema, **options):
+    """Run the stream over what is new in ``folder``; the rows of state that are left, by operator."""
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
+    stream = stream_history(spark.readStream.schema(schema).parquet(folder), **options)
+    query = (
+        stream.writeStream.foreachBatch(lambda df, _: seen.extend(df.collect()))
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+    return [o["numRowsTotal"] for o in query.lastProgress["stateOperators"]]
+
+
 def test_history_stream_equals_batch(spark, tmp_path):
     turns = spark.read.parquet(f"{SF}/conversations.parquet").select("conv_id", "turn", "role", "text")
     folder = str(tmp_path / "turns")
+    # Of an earlier block than the turns that came last: late is judged by conversation.
     late = turns.filter("turn = 0").limit(1).withColumn("text", F.lit("too late"))
-    query = None
     seen = []
-    for n, part in enumerate((turns.filter("turn <= 1"), turns.filter("turn > 1").unionByName(late))):
+    for part in (turns.filter("turn <= 1"), turns.filter("turn > 1").unionByName(late)):
         part.coalesce(1).write.mode("append").parquet(folder)
-        stream = stream_history(spark.readStream.schema(turns.schema).parquet(folder), block=3)
-        query = (
-            stream.writeStream.foreachBatch(lambda df, _: seen.extend(df.collect()))
-            .option("checkpointLocation", str(tmp_path / "checkpoint"))
-            .trigger(availableNow=True)
-            .start()
-        )
-        query.awaitTermination()
+        _run_history(spark, folder, str(tmp_path / "checkpoint"), seen, turns.schema, block=3)
     streamed = {(r["conv_id"], r["turn"]): r["messages"] for r in seen if not r["late"]}
     batch = {(r["conv_id"], r["turn"]): r["messages"] for r in context.history(turns, 3).collect()}
     assert streamed == batch
     assert [r["text"] for r in seen if r["late"]] == ["too late"]
 
 
+def test_history_state_shrinks(spark, tmp_path):
+    folder, schema = str(tmp_path / "turns"), "conv_id bigint, turn bigint, role string, text string"
+    batches = [
+        [(c, t, "user", f"{c}.{t}") for c in range(20) for t in range(5)],  # a full block of four and an open one
+        [(99, 0, "user", "x"), (None, 0, "user", "x"), (1, None, "user", "x")],
+    ]
+    seen, left = [], []
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(folder)
+        stream = spark.createDataFrame([], schema).schema
+        left.append(_run_history(spark, folder, str(tmp_path / "checkpoint"), seen, stream, block=4, idle_ms=1))
+    # Full blocks keep nothing; by the second batch all twenty conversations are idle and dropped.
+    assert [sorted(n) for n in left] == [[20, 20], [1, 1]]
+    assert len(seen) == 101 and not any(r["late"] for r in seen)
+
+
 def test_csv_files_with_different_headers(spark, tmp_path):
     (tmp_path / "a.csv").write_text("name,district,cuisine\nx,east,old\n", encoding="utf-8")
     rows = "\n".join(f"{c},n{c},west" for c in range(3000))
