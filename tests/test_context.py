@@ -111,3 +111,22 @@ def test_model_plug_point(frame):
     df = frame([("ab",), ("abcd",)], "text string")
     got = encode.model_vectors(df, make, batch=1).collect()
     assert {r["text"]: r["embedding"] for r in got} == {"ab": [2.0, 1.0], "abcd": [4.0, 1.0]}
+
+
+def test_a_request_joins_the_logarithm_of_its_history(frame):
+    rows = [(1, t, "user", f"t{t}") for t in range(1000) if t not in range(100, 140)] + [(2, 0, "user", "only")]
+    turns = frame(rows, "conv_id bigint, turn bigint, role string, text string")
+    for block in (1, 64):
+        own = context.history(turns, block)
+        nodes = context.tree_nodes(own)
+        per_block = {(r["conv_id"], r["block"]): r["count"] for r in nodes.groupBy("conv_id", "block").count().collect()}
+        assert all(n == b.bit_count() <= 10 for (_, b), n in per_block.items())
+        # Each block stands at most once in every level of the stored tree.
+        tree = context.history_tree(context.history_blocks(turns, block), nodes)
+        held = tree.groupBy("level").agg(F.sum(F.size("messages")).alias("n")).collect()
+        assert all(r["n"] <= len(rows) for r in held)
+        asked = context.whole_history(turns, F.col("turn").isin(0, 63, 64, 99, 140, 777, 999), block).collect()
+        for r in asked:
+            want = [x[3] for x in rows if x[0] == r["conv_id"] and x[1] <= r["turn"]]
+            assert [m["text"] for m in r["messages"]] == want
+        assert len(asked) == 8

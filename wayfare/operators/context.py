@@ -107,19 +107,49 @@ def latest_blocks(fragments: DataFrame) -> DataFrame:
     return seen.groupBy("conv_id", "block").agg(F.max_by("messages", "turn").alias("messages"))
 
 
+def tree_nodes(blocks: DataFrame) -> DataFrame:
+    """(conv_id, block, level, node): the nodes that hold exactly the blocks before ``block``.
+
+    Node n of level l stands for blocks n * 2^l to (n + 1) * 2^l - 1. One node for each binary digit 1
+    of the block's number, so the logarithm of the length of a history.
+    """
+    digits = F.filter(F.sequence(F.lit(0), F.lit(62)), lambda i: F.getbit(F.col("block"), i) == 1)
+    at = blocks.select("conv_id", "block").distinct().select("conv_id", "block", F.explode(digits).alias("level"))
+    return at.withColumn("node", F.expr("shiftright(block, level)") - 1)
+
+
+def history_tree(blocks: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(conv_id, level, node, messages): each of ``nodes`` that holds any block, once.
+
+    Blocks learn first, without their messages, in which asked nodes they stand: in at most one of each
+    level, and no level beyond the highest one asked for in their conversation.
+    """
+    asked = nodes.select("conv_id", "level", "node").distinct()
+    top = asked.groupBy("conv_id").agg(F.max("level").alias("top"))
+    levels = F.explode(F.sequence(F.lit(0), F.col("top"))).alias("level")
+    places = blocks.select("conv_id", F.col("block").alias("b")).join(top, "conv_id").select("conv_id", "b", levels)
+    places = places.withColumn("node", F.expr("shiftright(b, level)"))
+    places = places.join(asked, ["conv_id", "level", "node"])
+    texts = blocks.select("conv_id", F.col("block").alias("b"), "messages")
+    parts = F.array_sort(F.collect_list(F.struct("b", "messages")))
+    held = places.join(texts, ["conv_id", "b"]).groupBy("conv_id", "level", "node").agg(parts.alias("parts"))
+    whole = F.flatten(F.transform("parts", lambda p: p["messages"])).alias("messages")
+    return held.select("conv_id", "level", "node", whole)
+
+
 def with_earlier(fragments: DataFrame, blocks: DataFrame) -> DataFrame:
     """``fragments`` with ``messages`` from the first turn of the conversation on.
 
-    The blocks before a block are joined once for all its turns.
+    The blocks before a block are joined once for all its turns, as nodes of a binary tree of blocks: as
+    many rows as the logarithm of their number.
     """
-    wanted = fragments.select("conv_id", "block").distinct()
-    earlier = blocks.select("conv_id", F.col("block").alias("b"), F.col("messages").alias("m"))
+    nodes = tree_nodes(fragments)
+    parts = F.array_sort(F.collect_list(F.struct(F.expr("shiftleft(node, level)").alias("b"), "messages")))
     before = (
-        wanted.join(earlier, "conv_id")
-        .filter("b < block")
+        nodes.join(history_tree(blocks, nodes), ["conv_id", "level", "node"])
         .groupBy("conv_id", "block")
-        .agg(F.array_sort(F.collect_list(F.struct("b", "m"))).alias("parts"))
-        .select("conv_id", "block", F.flatten(F.transform("parts", lambda p: p["m"])).alias("before"))
+        .agg(parts.alias("parts"))
+        .select("conv_id", "block", F.flatten(F.transform("parts", lambda p: p["messages"])).alias("before"))
     )
     joined = fragments.join(before, ["conv_id", "block"], "left")
     none = F.array().cast(fragments.schema["messages"].dataType)
