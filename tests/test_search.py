@@ -106,6 +106,25 @@ def test_vocabulary_size_is_bounded(model, monkeypatch):
     assert [(r["term"], r["cf"]) for r in top] == [("red", 3)]
 
 
+def test_vocabulary_is_cut_by_histograms(spark):
+    rng = np.random.default_rng(3)
+    sizes = np.concatenate([rng.integers(1, 6, 300), rng.integers(1, 10**7, 50), [10**12, 10**12]])
+    names = [f"w{x}" for x in rng.permutation(len(sizes))]
+    rows = [(d, names[i], int(n)) for i, n in enumerate(sizes) for d in (1, 2)]
+    counts = spark.createDataFrame(rows, "doc_id bigint, term string, tf bigint")
+    totals = {t: 2 * n for _, t, n in rows}
+    for wanted in (1, 2, 3, 40, 52, 100, 200, 351, 352, 10**9):
+        best = sorted(totals, key=lambda t: (-totals[t], t))[:wanted]
+        got = tfidf.fit_vocabulary(counts, 2, max_features=wanted)
+        assert {r["term"]: r["term_id"] for r in got.collect()} == {t: i for i, t in enumerate(sorted(best))}
+    # Few bins take several rounds and end at the same value.
+    held = tfidf.term_totals(counts, 2)
+    for rank in (1, 2, 3, 60, 200):
+        assert tfidf.count_at_rank(held, "cf", rank, bins=3) == tfidf.count_at_rank(held, "cf", rank)
+    assert tfidf.count_at_rank(held, "cf", 352) == (None, 0)
+    assert tfidf.fit_vocabulary(counts.limit(0), 0).count() == 0
+
+
 def _random_vectors(n, width, seed, copies=0):
     rng = np.random.default_rng(seed)
     v = rng.normal(size=(n, width)).astype("float32")

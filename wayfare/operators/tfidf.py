@@ -122,22 +122,44 @@ def fit_vocabulary(
     """The ``max_features`` most frequent terms seen in ``min_df`` documents, ids by alphabet.
 
     Equal counts are ordered by term. The fit runs once, here: the result is checkpointed and no
-    later step repeats the pass over the corpus. Vocabularies of any size are ranked; those over
-    ``SMALL_VOCABULARY`` by range partitions.
+    later step repeats the pass over the corpus. The least count that is kept comes from histograms;
+    only terms tied at it are sorted to choose among them, and ids come from range partitions, so
+    vocabularies of any size take the same way.
     """
     if max_features < 1:
         raise ValueError("max_features must be at least 1")
-    kept = term_totals(counts, n_docs).filter(F.col("df") >= min_df)
-    frequent = [F.col("cf").desc(), F.col("term")]
-    if max_features <= SMALL_VOCABULARY:
-        kept = kept.orderBy(*frequent).limit(max_features)
-        ranked = kept.withColumn("term_id", F.row_number().over(Window.orderBy("term")) - 1)
-    else:
-        kept = numbered(kept, frequent, "_rank").filter(F.col("_rank") < max_features)
-        ranked = numbered(kept.drop("_rank"), [F.col("term")], "term_id")
+    kept = cut(term_totals(counts, n_docs).filter(F.col("df") >= min_df))
+    least, above = count_at_rank(kept, "cf", max_features)
+    if least is not None:
+        tied = numbered(kept.filter(F.col("cf") == least), [F.col("term")], "_rank")
+        tied = tied.filter(F.col("_rank") < max_features - above).drop("_rank")
+        kept = kept.filter(F.col("cf") > least).unionByName(tied)
+    ranked = numbered(kept, [F.col("term")], "term_id")
     return cut(ranked.select(*[F.col(f.name).cast(f.dataType) for f in VOCABULARY]))
 
 
+def count_at_rank(df: DataFrame, count: str, rank: int, bins: int = 4096) -> tuple[int | None, int]:
+    """(v, n): the ``rank``-th largest value of a column of whole numbers, and how many are larger.
+
+    (None, 0) if there are at most ``rank`` rows. Each round counts rows in equal bins of the values still in
+    question, after map-side sums, and goes on inside one bin; the driver sees at most ``bins`` + 1 rows.
+    """
+    low, high, n = df.agg(F.min(count), F.max(count), F.count(F.lit(1))).first()
+    if n <= rank:
+        return None, 0
+    above = 0
+    while low < high:
+        width = -(-(high - low + 1) // bins)
+        inside = df.filter(F.col(count).between(low, high))
+        at = F.expr(f"({count} - {low}L) div {width}L").alias("bin")
+        for row in sorted(inside.groupBy(at).count().collect(), reverse=True):
+            if above + row["count"] >= rank:
+                low, high = low + row["bin"] * width, min(high, low + (row["bin"] + 1) * width - 1)
+                break
+            above += row["count"]
+    return low, above
+
+
 def numbered(df: DataFrame, order: list[Column], out: str) -> DataFrame:
     """``out``: the place of each row in the order, from 0, without a single task for all rows.
 
