@@ -394,6 +394,8 @@ ORACLES = {
       embedding::double[])), 6) as length from embeddings""",
     "dedup_keep_last": f"""select ord, name, district from (select *, row_number() over (
       partition by {_key('name')} order by ord desc) as r from {VENUES_SQL} v) where r = 1""",
+    "csv_venues": f"""select * exclude (ord, r) replace (nullif(unique_tips, '') as unique_tips) from (select *, row_number() over (
+      partition by {_key('name')} order by ord desc) as r from {VENUES_SQL} v) where r = 1""",
     "dedup_name_district": f"""select ord, name, district from (select *, row_number() over (
       partition by {_key('name')}, {_key('district')} order by ord desc) as r from {VENUES_SQL} v)
       where r = 1""",

@@ -27,7 +27,8 @@ from wayfare.operators.gazetteer import Alias, places
 from wayfare.operators.grouping import top_k
 from wayfare.plans import answer, ingest, retrieve
 from wayfare.session import shared_folder
-from wayfare.sources import store
+from wayfare.schema import VENUE_HEADERS
+from wayfare.sources import files, store
 from wayfare.streaming.history import stream_history as history_stream
 from wayfare.streaming.ingest import stream_points as points_stream
 
@@ -130,6 +131,25 @@ def payload_projection(spark: SparkSession, sf: str) -> DataFrame:
     return curate.venue_payload(curate.venue_columns(inputs.venues(spark, sf)))
 
 
+@query
+def csv_venues(spark, sf):
+    """Venues written as CSV files of two layouts and read back by their headers; the last of a name stays.
+
+    An empty cell is null, as in every CSV table.
+    """
+    root = f"{shared_folder(spark)}/csv-{uuid.uuid4()}"
+    rows = inputs.venues(spark, sf).selectExpr("ord", *[f"`{n}` as `{h}`" for h, n in VENUE_HEADERS.items()])
+    middle = (rows.agg(F.max("ord")).first()[0] or 0) // 2
+    plain = dict(header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    layouts = {"a": list(VENUE_HEADERS), "b": [*reversed(VENUE_HEADERS), "備註"]}
+    for folder, columns in layouts.items():
+        some = rows.filter(F.col("ord") <= middle if folder == "a" else F.col("ord") > middle)
+        some = some.withColumn("備註", F.lit("not\tread")).repartitionByRange("ord").sortWithinPartitions("ord")
+        some.select(*[F.col(f"`{c}`") for c in columns]).write.options(**plain).csv(f"{root}/{folder}")
+    kept, _ = curate.dedup_keep_last(files.read_venues(spark, f"{root}/*"), ("name",))
+    return kept.select(*VENUE_HEADERS.values())
+
+
 @query
 def record_payload(spark, sf):
     return curate.record_payload(inputs.records(spark, sf), "ord").select(

@@ -304,6 +304,27 @@ def test_csv_files_with_different_headers(spark, tmp_path):
     assert (first["name"], first["district"], first["cuisine"]) == ("x", "east", "old")
 
 
+def test_csv_headers_take_the_first_bytes(spark, tmp_path):
+    import gzip
+
+    folder = tmp_path / "with blanks"
+    folder.mkdir()
+    long = ",".join(f"c{i}" for i in range(20_000))
+    (folder / "a.csv").write_text('\ufeff"na\nme","dis,trict"\n"x","east"\n', encoding="utf-8")
+    (folder / "b.csv").write_bytes(b"")
+    (folder / "c.csv").write_text("district", encoding="utf-8")
+    with gzip.open(folder / "d.csv.gz", "wt", encoding="utf-8") as f:
+        f.write("區,name\nwest,y\n")
+    heads = files._csv_files(spark, str(folder))
+    assert list(heads) == [("na\nme", "dis,trict"), ("district",), ("區", "name")] or () in heads
+    got = files.read_table(spark, str(folder / "d.csv.gz"))
+    assert [tuple(r) for r in got.collect()] == [("west", "y")]
+    (tmp_path / "long.csv").write_text(f"{long}\n", encoding="utf-8")
+    assert [len(h) for h in files._csv_files(spark, str(tmp_path / "long.csv"))] == [20_000]
+    one = files.read_table(spark, str(folder / "a.csv"), multi_line=True)
+    assert one.columns == ["na\nme", "dis,trict"] and tuple(one.first()) == ("x", "east")
+
+
 def test_stream_keeps_rejects_and_keys_of_the_batch(spark, tmp_path):
     names = [("a", "east"), ("a", "west"), (None, "north")]
     from wayfare.schema import VENUE

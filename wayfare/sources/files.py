@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import csv
+import io
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,26 +23,42 @@ from wayfare.schema import (
 TABULAR = ("csv", "json", "parquet", "orc")
 # Fixed value: caption file endings.
 CAPTION_FILES = "*.{vtt,srt}"
+HEAD_BYTES = 64 * 1024
+
+
+def _head(spark: SparkSession, path) -> list[str]:
+    """The first record of a CSV file, read from its first bytes alone, packed or not."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    size = HEAD_BYTES
+    while True:
+        stream = path.getFileSystem(conf).open(path)
+        try:
+            codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf).getCodec(path)
+            plain = codec.createInputStream(stream) if codec is not None else stream
+            bounded = jvm.org.apache.commons.io.input.BoundedInputStream(plain, size)
+            head = bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(bounded))
+        finally:
+            stream.close()
+        # The reader takes lines as long as a quoted cell is open, so cells may hold line breaks.
+        lines = csv.reader(io.StringIO(head.decode("utf-8-sig", "ignore"), newline=""))
+        columns = next(lines, [])
+        if len(head) < size or next(lines, None) is not None:
+            return columns
+        size *= 16
 
 
 def _csv_files(spark: SparkSession, path: str) -> dict[tuple[str, ...], list[str]]:
-    """Files of a CSV folder by their header; the driver holds names of files and of columns."""
-    head = (
-        spark.read.text(path)
-        .select(
-            F.col("_metadata.file_path").alias("file"),
-            F.col("_metadata.file_block_start").alias("start"),
-            F.monotonically_increasing_id().alias("row"),
-            "value",
-        )
-        .filter("start = 0")
-        .groupBy("file")
-        .agg(F.min_by("value", "row").alias("head"))
-    )
+    """Files of a CSV folder by their header, in order; the driver holds names of files and of columns.
+
+    Of each file only the first bytes are read, of many at a time. Files without bytes are left out.
+    """
+    listed = spark.read.text(path).inputFiles()
+    paths = [spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(f)) for f in sorted(listed)]
+    with ThreadPoolExecutor(32) as pool:
+        heads = list(pool.map(lambda p: _head(spark, p), paths))
     files: dict[tuple[str, ...], list[str]] = {}
-    for row in sorted(head.collect()):
-        columns = next(csv.reader([row["head"].lstrip("\ufeff")]), [])
-        files.setdefault(tuple(columns), []).append(row["file"])
+    for file, columns in zip(paths, heads, strict=True):
+        files.setdefault(tuple(columns), []).append(file.toString())
     return files
 
 
