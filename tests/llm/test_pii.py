@@ -6,7 +6,7 @@ import pytest
 
 from wayfare.llm import pii
 
-from .conftest import messy
+from .conftest import messy, prose
 
 PLAIN = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
@@ -66,6 +66,49 @@ def test_base_spans_equal_the_plain_patterns_and_stay(spark, rows):
     assert added > 0
 
 
+def card(rng):
+    body = [4] + [rng.randrange(10) for _ in range(14)]
+    total = sum(d * 2 - 9 * (d * 2 > 9) if i % 2 == 0 else d for i, d in enumerate(body))
+    return "".join(map(str, [*body, -total % 10]))
+
+
+def test_trees_add_loose_forms_and_leave_look_alikes(spark):
+    rng = random.Random(11)
+    digits = lambda n: "".join(rng.choice("123456789") for _ in range(n))
+    name = lambda: rng.choice(["mia", "j.roe", "li_wei", "info"]) + digits(2)
+    octets = lambda: [str(rng.randrange(1, 256)) for _ in range(4)]
+    split = lambda c, sep: sep.join(c[i : i + 4] for i in range(0, 16, 4))
+    strict = [
+        lambda: f"{name()}@mail{digits(1)}.example.org", lambda: ".".join(octets()), lambda: split(card(rng), " "),
+        lambda: f"+1 ({digits(3)}) {digits(3)}-{digits(4)}",
+    ]
+    loose = [
+        lambda: f"{name()} (at) host{digits(1)}.example.net", lambda: f"{name()}[at]host(dot)org", lambda: f"{name()} @ web.example.com",
+        lambda: "[.]".join(octets()), lambda: " . ".join(octets()), lambda: split(card(rng), "."), lambda: split(card(rng), "/"),
+        lambda: f"({digits(3)}) {digits(3)}-{digits(4)}", lambda: f"{digits(3)}.{digits(3)}.{digits(4)}",
+    ]
+    alike = [
+        lambda: f"{digits(1)} @ {digits(2)}.50", lambda: f"1{digits(1)}. 4{digits(1)}. 3{digits(2)}. 7", lambda: "1987/2004/2019",
+        lambda: f"{digits(2)}.{digits(3)}.{digits(3)}", lambda: "1999-2003-2010", lambda: f"00{digits(2)}_{digits(3)}_{digits(4)}",
+    ]
+    rows, planted = [], {}
+    for i in range(1200):
+        made = strict[i % 4] if i < 800 else loose[i % 9] if i < 1000 else alike[i % 6]
+        before, body = prose(5000 + i, 12), made()
+        rows.append((i, f"{before} {body} {prose(9000 + i, 12)}"))
+        planted[i] = (len(before) + 1, len(before) + 1 + len(body))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    added = {}
+    for r in pii.personal_data(docs).collect():
+        base = {tuple(s) for s in r.base}
+        added[r.doc_id] = {(s.start, s.end) for s in r.spans if tuple(s) not in base}
+    right = sum(planted[i] in added[i] for i in range(800, 1000))
+    total = sum(len(x) for x in added.values())
+    missed = Counter(i % 9 for i in range(800, 1000) if planted[i] not in added[i])
+    assert right >= 180 and right >= 0.95 * total, (right, total, missed)
+    assert sum(len(added[i]) for i in range(1000, 1200)) <= 4
+
+
 def test_long_texts_are_linear(spark):
     texts = ["a" * 300_000, "1" * 300_000, "1." * 100_000, "+1" * 100_000, "1 " * 150_000, "a@" * 100_000, "x@y." * 50_000]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
@@ -84,5 +127,7 @@ def test_plan_has_no_python(spark, rows):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     plan = pii.personal_data(docs)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+    plan = pii.planted(pii.candidates(docs), docs)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
     plan = pii.candidates(docs)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan

@@ -1,14 +1,15 @@
 """Personal data by candidates and boosted trees, in DataFrame functions only.
 
 Four strict patterns give the base spans, which always stay. Loose patterns propose further spans,
-which may overlap: addresses with a written-out sign, numbers with other separators, newer address forms.
-Boosted trees score every candidate by its format and its context; a threshold per kind,
-calibrated on candidates that the trees did not see, selects what is added. The trees are
+which may overlap: addresses with written-out signs, numbers with other separators, newer address forms.
+Boosted trees score every loose candidate by its format and its context; a threshold per kind,
+calibrated on plants that the trees did not see, selects what is added. The trees are
 translated to CASE expressions, so scoring is part of Spark's generated code.
 
-There are no labelled spans, so the trees learn from weak labels: a candidate is positive if what it
-says, stripped of its separators, passes the check of its kind (a base match, a card with a right
-check digit, octets in range, a plausible digit count) and its neighbours do not run on.
+There are no labelled spans, so labels are planted: base spans are written in loose forms, in their own
+context or in that of any text, and beside them stand look-alikes (prices behind an at sign, versions,
+years, amounts, order numbers, digits without a check digit). The generators run over these plants; a
+candidate is positive if it is exactly a planted loose form, whatever its features say.
 """
 
 from __future__ import annotations
@@ -37,11 +38,15 @@ BASE = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 # The loose generators; every repeat is bounded or possessive.
+_AT = r"(?:\s?(?:@|[\[({<]at[\])}>])\s?|\sat\s)"
+_DOT = r"(?:\.|\s?[\[({<](?:dot|\.)[\])}>]\s?|\sdot\s)"
+_PART = r"(?:\s?\.\s?|\s?[\[({<](?:dot|\.)[\])}>]\s?)"
 LOOSE = {
-    "email": rf"(?<![{_LOCAL}])[{_LOCAL}]{{1,64}}+[ ]?(?:@|\[at\]|\(at\))[ ]?[{_LABEL}]++(?:[ ]?(?:\.|\[dot\]|\(dot\))[ ]?[{_LABEL}]++){{1,6}}+",
-    "ip": r"(?<![0-9.])[0-9]{1,3}(?:[ ]?\.[ ]?[0-9]{1,3}){3}(?![0-9.])|(?<![0-9A-Fa-f:])[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){7}(?![0-9A-Fa-f:])",
-    "card": r"(?<![0-9])[0-9]{4}(?:[ ./_-]{1,2}[0-9]{3,6}){2,4}(?![0-9])",
-    "phone": r"(?<![0-9+])(?:00[ -]?[1-9][0-9]{0,2}[ -])?(?:\([0-9]{2,4}\)|[0-9]{2,4})[ .-][0-9]{3,4}[ .-][0-9]{3,4}(?![0-9])",
+    "email": rf"(?<![{_LOCAL}])[{_LOCAL}]{{1,64}}+{_AT}[{_LABEL}]++(?:{_DOT}[{_LABEL}]++){{1,6}}+",
+    "ip": rf"(?<![0-9.])[0-9]{{1,3}}(?:{_PART}[0-9]{{1,3}}){{3}}(?![0-9]|\.[0-9])"
+    r"|(?<![0-9A-Fa-f:])[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){7}(?![0-9A-Fa-f:])",
+    "card": r"(?<![0-9])[0-9]{4}(?:[\s./_-]{1,2}[0-9]{3,6}){2,4}(?![0-9])",
+    "phone": r"(?<![0-9+])(?:00[ -]?[1-9][0-9]{0,2}[ -])?(?:\([0-9]{2,4}\)|[0-9]{2,4})[ ./-][0-9]{3,4}[ ./-][0-9]{3,4}(?![0-9])",
 }
 # Quick tests that a text must pass before a pattern is tried on it.
 _MAY = {
@@ -49,10 +54,10 @@ _MAY = {
     ("ip", True): lambda t: t.rlike(r"[0-9]\.[0-9]"),
     ("card", True): lambda t: t.rlike(r"[0-9](?:[\x20-]?[0-9]){12}"),
     ("phone", True): lambda t: t.contains("+"),
-    ("email", False): lambda t: t.contains("@") | t.contains("[at]") | t.contains("(at)"),
-    ("ip", False): lambda t: t.rlike(r"[0-9] ?\. ?[0-9]|[0-9A-Fa-f]:[0-9A-Fa-f]"),
-    ("card", False): lambda t: t.rlike(r"[0-9]{4}[ ./_-]{1,2}[0-9]{3}"),
-    ("phone", False): lambda t: t.rlike(r"[0-9)][ .-][0-9]{3,4}[ .-][0-9]{3}"),
+    ("email", False): lambda t: t.contains("@") | t.rlike(r"[\[({<]at[\])}>]|\sdot\s"),
+    ("ip", False): lambda t: t.rlike(rf"[0-9]{_PART}[0-9]|[0-9A-Fa-f]:[0-9A-Fa-f]"),
+    ("card", False): lambda t: t.rlike(r"[0-9]{4}[\s./_-]{1,2}[0-9]{3}"),
+    ("phone", False): lambda t: t.rlike(r"[0-9)][ ./-][0-9]{3,4}[ ./-][0-9]{3}"),
 }
 # Words that tell of a kind when they stand near.
 _HINTS = {
@@ -151,6 +156,7 @@ def _features(rows: DataFrame) -> tuple[DataFrame, list[str]]:
         "f_dots": F.regexp_count(m, F.lit(r"\.")),
         "f_luhn": F.when(n.between(13, 19), _luhn(digits)).otherwise(F.lit(False)),
         "f_octets": F.when(F.col("kind") == 1, _octets(m)).otherwise(F.lit(False)),
+        "f_brackets": F.regexp_count(m, F.lit(r"[\[({<]")),
         "f_at": m.contains("@"),
         "f_plus": m.startswith("+"),
         "f_top": F.char_length(F.regexp_extract(m, r"([A-Za-z]+)$", 1)),
@@ -184,18 +190,129 @@ def _trees(model, names: list[str]) -> str:
     return f"1 / (1 + exp(-2 * ({' + '.join(terms)})))"
 
 
-def fit(found: DataFrame, sample_rows: int = 20_000, rounds: int = 12, precision: float = 0.95):
-    """(SQL expression of the score, threshold per kind), or None without both weak labels.
+def _number(m: Column, i: int, digits: int) -> Column:
+    """A number of so many digits that a span decides, without meaning."""
+    drawn = F.conv(F.substring(F.md5(F.concat(m, F.lit(f"/{i}"))), 1, 12), 16, 10)
+    return F.right(F.concat(F.lit("0" * digits), drawn), F.lit(digits))
 
-    At most ``sample_rows`` candidates are fitted on, those of least hash. Two thirds of them train the trees;
-    on the rest the least threshold is sought per kind from which at least ``precision`` of the
-    candidates are positive; a kind without such a threshold adds nothing.
+
+def _forms(m: Column) -> Column:
+    """array<struct<form, good>> of a base span: loose forms of it, and look-alikes of its kind."""
+    user, host = F.regexp_extract(m, "^(.*)@", 1), F.regexp_extract(m, "@(.*)$", 1)
+    # Hosts of other shapes: the last two parts, without digits.
+    short = F.regexp_replace(F.regexp_extract(host, r"([^.]+\.[^.]+)$", 1), "[0-9]", "")
+    digits = _digits(m)
+    n = F.char_length(digits)
+    dotted = lambda dot: F.array_join(F.split(m, r"\."), dot)
+    by_four = lambda sep: F.regexp_replace(digits, "([0-9]{4})(?=[0-9]{3})", "$1" + sep)
+    line = F.right(digits, F.lit(10))
+    area = F.substring(line, F.lit(1), F.char_length(line) - 7)
+    mid, last = F.substring(F.right(digits, F.lit(7)), 1, 3), F.right(digits, F.lit(4))
+    abroad = F.when(n.between(11, 13), F.concat(F.lit("00"), F.substring(digits, F.lit(1), n - 10), F.lit(" ")))
+    hexes = F.array_join(F.regexp_extract_all(F.md5(m), F.lit("[0-9a-f]{4}"), F.lit(0)), ":")
+    word = F.regexp_extract(host, "^([A-Za-z]+)", 1)
+    a, b, c, d = (_number(m, i, 4) for i in range(4))
+    small = lambda i, least, among: (_number(m, i, 6).cast("long") % among + least).cast("string")
+    year = lambda i: small(i, 1950, 90)
+    good = {
+        "email": [
+            F.concat(user, F.lit(" [at] "), host),
+            F.concat(user, F.lit("(at)"), F.array_join(F.split(host, r"\."), "(dot)")),
+            F.concat(user, F.lit(" @ "), host),
+            F.concat(user, F.lit(" at "), F.array_join(F.split(host, r"\."), " dot ")),
+            F.concat(user, F.lit("[at]"), F.array_join(F.split(short, r"\."), "(dot)")),
+            F.concat(user, F.lit(" @ "), short),
+        ],
+        "ip": [dotted(" . "), dotted("[.]"), dotted(" (dot) "), hexes],
+        "card": [by_four("."), by_four("/"), by_four("\n"), by_four("--")],
+        "phone": [
+            F.concat(F.coalesce(abroad, F.lit("")), area, F.lit(" "), mid, F.lit(" "), last),
+            F.concat(F.lit("("), area, F.lit(") "), mid, F.lit("-"), last),
+            F.concat_ws(".", area, mid, last),
+            F.concat_ws("-", area, mid, last),
+        ],
+    }
+    bad = {
+        "email": [
+            F.concat(small(1, 1, 40), F.lit(" @ "), small(2, 1, 90), F.lit("."), small(3, 10, 90)),
+            F.concat(word, F.lit(" at "), F.reverse(word), F.lit(" dot "), F.reverse(user)),
+            F.concat(user, F.lit(" @ "), small(1, 1, 20), F.lit("."), small(2, 0, 60)),
+        ],
+        "ip": [
+            F.concat_ws(". ", small(1, 1, 12), small(2, 0, 40), small(3, 256, 700), small(4, 0, 9)),
+            F.concat_ws(" . ", small(1, 300, 600), small(2, 0, 999), small(3, 0, 999), small(4, 0, 999)),
+            F.concat_ws(":", *[_number(m, i, 2) for i in range(8)]),
+        ],
+        "card": [
+            F.concat_ws(".", a, b, c, d),
+            F.concat_ws("/", year(1), year(2), year(3)),
+            F.concat_ws("_", a, _number(m, 5, 3), _number(m, 6, 4)),
+            F.concat_ws("--", a, b, c, d),
+        ],
+        "phone": [
+            F.concat_ws(" ", small(1, 10, 900), _number(m, 2, 3), _number(m, 3, 3)),
+            F.concat_ws("-", year(1), year(2), year(3)),
+            F.concat_ws(".", small(1, 10, 900), _number(m, 2, 3), _number(m, 3, 3)),
+            F.concat_ws("-", year(1), F.lpad(small(2, 101, 1100), 4, "0"), d),
+        ],
+    }
+    made = lambda kind: F.array(
+        *[F.struct(f.alias("form"), F.lit(ok).alias("good")) for ok, fs in ((True, good), (False, bad)) for f in fs[kind]]
+    )
+    forms = made(KINDS[-1])
+    for i, kind in enumerate(KINDS[:-1]):
+        forms = F.when(F.col("kind") == i, made(kind)).otherwise(forms)
+    return forms
+
+
+def planted(found: DataFrame, docs: DataFrame, spans: int = 1000) -> DataFrame:
+    """(doc_id, text, pk, at, to, good, o): one short text for each loose form and each look-alike.
+
+    At most ``spans`` base spans of each kind and as many pieces of texts are used, those of least hash. Of the
+    loose forms two thirds keep the context of their span and the rest get a piece of any text; of the
+    look-alikes it is one third and the rest. ``o`` is equal for all plants of a span.
+    """
+    order = F.xxhash64("d", "th", "kind", "start")
+    base = found.filter("strict and ok").select("kind", "m", "before", "after", order.alias("o"))
+    base = base.withColumn("r", F.row_number().over(Window.partitionBy("kind").orderBy("o", "m"))).filter(f"r <= {spans}")
+    size = F.char_length("text") - 2 * CONTEXT
+    h = F.xxhash64("doc_id", "text")
+    piece = F.substr("text", (F.pmod(h, size) + 1).cast("int"), F.lit(2 * CONTEXT))
+    pieces = docs.filter(size > 0).select(h.alias("h"), piece.alias("piece")).orderBy("h", "piece").limit(spans)
+    # At most ``spans`` pieces are numbered.
+    pieces = pieces.withColumn("at", F.row_number().over(Window.orderBy("h", "piece")).cast("long")).drop("h")
+    rows = base.select("*", F.posexplode(_forms(F.col("m"))).alias("v", "f"))
+    own = F.pmod(F.col("r") + F.col("v"), F.lit(3))
+    rows = rows.withColumn("own", F.when(F.col("f.good"), own > 0).otherwise(own == 0))
+    rows = rows.withColumn("at", F.when(~F.col("own"), (F.col("r") * 7 + F.col("v")) % spans + 1).cast("long"))
+    rows = rows.join(F.broadcast(pieces), "at", "left")
+    left = F.concat(F.left(F.coalesce("piece", F.lit("")), F.lit(CONTEXT)), F.lit(" "))
+    right = F.concat(F.lit(" "), F.right(F.coalesce("piece", F.lit("")), F.lit(CONTEXT)))
+    left, right = F.when(F.col("own"), F.col("before")).otherwise(left), F.when(F.col("own"), F.col("after")).otherwise(right)
+    at = F.char_length(left)
+    return rows.select(
+        F.xxhash64("o", "kind", "m", "v").alias("doc_id"),
+        F.concat(left, "f.form", right).alias("text"),
+        F.col("kind").alias("pk"),
+        at.alias("at"),
+        (at + F.char_length("f.form")).alias("to"),
+        F.col("f.good").alias("good"),
+        "o",
+    )
+
+
+def fit(plants: DataFrame, sample_rows: int = 20_000, rounds: int = 12, precision: float = 0.95):
+    """(SQL expression of the score, threshold per kind), or None without both labels.
+
+    At most ``sample_rows`` candidates of the plants are fitted on, those of least hash. The plants of two thirds of
+    the spans train the trees; on the rest the least threshold is sought per kind from which at least
+    ``precision`` of the candidates are positive; a kind without such a threshold adds nothing.
     """
-    rows, names = _features(found)
-    runs = (F.col("f_runs_on") + F.col("f_runs_in")) > 0
-    rows = rows.withColumn("label", F.when(F.col("ok") & ~runs, 1.0).otherwise(0.0))
-    order = F.xxhash64("d", "th", "kind", "strict", "start")
-    sample = staged(rows.withColumn("o", order).orderBy("o", "start").limit(sample_rows), "pii-sample")
+    rows, names = _features(candidates(plants).filter("not strict"))
+    told = plants.select(F.col("doc_id").alias("d"), "pk", "at", "to", "good", "o").dropDuplicates(["d"])
+    hit = F.col("good") & (F.col("kind") == F.col("pk")) & (F.col("start") == F.col("at")) & (F.col("end") == F.col("to"))
+    rows = rows.join(told, "d").withColumn("label", F.when(hit, 1.0).otherwise(0.0))
+    sample = staged(rows.orderBy("o", "d", "kind", "start").limit(sample_rows), "pii-sample")
     labels = {r["label"] for r in sample.filter("pmod(o, 3) > 0").select("label").distinct().collect()}
     if labels != {0.0, 1.0}:
         return None
@@ -221,18 +338,20 @@ def personal_data(docs: DataFrame, **options) -> DataFrame:
     the strict matches that pass their check, ``spans`` these and what the trees add. Added
     spans overlap neither base spans nor each other; better scores go first, then earlier starts.
     Null and empty texts have no spans. Every row gives one row: rows equal in id and text get equal
-    results, ids may repeat or be null. Other columns are ignored; an empty table gives an empty one.
+    results, ids may repeat or be null. Other columns are ignored; an empty table gives an empty one. A
+    table without base spans of a kind gives no plants of it, and nothing of that kind is added.
     """
-    found = staged(candidates(docs.select("doc_id", "text")), "pii-candidates")
-    fitted = fit(found, **options)
-    rows, _ = _features(found)
-    rows = rows.withColumn("base", F.col("strict") & F.col("ok"))
+    docs = docs.select("doc_id", "text")
+    # Features are written with the candidates: the trees name each of them many times.
+    found = staged(_features(candidates(docs))[0], "pii-candidates")
+    fitted = fit(staged(planted(found, docs), "pii-plants"), **options)
+    rows = found.withColumn("base", F.col("strict") & F.col("ok"))
     score, limit = F.lit(0.0), F.lit(2.0)
     if fitted:
         score = F.expr(fitted[0])
         for kind, least in fitted[1].items():
             limit = F.when(F.col("kind") == kind, F.lit(float(least))).otherwise(limit)
-    rows = rows.withColumn("score", score).withColumn("added", ~F.col("base") & F.col("ok") & (score >= limit))
+    rows = rows.withColumn("score", score).withColumn("added", ~F.col("strict") & (score >= limit))
     rows = rows.filter("base or added")
     # Added spans that overlap a base span go: the base spans up to here reach to ``reach``, those from
     # here on begin at ``next``.
