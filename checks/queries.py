@@ -810,8 +810,8 @@ def chat_requests(spark, sf):
 
 
 def _stream(spark, sf, name: str) -> DataFrame:
-    source = spark.readStream.schema(table(spark, sf, name).schema)
-    return source.option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+    """A table as a stream, be it one file or a folder of files: streams take single files by patterns only."""
+    return spark.readStream.schema(table(spark, sf, name).schema).parquet(f"{sf}/{{{name}.parquet}}")
 
 
 @query

@@ -339,3 +339,14 @@ def test_stream_keeps_rejects_and_keys_of_the_batch(spark, tmp_path):
     assert [(r["name"], r["district"]) for r in store.read(spark, str(tmp_path / "p")).collect()] == [("a", "west")]
     bad = spark.read.parquet(str(tmp_path / "p_rejects"))
     assert [r["district"] for r in bad.collect()] == ["north"]
+
+
+def test_history_stream_reads_a_folder_of_files(spark, tmp_path):
+    from checks.queries import QUERIES
+
+    schema = "conv_id bigint, turn bigint, role string, text string"
+    turns = spark.createDataFrame([(c, t, "user", f"{c}.{t}") for c in range(30) for t in range(6)], schema)
+    turns.repartition(3, "conv_id").write.parquet(str(tmp_path / "many" / "conversations.parquet"))
+    got = QUERIES["stream_history"](spark, str(tmp_path / "many"))
+    want = QUERIES["history_prefix"](spark, str(tmp_path / "many"))
+    assert sorted(map(tuple, got.drop("late").collect())) == sorted(map(tuple, want.collect()))
