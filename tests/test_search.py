@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from wayfare.operators import fusion, neardup, search, similarity, tfidf
 
@@ -402,3 +403,44 @@ def test_long_unspaced_words_are_linear(spark):
     df = spark.createDataFrame([(1, word)], "doc_id bigint, text string")
     assert tfidf.term_counts(df, "char_wb").agg({"tf": "sum"}).first()[0] == 2_000_001 + 2_000_000 + 1_999_999
     assert context.split_oversize(df, ["doc_id"], "text", 500).count() == 4000
+
+
+def test_texts_get_tasks_by_their_size(spark, monkeypatch):
+    docs = [(i, " ".join(f"w{i}x{j}" for j in range(50))) for i in range(200)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    want = {name: sorted(map(tuple, tfidf.term_counts(df, name).collect())) for name in ("word", "char_wb")}
+    monkeypatch.setattr(tfidf, "TASK_BYTES", 2000)
+    tasks = -(-sum(len(t) for _, t in docs) // 2000)
+    assert tasks > 30 and tfidf.spread_by_id(df).rdd.getNumPartitions() == tasks
+    assert {name: sorted(map(tuple, tfidf.term_counts(df, name).collect())) for name in want} == want
+
+
+def test_packed_grams_are_the_counts(spark, monkeypatch):
+    from wayfare.functions import grams, text
+    from wayfare.operators import encode
+
+    rng = random.Random(5)
+    docs = [(i % 90, " ".join("".join(rng.choice("abÉ點心𝄞") for _ in range(rng.randint(1, 9))) for _ in range(i))) for i in range(100)]
+    docs += [(None, "a b"), (None, "b"), (7, None), (91, ""), (92, " \n")]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    want = df.select("doc_id", F.explode(text.char_grams("text")).alias("term")).groupBy("doc_id", "term").count()
+    monkeypatch.setattr(grams, "SLICE", 100)
+    packed = tfidf.packed_grams(df)
+    assert sorted(map(str, tfidf.unpacked(packed).collect())) == sorted(
+        map(str, want.withColumnRenamed("count", "tf").collect())
+    )
+    # Sparse vectors are the same from packed counts and from rows, also without any known term.
+    terms = tfidf.fit_vocabulary(packed, 100, 2, 60)
+    rows = tfidf.term_counts(df, "char_wb")
+    for known in (terms, terms.limit(0)):
+        both = [tfidf.sparse_vectors(c, known).orderBy("doc_id").collect() for c in (packed, rows)]
+        assert [(r["doc_id"], r["sparse"]["indices"]) for r in both[0]] == [(r["doc_id"], r["sparse"]["indices"]) for r in both[1]]
+        for a, b in zip(*both):
+            assert a["sparse"]["values"] == pytest.approx(b["sparse"]["values"])
+    # A bucket holds what its grams' hashes say.
+    value = want.select("doc_id", "count", F.aggregate(
+        F.transform(F.split("term", ""), lambda c: F.ascii(c)), F.lit(0).cast("bigint"),
+        lambda s, c: (s * grams.HASH_BASE + c) % grams.HASH_PRIME,
+    ).alias("h"))
+    value = value.groupBy("doc_id", (F.col("h") % 32).cast("int").alias("bucket")).agg(F.sum("count").alias("n"))
+    assert sorted(map(str, encode.hashed_buckets(df, 32).collect())) == sorted(map(str, value.collect()))
