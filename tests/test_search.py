@@ -444,3 +444,18 @@ def test_packed_grams_are_the_counts(spark, monkeypatch):
     ).alias("h"))
     value = value.groupBy("doc_id", (F.col("h") % 32).cast("int").alias("bucket")).agg(F.sum("count").alias("n"))
     assert sorted(map(str, encode.hashed_buckets(df, 32).collect())) == sorted(map(str, value.collect()))
+
+
+def test_visiting_rows_come_in_small_groups(spark, monkeypatch):
+    placed, sizes = similarity._placed, []
+
+    def spy(rows, cells, size, reach, block):
+        sizes.append((size, block))
+        return placed(rows, cells, size, reach, block)
+
+    monkeypatch.setattr(similarity, "_placed", spy)
+    rng = np.random.default_rng(1)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.standard_normal((300, 4)))]
+    df = spark.createDataFrame(rows, "id bigint, embedding array<float>")
+    similarity.layout(df, df, 0.99, leaf=100, block=64)
+    assert {b for s, b in sizes if s == "n_left"} == {64} and {b for s, b in sizes if s == "n_right"} == {8}
