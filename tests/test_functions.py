@@ -2,6 +2,7 @@
 
 import uuid
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -125,6 +126,22 @@ def test_fold_accents(frame):
     assert one(frame, [" Straße CAFÉ ", "茶", None], text.fold_accents("c")) == ["strae cafe", "", None]
 
 
+def test_folding_holds_few_texts_as_python_strings():
+    import tracemalloc
+
+    texts = pa.array(["Crème brûlée, ﬁn " * 500, "plain " * 1000, None, "", "茶"] * 400)
+    tracemalloc.start()
+    got = text.folded(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got.to_pylist() == ["Creme brulee, fin " * 500, "plain " * 1000, None, "", ""] * 400
+    # All texts are 6 MB.
+    assert peak < 3_000_000
+    assert text.folded(pa.array([None, None], pa.string())).to_pylist() == [None, None]
+    assert text.folded(pa.array([], pa.string())).to_pylist() == []
+
+
+
 def test_snippet_cuts_before_replacing(frame):
     long = "a" * 99 + "\nbc"
     assert one(frame, [long, None], text.snippet("c")) == ["a" * 99 + " ", ""]

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from unicodedata import normalize
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -133,14 +137,33 @@ def url_parameter(c, name: str = "v") -> Column:
     return F.split_part(F.split_part(_col(c), F.lit(f"{name}="), F.lit(2)), F.lit("&"), F.lit(1))
 
 
+def folded(texts: pa.Array, step: int = 1 << 20) -> pa.Array:
+    """Texts decomposed (NFKD), non-ASCII dropped, about ``step`` bytes of them as Python strings at a time.
+
+    Texts of ASCII alone are as they were and stay in Arrow.
+    """
+    def fold(text: str) -> str:
+        return normalize("NFKD", text).encode("ascii", "ignore").decode("ascii")
+
+    plain = pc.string_is_ascii(texts)
+    other = texts.filter(pc.invert(plain))
+    size = np.cumsum(pc.binary_length(other).to_numpy(zero_copy_only=False))
+    ends = np.searchsorted(size, np.arange(step, size[-1] + step, step)).clip(max=len(other) - 1) + 1 if len(other) else []
+    parts, begin = [pa.array([], texts.type)], 0
+    for end in np.unique(ends).tolist():
+        parts.append(pa.array((fold(x.as_py()) for x in other.slice(begin, end - begin)), texts.type))
+        begin = end
+    return pc.replace_with_mask(texts, pc.fill_null(pc.invert(plain), False), pa.concat_arrays(parts))
+
+
 def fold_accents(c) -> Column:
     """Trimmed, lower-cased, decomposed (NFKD), non-ASCII dropped.
 
     Spark has no normalisation function, so this one expression crosses to Arrow batches.
     Scripts outside ASCII vanish: callers must skip empty keys.
     """
-    @F.pandas_udf("string")
-    def nfkd(s: pd.Series) -> pd.Series:
-        return s.str.normalize("NFKD").str.encode("ascii", "ignore").str.decode("ascii")
+    @F.arrow_udf("string")
+    def nfkd(texts: pa.Array) -> pa.Array:
+        return folded(texts)
 
     return nfkd(normal_key(c))
