@@ -459,3 +459,40 @@ def test_visiting_rows_come_in_small_groups(spark, monkeypatch):
     df = spark.createDataFrame(rows, "id bigint, embedding array<float>")
     similarity.layout(df, df, 0.99, leaf=100, block=64)
     assert {b for s, b in sizes if s == "n_left"} == {64} and {b for s, b in sizes if s == "n_right"} == {8}
+
+
+@pytest.mark.parametrize("width,threshold", [(3, 0.2), (40, 0.6), (40, 0.999999), (80, 0.9)])
+def test_close_pairs_of_two_blocks(monkeypatch, width, threshold):
+    """Bounds in single precision lose no pair: vectors in a narrow cone, a crowd, copies, and scores next to the threshold."""
+    rng = np.random.default_rng(width)
+    v = np.r_[rng.normal(size=(200, width)), 3 + rng.normal(size=(200, width)), np.ones((60, width)) + rng.normal(scale=1e-3, size=(60, width))]
+    v = np.r_[v, v[:50], v[150:200] + rng.normal(scale=0.05, size=(50, width))].astype("float32")
+    v = v[rng.permutation(len(v))]
+    units = v / np.linalg.norm(v.astype(float), axis=1)[:, None]
+    odd, even = np.arange(1, len(v), 2), np.arange(0, len(v), 2)
+    monkeypatch.setattr(similarity, "TILE", (64, 37))
+    want = {(a, b) for p in _brute_pairs(v, threshold) for a, b in (p, p[::-1]) if a % 2 and not b % 2}
+    for forward in (True, False):
+        got = [
+            pair
+            for a, b, _ in similarity._close_pairs(odd, units[odd], even, units[even], threshold, forward)
+            for pair in zip(a.tolist(), b.tolist())
+        ]
+        assert len(got) == len(set(got)) and set(got) == {(a, b) for a, b in want if a < b or not forward}
+
+
+def test_no_row_is_copied_to_cells_that_gain_nothing(spark, monkeypatch):
+    """Visits are counted first; before, each row was written once for every cell it has to visit."""
+    placed, written = similarity._placed, []
+
+    def spy(rows, cells, size, reach, block):
+        out = placed(rows, cells, size, reach, block)
+        written.append((size, out.count()))
+        return out
+
+    monkeypatch.setattr(similarity, "_placed", spy)
+    v = np.random.default_rng(8).normal(size=(600, 64))
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id bigint, embedding array<float>")
+    _, visits = similarity.layout(df, df, 0.3, leaf=50)
+    assert visits.count() == 600
+    assert sum(n for size, n in written if size == "n_right") == 0
