@@ -496,3 +496,15 @@ def test_no_row_is_copied_to_cells_that_gain_nothing(spark, monkeypatch):
     _, visits = similarity.layout(df, df, 0.3, leaf=50)
     assert visits.count() == 600
     assert sum(n for size, n in written if size == "n_right") == 0
+
+
+def test_a_cone_without_near_copies_is_one_batch(spark):
+    """Rows in a narrow cone share signatures; held against a sample they show that few are similar."""
+    rng = np.random.default_rng(3)
+    v = np.repeat(rng.normal(size=(4, 24)), 500, axis=0) + rng.normal(scale=0.2, size=(2000, 24))
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id bigint, embedding array<float>").cache()
+    assert neardup._next_batch(df, 0.5)[1] is not None
+    assert neardup._next_batch(df, 0.5, 0.9999)[1] is None
+    # A real crowd still shows.
+    assert neardup._next_batch(df, 0.5, 0.8)[1] is not None
+    df.unpersist()
