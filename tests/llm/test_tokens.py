@@ -1,13 +1,16 @@
+import re
+import tracemalloc
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from wayfare.llm import rans, tokens
-from wayfare.llm.units import slices, units
+from wayfare.llm.units import PLAIN, Known, Recent, slices, units
 
 from .conftest import messy
 
@@ -61,6 +64,52 @@ def test_units_joined_are_units_one_by_one():
     assert [ids[a:b].tolist() for a, b in zip(ends, ends[1:])] == [tool.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_known_units_cost_no_python_objects():
+    texts = pa.array([" ".join(f"w{i:x}{i % 7}" for i in range(n, n + 2000)) for n in range(0, 100_000, 2000)])
+    coder = tokens.Encoder(tokens.VOCABULARY)
+    coder(texts.slice(0, 1))
+    tracemalloc.start()
+    held = pa.total_allocated_bytes()
+    ids = coder(texts)[0].tolist()
+    again, ends = coder(texts)
+    assert again.tolist() == ids and len(ends) == len(texts) + 1
+    del again, ids
+    python, arrow = tracemalloc.get_traced_memory()[0], pa.total_allocated_bytes() - held
+    tracemalloc.stop()
+    assert python + arrow < 9_000_000  # 100,000 units and their codes
+
+
+@pytest.mark.parametrize("most", [1, 2, 50, 10_000])
+def test_known_units_are_bounded_and_give_the_same_codes(most):
+    asked = []
+
+    def make(some):
+        asked.extend(some)
+        return [u.encode("utf-32-le") for u in some]
+
+    known, recent = Known(most), Recent(most)
+    rng = np.random.default_rng(most)
+    for n in range(30):
+        words = [f"w{i}" for i in rng.zipf(1.3, 40) % 3000] + ["x" * 150, "é日本", "two  blanks", "", "nul\0"]
+        texts = pa.array([" ".join(rng.permutation(words)), "", "\n", "hot hot", f"own{n}\ngone"])
+        (ids, ends), (ids_r, ends_r) = known.coded(texts, make), recent.coded(texts, lambda some: [u.encode("utf-32-le") for u in some])
+        assert ids.tolist() == ids_r.tolist() and ends.tolist() == ends_r.tolist()
+        assert len(known.keys) == len(known.codes) == len(known.used) <= most
+        assert "".join(map(chr, ids[ends[3] : ends[4]])) == "hot hot"
+    if most == 10_000:  # nothing had to go: each short unit was asked once
+        short = [u for u in asked if len(u) <= 100]
+        assert len(short) == len(set(short))
+    ids, ends = known.coded(pa.array(["", ""]), make)
+    assert not len(ids) and ends.tolist() == [0, 0, 0]
+
+
+def test_plain_units_by_every_blank():
+    some = [f"{a}{chr(c)}{b}" for c in (*range(0xD800), *range(0xE000, 0x11000)) for a, b in ((" ", ""), (" ", "z"), (" z", ""), ("", "z"))]
+    some += ["", " ", " a b", " a\nb", " a\n", "a b"]
+    want = [re.fullmatch(r" \S(?:.*\S)?", u, re.S) is not None for u in some]
+    assert pc.match_substring_regex(pa.array(some), PLAIN).to_pylist() == want
+
+
 def test_slices_cover_all():
     texts = ["a" * n for n in (0, 5, 0, 9, 1, 1)]
     assert [i for a, b in slices(texts, 4) for i in range(a, b)] == list(range(6))

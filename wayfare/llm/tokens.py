@@ -10,12 +10,12 @@ independently.
 from __future__ import annotations
 
 import os
-import re
 from array import array
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -23,16 +23,14 @@ from pyspark.sql import functions as F
 
 from wayfare.llm import rans
 from wayfare.llm.common import kept_by_worker, parallelism, staged
-from wayfare.llm.units import Recent, slices_of
+from wayfare.llm.units import PLAIN, Known, slices_of
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 END_ID = 2
-_SLICE = 6_000_000
-_CACHED = 600_000
+_SLICE = 12_000_000
+_CACHED = 1_200_000
 # Units in one text for the library.
 _JOINED = 512
-# One space, then what begins and ends with no blank.
-_PLAIN = re.compile(r" \S(?:.*\S)?\Z", re.S).match
 
 
 class Encoder:
@@ -47,7 +45,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.cache = Recent(_CACHED)
+        self.cache = Known(_CACHED)
         # Bytes of each id: of a byte-level vocabulary a character stands for a byte.
         added = {i: len(t.content.encode()) for i, t in self.tokenizer.get_added_tokens_decoder().items()}
         size = {i: len(t) for t, i in self.tokenizer.get_vocab(with_added_tokens=True).items()} | added
@@ -58,32 +56,34 @@ class Encoder:
         coded = self.tokenizer.encode_batch_fast(some, add_special_tokens=False)
         return [array("I", c.ids).tobytes() for c in coded]
 
-    def _joined(self, some: list[str]) -> list[bytes]:
+    def _joined(self, some: pa.Array) -> list[bytes]:
         """Ids of units that begin with one space and end without a blank, from one text of all of them.
 
         No piece of the pattern crosses such a border, so the ids are those of the units one by one; where each
         unit's end is told by the bytes that ids stand for.
         """
-        coded = self.tokenizer.encode_batch_fast(
-            ["".join(some[i : i + _JOINED]) for i in range(0, len(some), _JOINED)], add_special_tokens=False
-        )
+        begin = pa.array([*range(0, len(some), _JOINED), len(some)], pa.int32())
+        texts = pc.binary_join(pa.ListArray.from_arrays(begin, some), "").to_pylist()
+        coded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         ids = np.concatenate([np.array(c.ids, "<u4") for c in coded])
         reached = np.cumsum(self.size[ids])
-        wanted = np.cumsum(np.fromiter((len(u.encode()) for u in some), np.int64, len(some)))
+        wanted = np.cumsum(pc.binary_length(some).to_numpy(), dtype=np.int64)
         ends = np.searchsorted(reached, wanted) + 1
         if ends[-1] != len(ids) or (reached[ends - 1] != wanted).any():
-            return self._one_by_one(some)  # no byte-level vocabulary
+            return self._one_by_one(some.to_pylist())  # no byte-level vocabulary
         data, ends = ids.tobytes(), (ends * 4).tolist()
         return [data[a:b] for a, b in zip([0, *ends[:-1]], ends)]
 
     def _new(self, some: list[str]) -> list[bytes]:
         out: list = [b""] * len(some)
-        plain = [_PLAIN(u) is not None for u in some]
-        for joined, encode in ((True, self._joined), (False, self._one_by_one)):
-            own = [i for i, p in enumerate(plain) if p == joined]
+        units = pa.array(some, pa.string())
+        plain = pc.match_substring_regex(units, PLAIN).to_numpy(zero_copy_only=False)
+        for joined in (True, False):
+            own = np.flatnonzero(plain == joined)
             for a in range(0, len(own), 16_384):
-                some_of = own[a : a + 16_384]
-                for i, code in zip(some_of, encode([some[i] for i in some_of]), strict=True):
+                some_of = units.take(own[a : a + 16_384])
+                codes = self._joined(some_of) if joined else self._one_by_one(some_of.to_pylist())
+                for i, code in zip(own[a : a + 16_384].tolist(), codes, strict=True):
                     out[i] = code
         return out
 

@@ -17,6 +17,8 @@ import pyarrow.compute as pc
 # Two blanks side by side, of any kind that some pattern takes for a blank, or the mark used here.
 _BLANK = r"[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 _BLANKS_MEET = _BLANK + "{2}|\\x00"
+# One space, then what begins and ends with no blank.
+PLAIN = rf"\A [^{_BLANK[1:]}(?:(?s:.*)[^{_BLANK[1:]})?\z"
 _MEET = re.compile(r"\s{2}")
 _CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
 
@@ -126,3 +128,43 @@ class Recent:
         if len(young) > self.most:
             self.young, self.old = {}, young
         return out
+
+
+class Known:
+    """Codes of units of late, at most ``most`` of them, held in Arrow: no Python object for a unit that is known.
+
+    When there are more, the half used last stays.
+    """
+
+    def __init__(self, most: int) -> None:
+        self.most, self.now = most, 0
+        self.keys, self.codes = pa.array([], pa.string()), pa.array([], pa.large_binary())
+        # The number of the call that used each unit last.
+        self.used = np.zeros(0, np.int64)
+
+    def coded(self, texts: pa.Array, make) -> tuple[np.ndarray, np.ndarray]:
+        """As ``Recent.coded``; each unit's code is copied whole instead of id by id."""
+        flat, counts = _all_units(texts)
+        at = pc.index_in(flat.dictionary, value_set=self.keys)
+        unknown = at.is_null().to_numpy(zero_copy_only=False)
+        place = at.fill_null(0).to_numpy().astype(np.int64)
+        self.now += 1
+        self.used[place[~unknown]] = self.now
+        place[unknown] = len(self.keys) + np.arange(np.count_nonzero(unknown))
+        new = flat.dictionary.filter(pa.array(unknown))
+        codes = pa.array(make(new.to_pylist()) if len(new) else [], pa.large_binary())
+        taken = pa.concat_arrays([self.codes, codes]).take(pa.array(place)).take(flat.indices)
+        self._keep(new, codes)
+        ends = np.concatenate([[0], np.cumsum(pc.binary_length(taken).to_numpy())]) // 4
+        data = np.frombuffer(taken.buffers()[2] or b"", "<u4", int(ends[-1]))
+        return data, ends[np.concatenate([[0], np.cumsum(counts)])]
+
+    def _keep(self, new: pa.Array, codes: pa.Array) -> None:
+        short = pc.less_equal(pc.utf8_length(new), 100)  # long ones rarely recur
+        new, codes = new.filter(short), codes.filter(short)
+        self.keys, self.codes = pa.concat_arrays([self.keys, new]), pa.concat_arrays([self.codes, codes])
+        self.used = np.concatenate([self.used, np.full(len(new), self.now)])
+        if len(self.keys) > self.most:
+            half = max(1, self.most // 2)
+            stay = np.sort(np.argpartition(self.used, -half)[-half:])
+            self.keys, self.codes, self.used = self.keys.take(stay), self.codes.take(stay), self.used[stay]
