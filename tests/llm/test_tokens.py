@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from wayfare.llm import rans, tokens
-from wayfare.llm.units import PLAIN, Known, Recent, slices, units
+from wayfare.llm.units import PLAIN, Known, Recent, gathered, slices, units
 
 from .conftest import messy
 
@@ -110,6 +110,15 @@ def test_plain_units_by_every_blank():
     assert pc.match_substring_regex(pa.array(some), PLAIN).to_pylist() == want
 
 
+def test_small_batches_are_joined():
+    rows = [["a" * 10], [], [None, "b"], ["c" * 500], ["d", "e"], ["f" * 90], [""]]
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(len(x)), pa.int64()), pa.array(x, pa.string())], ["doc_id", "text"]) for x in rows]
+    out = list(gathered(iter(batches), 1, 120))
+    assert [t for b in out for t in b.column(1).to_pylist()] == [t for x in rows for t in x]
+    assert len(out) < len(batches) and all(b.column(1).nbytes <= 130 or b.num_rows == 1 for b in out)
+    assert list(gathered(iter([]), 1, 120)) == []
+
+
 def test_slices_cover_all():
     texts = ["a" * n for n in (0, 5, 0, 9, 1, 1)]
     assert [i for a, b in slices(texts, 4) for i in range(a, b)] == list(range(6))

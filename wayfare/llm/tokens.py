@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from wayfare.llm import rans
 from wayfare.llm.common import kept_by_worker, parallelism, staged
-from wayfare.llm.units import PLAIN, Known, slices_of
+from wayfare.llm.units import PLAIN, Known, gathered, slices_of
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 END_ID = 2
@@ -155,7 +155,8 @@ def write(
 
         names = ["part", "seq", "first", "doc_ids", "lengths", "ids"]
         types = [pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
-        for batch in batches:
+        # Known units are indexed for each slice: short texts come in many small batches.
+        for batch in gathered(batches, 1, _SLICE):
             texts = batch.column(1).fill_null("")
             keys = batch.column(0).to_pylist()
             for a, b in slices_of(texts, _SLICE):

@@ -48,6 +48,20 @@ def slices_of(texts: pa.Array, most: int):
     return slices([range(n) for n in pc.binary_length(texts).to_pylist()], most)
 
 
+def gathered(batches, column: int, most: int):
+    """Record batches in order; small ones are joined as long as ``column`` holds ``most`` bytes at most."""
+    held, size = [], 0
+    for batch in batches:
+        own = batch.column(column).nbytes
+        if held and size + own > most:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+        held.append(batch)
+        size += own
+    if held:
+        yield pa.concat_batches(held)
+
+
 def _all_units(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
     """(units of all texts in a row, dictionary-encoded; number of units of each text)."""
     if not len(texts):
